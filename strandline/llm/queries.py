@@ -40,6 +40,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 ORACLE_SQL = {
     "op1_url_filters": r"""
 with rules(rule_host, rule_path, says) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
@@ -66,4 +72,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op7_decontamination, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op7_decontamination, op9_mixing, op10_licenses)}
