@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import removed_words
+
+    return removed_words(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import scan
 
@@ -56,6 +62,18 @@ split as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '
 fits as (select page_id, rule_host || rule_path as rule, says, row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc) as n
     from split join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
 select s.page_id, host, path, rule, coalesce(says, 'allow') as verdict from split s left join fits f on s.page_id = f.page_id and n = 1
+""",
+    "op6_substring_dedup": r"""
+with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+starts as (select doc_id, w, unnest(range(1, len(w) - 33)) as p from d where len(w) >= 35),
+grams as (select doc_id, p, sha256(array_to_string(w[p:p + 34], ' ')) as h from starts),
+again as (select h from grams group by h having count(*) > 1),
+gone as (select distinct doc_id, unnest(range(p, p + 35)) as q from grams join again using (h)),
+lists as (select doc_id, list(q) as qs from gone group by doc_id),
+rest as (select d.doc_id, len(w) as n, coalesce(len(qs), 0) as n_removed, w, qs from d left join lists using (doc_id)),
+kept as (select doc_id, string_agg(word, ' ' order by i) as t from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as i from d) x
+    where not exists (select 1 from gone g where g.doc_id = x.doc_id and g.q = x.i) group by doc_id)
+select r.doc_id, cast(n as bigint) as n_words, cast(n_removed as bigint) as n_removed, sha256(coalesce(t, '')) as kept_sha256 from rest r left join kept using (doc_id)
 """,
     "op7_decontamination": r"""
 with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
@@ -72,4 +90,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op7_decontamination, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op6_substring_dedup, op7_decontamination, op9_mixing, op10_licenses)}
