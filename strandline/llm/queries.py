@@ -40,6 +40,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -90,4 +96,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op6_substring_dedup, op7_decontamination, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}
