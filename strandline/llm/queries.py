@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import removed_words
 
@@ -68,6 +74,13 @@ split as (select page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), '
 fits as (select page_id, rule_host || rule_path as rule, says, row_number() over (partition by page_id order by length(rule_host || rule_path) desc, length(rule_host) desc) as n
     from split join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path))
 select s.page_id, host, path, rule, coalesce(says, 'allow') as verdict from split s left join fits f on s.page_id = f.page_id and n = 1
+""",
+    "op5_html_text": r"""
+with a as (select page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) as t from pages),
+b as (select page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') as t from a),
+c as (select page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as t from b),
+d as (select page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) as text from c)
+select page_id, url, text, cast(length(text) as bigint) as n_chars from d
 """,
     "op6_substring_dedup": r"""
 with d as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
@@ -96,4 +109,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op5_html_text, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}
