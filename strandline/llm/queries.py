@@ -28,6 +28,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sketches import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract
 
@@ -109,4 +115,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op5_html_text, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_sketches, op5_html_text, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}

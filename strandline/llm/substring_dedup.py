@@ -211,6 +211,10 @@ def _extended(window: int) -> Callable:
     return hashed
 
 
+def _mark(text: bytes) -> int:
+    return xxhash.xxh32_intdigest(text)
+
+
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     """key, mark (a hash that tells texts of one id apart) and packed (the compressed text), with what docs has besides."""
 
@@ -218,17 +222,21 @@ def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             raw = [t.encode() for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "mark": np.array([xxhash.xxh32_intdigest(r) for r in raw], dtype="u4").view("i4"), "packed": [packer.compress(r) for r in raw]})
+            yield pd.DataFrame({"key": batch["key"], "mark": np.array([_mark(r) for r in raw], dtype="u4").view("i4"), "packed": [packer.compress(r) for r in raw]})
 
     return docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(pack, "key long, mark int, packed binary")
 
 
+def _windows(texts: DataFrame, window: int) -> DataFrame:
+    """key, mark, places of the windows of texts that repeat."""
+    anchors = staged(_repeated(texts, _anchors(window)), "substring-anchors")
+    return staged(_repeated(texts.join(anchors, ["key", "mark"]), _extended(window)), "substring-windows")
+
+
 def covered(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """key, mark, packed (the text) of each row of docs, and places (packed starts of windows that repeat; null: none)."""
     texts = _texts(docs, text, doc_id)
-    anchors = staged(_repeated(texts, _anchors(window)), "substring-anchors")
-    windows = staged(_repeated(texts.join(anchors, ["key", "mark"]), _extended(window)), "substring-windows")
-    return texts.join(windows, ["key", "mark"], "left")
+    return texts.join(_windows(texts, window), ["key", "mark"], "left")
 
 
 def _kept(words: list[bytes], places, window: int) -> np.ndarray:
@@ -264,3 +272,25 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text: str = "text", doc
 
     rows = covered(docs, window, text, doc_id).mapInPandas(cut, "key long, n_words long, n_removed long, kept_sha256 string, kept string")
     return rows.select(id_of(F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with all repeated windows cut out of the text; a text without any stays as it is, white space included."""
+    found = _windows(_texts(docs, text, doc_id), window).withColumnsRenamed({"key": "_key", "mark": "_mark", "places": "_places"})
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
+        out = []
+        for t, p in zip(texts, places, strict=True):
+            if p is not None:
+                words = t.encode().split()
+                t = b" ".join(w for w, k in zip(words, _kept(words, p, window), strict=True) if k).decode()
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    @F.pandas_udf("int")
+    def mark_of(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([_mark(t.encode()) for t in texts], dtype="u4").view("i4"))
+
+    marked = docs.select("*", key_of(F.col(doc_id)).alias("_key"), mark_of(F.coalesce(text, F.lit(""))).alias("_mark"))
+    return marked.join(found, ["_key", "_mark"], "left").withColumn(text, cut(text, "_places")).select(*docs.columns)
