@@ -142,7 +142,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     if grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams:
         # the row number keeps the optimizer from moving the filter, and with it all hashing, into one expression
         found = with_hits(whole, grams, text).select("doc", F.size("hits").alias("n"), F.monotonically_increasing_id().alias("row"))
-        return found.where("n = 0").select("doc.*")
+        return found.where("n = 0 and row >= 0").select("doc.*")
     whole = whole.withColumn("uid", F.xxhash64(text))  # rows of one text are hit together
     lengths = [r[0] for r in grams.select("len").distinct().collect()]
     return whole.join(_wide_hits(whole, grams, text, lengths).select("uid").distinct(), "uid", "left_anti").select("doc.*")
