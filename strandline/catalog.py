@@ -1,4 +1,396 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the nucleotide projection of the tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Every query takes whole tables and whole texts. k is 21 where nothing else is said.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import sequence as X
+from .operators import contigs, graph, kmers, mapping, stats
+from .sources import projection, reads, sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+K, MIN_COUNT, FRACTION, LOW_COUNT, MARGIN, ADAPTER_LIMIT = 21, 2, 0.1, 2, 50, 15
+
+_L = projection.LETTERS
+_SEQ = f"translate(regexp_replace(text, '[^A-Za-z]', '', 'g'), '{_L}{_L.upper()}', '{projection.BASES}{projection.BASES}')"
+_RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+_ORD = "translate({0}, 'ACTG', '0123')"
+
+
+def _canon(x: str) -> str:
+    return f"case when {_ORD.format(x)} < {_ORD.format(_RC.format(x))} then {x} else {_RC.format(x)} end"
+
+
+def _windows(name: str, source: str, key: str, k: int = K) -> str:
+    """CTE `name`: key, pos, kmer, is_plus of the windows of source's seq."""
+    at = f"{name}_at as (select {key}, seq, unnest(range(1, length(seq) - {k} + 2)) as p from {source} where length(seq) >= {k})"
+    raw = f"{name}_raw as (select {key}, p - 1 as pos, substr(seq, p, {k}) as w from {name}_at)"
+    return f"{at}, {raw}, {name} as (select {key}, pos, {_canon('w')} as kmer, {_ORD.format('w')} < {_ORD.format(_RC.format('w'))} as is_plus from {name}_raw)"
+
+
+_READS = f"reads as (select doc_id as read_id, {_SEQ} as seq from documents)"
+_TARGETS = f"targets as (select item_id as target_id, {_SEQ} as seq from benchmark)"
+_MATES = f"mates as (select conv_id as pair_id, cast(turn + 1 as integer) as mate, {_SEQ} as seq from conversations where turn in (0, 1))"
+_COUNTS = f"{_READS}, {_windows('kw', 'reads', 'read_id')}, counts as (select kmer, count(*) as cnt, cast(sum(is_plus::int) as bigint) as plus from kw group by kmer)"
+_KMERS = f"{_COUNTS}, kmers as (select * from counts where cnt >= {MIN_COUNT})"
+_EDGES = f"""{_KMERS},
+both_ways as (select distinct node, src from (select kmer as node, kmer as src from kmers union all select kmer, {_RC.format('kmer')} from kmers)),
+steps as (select src, node, nt, substr(src, 2) || base as dst from both_ways, (values (0, 'A'), (1, 'C'), (2, 'T'), (3, 'G')) b(nt, base)),
+known as (select src, node, nt, dst, {_canon('dst')} as kmer from steps),
+edges as (select src, node, src <> node as flipped, nt, dst, cnt, case when dst <> k.kmer then 1 - q else q end as plus_frac from known k
+    join (select kmer, cnt, cast(floor(plus::double / cnt * 65535 + 0.5) as integer) / 65535::double as q from kmers) m on k.kmer = m.kmer where k.kmer <> k.node)"""
+_ABUNDANCE = f"""{_EDGES},
+by_abundance as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n, sum(cnt) over (partition by src) as total from edges where cnt >= {LOW_COUNT})
+    where n = 1 or cnt > floor({FRACTION} * total))"""
+_GGT = f"""{_ABUNDANCE},
+by_ggt as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n,
+    max(case when ends_with(dst, 'GGT') and cnt > 5 then cnt * (1 - plus_frac) end) over (partition by src) as target from by_abundance)
+    where n = 1 or target is null or cnt * (1 - plus_frac) >= 0.1 * {FRACTION} * target)"""
+_BALANCE = f"""{_GGT},
+balanced as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n,
+    bool_or(cnt >= {LOW_COUNT} and least(plus_frac, 1 - plus_frac) > 0.25) over (partition by src) as both_strands from by_ggt)
+    where n = 1 or not both_strands or cnt <= 1 or least(plus_frac, 1 - plus_frac) >= 0.1 * {FRACTION} * greatest(plus_frac, 1 - plus_frac))"""
+_UNIQUE = f"""{_BALANCE},
+single as (select src, dst from (select *, count(*) over (partition by src) as n from balanced) where n = 1),
+unique_edges as (select s.src, s.dst from single s join single b on b.src = {_RC.format('s.dst')} and b.dst = {_RC.format('s.src')})"""
+_LENGTHS = "lengths as (select n_chars as length from documents where n_chars > 0), sorted as (select length, sum(length) over (order by length desc rows unbounded preceding) as up_to, row_number() over (order by length desc) as rank, sum(length) over () as total from lengths)"
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return keep
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.documents(spark, sf_dir)
+
+
+def _kmers(spark: SparkSession, sf_dir: str, least: int = MIN_COUNT) -> DataFrame:
+    return kmers.count_kmers(_reads(spark, sf_dir), K, least)
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(_kmers(spark, sf_dir))
+
+
+def _target_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection.targets(spark, sf_dir).withColumnRenamed("target_id", "id")
+
+
+def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("n_chars").alias("length"))
+
+
+# K-mers.
+
+
+@_query("kmer_count", f"with {_KMERS} select kmer, cnt, plus from kmers")
+def kmer_count(spark, sf_dir):
+    return _kmers(spark, sf_dir)
+
+
+@_query("kmer_hist", f"with {_COUNTS} select cnt as count, count(*) as freq from counts group by cnt")
+def kmer_hist(spark, sf_dir):
+    return kmers.histogram(_kmers(spark, sf_dir, 1))
+
+
+@_query("kmer_text", f"with {_KMERS} select kmer || chr(9) || cnt || chr(9) || plus as value from kmers order by kmer")
+def kmer_text(spark, sf_dir):
+    return sinks.kmer_lines(_kmers(spark, sf_dir))
+
+
+@_query("histogram_text", f"with {_COUNTS} select cnt || chr(9) || count(*) as value from counts group by cnt order by cnt")
+def histogram_text(spark, sf_dir):
+    return sinks.histogram_lines(kmers.histogram(_kmers(spark, sf_dir, 1)))
+
+
+@_query("min_count_filter", f"with {_COUNTS} select kmer, cnt from counts where cnt >= 5")
+def min_count_filter(spark, sf_dir):
+    return _kmers(spark, sf_dir, 5).select("kmer", "cnt")
+
+
+@_query("canonical_orientation", f"with {_READS}, {_windows('kw', 'reads', 'read_id')} select read_id, count(*) as n_kmers, cast(sum(is_plus::int) as bigint) as n_plus from kw group by read_id")
+def canonical_orientation(spark, sf_dir):
+    rows = kmers.explode_kmers(_reads(spark, sf_dir), K, "read_id")
+    return rows.groupBy("read_id").agg(F.count("*").alias("n_kmers"), F.sum(F.col("is_plus").cast("long")).alias("n_plus"))
+
+
+@_query("plus_fraction", f"with {_KMERS} select kmer, cnt, plus, cast(floor(plus::double / cnt * 65535 + 0.5) as integer) as plus_q from kmers")
+def plus_fraction(spark, sf_dir):
+    return kmers.strand_fraction(_kmers(spark, sf_dir))
+
+
+_ADAPTERS = f"{_READS}, {_windows('aw', 'reads', 'read_id', 19)}, adapters as (select kmer, count(*) as cnt from aw group by kmer having count(*) >= {ADAPTER_LIMIT} and count(*) > floor(0.05 * (select count(*) from reads)))"
+
+
+@_query("adapter_kmers", f"with {_ADAPTERS} select kmer, cnt from adapters")
+def adapter_kmers(spark, sf_dir):
+    return kmers.adapter_kmers(_reads(spark, sf_dir), 0.05, ADAPTER_LIMIT)
+
+
+@_query("adapter_clip", f"with {_ADAPTERS}, hits as (select read_id, min(pos) as cut from aw join adapters using (kmer) group by read_id), clipped as (select read_id, case when cut is null then seq else substr(seq, 1, cut) end as seq from reads left join hits using (read_id)) select read_id, seq from clipped where seq <> ''")
+def adapter_clip(spark, sf_dir):
+    return kmers.clip_adapters(_reads(spark, sf_dir), 0.05, ADAPTER_LIMIT).select("read_id", "seq")
+
+
+@_query("genome_size")
+def genome_size(spark, sf_dir):
+    return kmers.genome(kmers.histogram(_kmers(spark, sf_dir, 1)))
+
+
+# Reads and scalar functions.
+
+
+@_query("clean_reads", "with runs as (select page_id as read_id, unnest(string_split_regex(translate(html, 'acgt', 'ACGT'), '[^ACGT]+')) as run, generate_subscripts(string_split_regex(translate(html, 'acgt', 'ACGT'), '[^ACGT]+'), 1) as i from pages) select read_id, arg_min(run, (-length(run), i)) as seq from runs group by read_id having max(length(run)) > 0")
+def clean_reads(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("read_id"), F.translate("html", "acgt", "ACGT").alias("seq"))
+    return reads.clean(pages)
+
+
+@_query("read_lengths", f"with {_READS} select read_id, cast(length(seq) as bigint) as length from reads where length(seq) > 0")
+def read_lengths(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", F.length("seq").cast("long").alias("length")).where("length > 0")
+
+
+@_query("revcomp", f"with {_READS} select read_id, {_RC.format('seq')} as rc from reads")
+def revcomp(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", X.revcomp(F.col("seq")).alias("rc"))
+
+
+_ENTROPY = " + ".join(f"-p{b} * ln(p{b}) / ln(4)" for b in "ACGT")
+_PARTS = ", ".join(f"(length(seq) - length(replace(seq, '{b}', '')) + 1e-8) / length(seq) as p{b}" for b in "ACGT")
+
+
+@_query("entropy", f"with {_READS}, parts as (select read_id, length(seq) as n, {_PARTS} from reads) select read_id, round(case when n > 0 then {_ENTROPY} else 0 end, 6) as entropy from parts")
+def entropy(spark, sf_dir):
+    return _reads(spark, sf_dir).select("read_id", F.round(X.entropy(F.col("seq")), 6).alias("entropy"))
+
+
+@_query("edit_distance", f"with {_TARGETS} select a.target_id, cast(levenshtein(a.seq, b.seq) as bigint) as distance from targets a join targets b on b.target_id = a.target_id + 1")
+def edit_distance(spark, sf_dir):
+    t = projection.targets(spark, sf_dir)
+    following = t.select((F.col("target_id") - 1).alias("target_id"), F.col("seq").alias("next"))
+    return t.join(following, "target_id").select("target_id", F.levenshtein("seq", "next").cast("long").alias("distance"))
+
+
+_CODONS = [a + b + c for a in X.CODON_BASES for b in X.CODON_BASES for c in X.CODON_BASES]
+_CODE = f"codons as (select unnest({_CODONS}) as codon, unnest(string_split('{X.STANDARD_CODE}', '')) as aa)"
+
+
+def _proteins(frame_rows: str) -> str:
+    return f"""with {_TARGETS}, {_CODE}, framed as ({frame_rows}),
+parts as (select target_id, frame, unnest(range(0, length(s) // 3)) as i, s from framed),
+aas as (select target_id, frame, i, coalesce(aa, 'X') as aa from parts left join codons on codon = substr(s, i * 3 + 1, 3)),
+done as (select target_id, frame, string_agg(aa, '' order by i) as protein from aas group by target_id, frame)
+select f.target_id, f.frame, coalesce(protein, '') as protein from framed f left join done d on d.target_id = f.target_id and d.frame = f.frame"""
+
+
+@_query("translate", _proteins("select target_id, 1 as frame, seq as s from targets"))
+def translate(spark, sf_dir):
+    return projection.targets(spark, sf_dir).select("target_id", F.lit(1).alias("frame"), X.translate_codons(F.col("seq")).alias("protein"))
+
+
+@_query("six_frame", _proteins(" union all ".join(f"select target_id, {s * (n + 1)} as frame, substr({'seq' if s > 0 else _RC.format('seq')}, {n + 1}) as s from targets" for s in (1, -1) for n in range(3))))
+def six_frame(spark, sf_dir):
+    return projection.targets(spark, sf_dir).select("target_id", F.explode(X.frames(F.col("seq"))).alias("f")).select("target_id", "f.frame", "f.protein")
+
+
+@_query("mate_pairs", f"with {_MATES}, n as (select pair_id, sum((seq <> '')::int) as n from mates group by pair_id) select case when n = 2 then pair_id end as pair_id, case when n = 2 then mate end as mate, seq from mates join n using (pair_id) where seq <> ''")
+def mate_pairs(spark, sf_dir):
+    return reads.demote(projection.mates(spark, sf_dir)).select("pair_id", "mate", "seq")
+
+
+@_query(
+    "pair_overlap",
+    f"with {_MATES}, both_mates as (select pair_id, max(case when mate = 1 then seq end) as a, max(case when mate = 2 then {_RC.format('seq')} end) as b from mates group by pair_id), "
+    "ns as (select pair_id, a, b, unnest(range(20, least(length(a), length(b)) + 1)) as n from both_mates where length(a) >= 20 and length(b) >= 20), "
+    "hit as (select pair_id, max(n) as n from ns where right(a, n) = left(b, n) group by pair_id) "
+    "select pair_id, coalesce(n, 0) as overlap from both_mates left join hit using (pair_id) where length(a) >= 20 and length(b) >= 20",
+)
+def pair_overlap(spark, sf_dir):
+    return mapping.mate_overlaps(projection.mates(spark, sf_dir))
+
+
+# Statistics.
+
+
+@_query("stats_n50", f"with {_LENGTHS} select max(length) as n50 from sorted where up_to >= floor(total * 0.5)")
+def stats_n50(spark, sf_dir):
+    return stats.nxx(_lengths(spark, sf_dir), 0.5, "n50")
+
+
+@_query("stats_n90", f"with {_LENGTHS} select max(length) as n90 from sorted where up_to >= floor(total * 0.9)")
+def stats_n90(spark, sf_dir):
+    return stats.nxx(_lengths(spark, sf_dir), 0.9, "n90")
+
+
+@_query("stats_l50", f"with {_LENGTHS} select min(rank) as l50 from sorted where up_to >= floor(total * 0.5)")
+def stats_l50(spark, sf_dir):
+    return stats.lxx(_lengths(spark, sf_dir), 0.5, "l50")
+
+
+@_query(
+    "stats_report",
+    f"with {_LENGTHS}, p as (select count(*) as sequences, cast(sum(length) as bigint) as total, max(length) as longest, min(length) as shortest, avg(length) as average from lengths) select p.*, "
+    + ", ".join(f"(select max(length) from sorted s where up_to >= floor(s.total * {f})) as n{n}, (select min(rank) from sorted s where up_to >= floor(s.total * {f})) as l{n}" for f, n in ((0.5, 50), (0.9, 90)))
+    + " from p",
+)
+def stats_report(spark, sf_dir):
+    return stats.report(_lengths(spark, sf_dir))
+
+
+# The graph.
+
+
+@_query("edges", f"with {_EDGES} select src, nt, dst, cnt, round(plus_frac, 9) as plus_frac from edges")
+def edges(spark, sf_dir):
+    return _edges(spark, sf_dir).select("src", "nt", "dst", "cnt", F.round("plus_frac", 9).alias("plus_frac"))
+
+
+@_query("branch_bits", f"with {_EDGES}, masks as (select node as kmer, bit_or(case when flipped then 16 << nt else 1 << nt end) as branch from edges group by node) select kmer, cast(coalesce(branch, 0) as integer) as branch from kmers left join masks using (kmer)")
+def branch_bits(spark, sf_dir):
+    return graph.branches(_kmers(spark, sf_dir))
+
+
+@_query("fork_abundance_filter", f"with {_ABUNDANCE} select src, dst, cnt from by_abundance")
+def fork_abundance_filter(spark, sf_dir):
+    return graph.by_abundance(_edges(spark, sf_dir).where(F.col("cnt") >= LOW_COUNT), FRACTION, LOW_COUNT).select("src", "dst", "cnt")
+
+
+@_query("fork_ggt", f"with {_GGT} select src, dst, cnt from by_ggt")
+def fork_ggt(spark, sf_dir):
+    return graph.by_ggt(graph.by_abundance(_edges(spark, sf_dir).where(F.col("cnt") >= LOW_COUNT), FRACTION, LOW_COUNT), FRACTION).select("src", "dst", "cnt")
+
+
+@_query("strand_balance", f"with {_BALANCE} select src, dst, cnt from balanced")
+def strand_balance(spark, sf_dir):
+    return graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT).select("src", "dst", "cnt")
+
+
+@_query("successor_rank", f"with {_BALANCE} select src, dst, cast(row_number() over (partition by src order by cnt desc, nt) as integer) as rank from balanced")
+def successor_rank(spark, sf_dir):
+    return graph.ranked(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT)).select("src", "dst", "rank")
+
+
+@_query("unique_edges", f"with {_UNIQUE} select src, dst from unique_edges")
+def unique_edges(spark, sf_dir):
+    return graph.unique_edges(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT))
+
+
+@_query(
+    "unitig_ends",
+    f"with {_UNIQUE}, flags as (select b.src, p.dst is null as is_head, n.src is null as is_tail from (select distinct src from both_ways) b left join unique_edges n on n.src = b.src left join unique_edges p on p.dst = b.src) select src, is_head, is_tail from flags where is_head or is_tail",
+)
+def unitig_ends(spark, sf_dir):
+    found = _kmers(spark, sf_dir)
+    return graph.ends(graph.oriented(found), graph.unique_edges(graph.filtered(graph.edges(found), FRACTION, LOW_COUNT)))
+
+
+@_query("unitigs")
+def unitigs(spark, sf_dir):
+    return contigs.unitigs(_kmers(spark, sf_dir), K, FRACTION, LOW_COUNT).select("seq", F.size("counts").alias("n_kmers"))
+
+
+@_query("contigs")
+def contig_sequences(spark, sf_dir):
+    found = _kmers(spark, sf_dir)
+    parts = contigs.directed(contigs.trimmed(contigs.unitigs(found, K, FRACTION, LOW_COUNT), K), K)
+    return contigs.abundances(parts, found, K).select("seq", F.round("abundance", 9).alias("abundance"))
+
+
+# Reads, targets and contigs against k-mers.
+
+_PLACES = f"{_windows('tw', 'targets', 'target_id')}, places as (select kmer, min(target_id) as contig, min(pos) as contig_pos, bool_and(is_plus) as contig_plus from tw group by kmer having count(*) = 1)"
+_PLACED = f"""{_READS}, {_TARGETS}, {_windows('rw', 'reads', 'read_id')}, {_PLACES},
+hits as (select read_id, contig, contig_pos, contig_plus = is_plus as same, pos, row_number() over (partition by read_id order by pos) as n from rw join places using (kmer)),
+placed as (select read_id, contig, case when same then 1 else -1 end as strand, case when same then contig_pos - pos else contig_pos + {K} - 1 + pos end as position from hits where n = 1)"""
+
+
+@_query("read_placement", f"with {_PLACED} select read_id, contig, cast(strand as integer) as strand, cast(position as bigint) as position from placed")
+def read_placement(spark, sf_dir):
+    return mapping.place(_reads(spark, sf_dir), _target_contigs(spark, sf_dir), K)
+
+
+@_query(
+    "used_read_anti",
+    f"with {_PLACED}, deep as (select read_id from placed join (select target_id as contig, length(seq) as clen from targets) using (contig) join (select read_id, length(seq) as rlen from reads) using (read_id) "
+    f"where strand > 0 and position >= {MARGIN} and position + rlen - 1 < clen - {MARGIN} or strand < 0 and position - rlen + 1 >= {MARGIN} and position < clen - {MARGIN}) "
+    f"select read_id from reads where length(seq) >= {K} and read_id not in (select read_id from deep)",
+)
+def used_read_anti(spark, sf_dir):
+    return mapping.unused_reads(_reads(spark, sf_dir), _target_contigs(spark, sf_dir), K, MARGIN).select("read_id")
+
+
+@_query(
+    "longest_good_run",
+    f"""with {_KMERS}, good as (select read_id, pos from kw where kmer in (select kmer from kmers)),
+marks as (select read_id, pos, coalesce(pos - lag(pos) over (partition by read_id order by pos) > {K}, false)::int as fresh from good),
+islands as (select read_id, pos, sum(fresh) over (partition by read_id order by pos) as island from marks),
+runs as (select read_id, min(pos) as start, max(pos) - min(pos) + {K} as length from islands group by read_id, island),
+best as (select *, row_number() over (partition by read_id order by length desc, start) as n from runs)
+select read_id, cast(start as bigint) as start, cast(length as bigint) as length from best where n = 1""",
+)
+def longest_good_run(spark, sf_dir):
+    return mapping.longest_covered_run(_reads(spark, sf_dir), _kmers(spark, sf_dir), K, LOW_COUNT)
+
+
+@_query(
+    "target_hits",
+    f"with {_READS}, {_TARGETS}, {_windows('rw', 'reads', 'read_id')}, {_windows('tw', 'targets', 'target_id')}, a as (select read_id, kmer, count(*) as m from rw group by all), b as (select target_id, kmer, count(*) as n from tw group by all) select read_id, target_id, cast(sum(m * n) as bigint) as hits from a join b using (kmer) group by read_id, target_id",
+)
+def target_hits(spark, sf_dir):
+    return mapping.target_hits(_reads(spark, sf_dir), projection.targets(spark, sf_dir), K)
+
+
+@_query("target_seeds", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, cast(pos as bigint) as pos, kmer, cnt from tw join kmers using (kmer)")
+def target_seeds(spark, sf_dir):
+    return mapping.target_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K)
+
+
+@_query(
+    "best_target_seed",
+    f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')}, scored as (select target_id, pos, cnt, floor(cnt * 1000 / (abs(pos - length(seq) // 2) + 1)) as score from tw join kmers using (kmer) join targets using (target_id)), "
+    "best as (select *, row_number() over (partition by target_id order by score desc, pos desc) as n from scored) select target_id, cast(pos as bigint) as pos, cnt from best where n = 1",
+)
+def best_target_seed(spark, sf_dir):
+    found = mapping.best_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K)
+    return found.select("target_id", F.col("pos").cast("long").alias("pos"), "cnt")
+
+
+@_query("sequence_abundance", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, round(sum(coalesce(cnt, 0)) / count(*), 9) as abundance from tw left join kmers using (kmer) group by target_id")
+def sequence_abundance(spark, sf_dir):
+    rows = contigs.abundances(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K, "target_id")
+    return rows.select("target_id", F.round("abundance", 9).alias("abundance"))
+
+
+@_query(
+    "orient_min_kmer",
+    f"with {_TARGETS}, ids as (select distinct seq from targets), {_windows('tw', 'ids', 'seq')}, once as (select seq, kmer, bool_and(is_plus) as is_plus from tw group by seq, kmer having count(*) = 1), "
+    f"least_one as (select seq, arg_min(is_plus, {_ORD.format('kmer')}) as is_plus from once group by seq) select case when is_plus = false then {_RC.format('seq')} else seq end as seq from ids left join least_one using (seq)",
+)
+def orient_min_kmer(spark, sf_dir):
+    return contigs.directed(projection.targets(spark, sf_dir).select("seq"), K)
+
+
+@_query(
+    "overlap_links",
+    f"""with {_TARGETS}, strands as (select target_id as b, '+' as strand, seq as sb from targets union all select target_id, '-', {_RC.format('seq')} from targets),
+pairs as (select a.target_id as a, b, strand, seq as sa, sb from targets a join strands on a.target_id <> b and (strand = '+' or a.target_id < b)),
+ns as (select a, b, strand, sa, sb, unnest(range(20, least(length(sa), length(sb), 1000) + 1)) as n from pairs)
+select a, b, strand, cast(max(n) as integer) as overlap from ns where right(sa, n) = left(sb, n) group by a, b, strand""",
+)
+def overlap_links(spark, sf_dir):
+    return contigs.overlaps(_target_contigs(spark, sf_dir))
