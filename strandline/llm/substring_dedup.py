@@ -27,10 +27,9 @@ WINDOW = 35
 #: A perfect difference cover: every shift from 1 to 20 is a difference of two of these, modulo the period.
 PERIOD, COVER = 21, np.array([0, 1, 4, 14, 16])
 #: Entries that a task gathers before it packs them, and words whose hashes it remembers.
-ENTRIES_AT_ONCE, REMEMBERED = 2_000_000, 400_000
+ENTRIES_AT_ONCE, REMEMBERED = 700_000, 150_000
 #: Odd, so that powers of it can be inverted modulo 2**64.
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype="u8")
-FOUND = "key long, mark int, places binary"
 
 
 class _WordHashes(dict):
@@ -77,23 +76,25 @@ def _unpack(packed: bytes, *kinds: str) -> list[np.ndarray]:
     return [np.frombuffer(raw[e - s : e], k) for s, e, k in zip(sizes, ends, kinds, strict=True)]
 
 
-def _ranges(starts: np.ndarray) -> bytes:
-    """Sorted positions as packed gaps."""
-    return _pack(np.diff(starts, prepend=0).astype("<u4"))
-
-
 def positions(places: bytes) -> np.ndarray:
+    """Packed gaps of sorted positions."""
     return np.cumsum(_unpack(places, "<u4")[0], dtype="i8")
 
 
-def _per_text(key: np.ndarray, mark: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+def _group(key: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
+    return (_mixed(key.view("u8") ^ mark.astype("u8")) % np.uint64(groups)).astype("i8")
+
+
+def _by_group(key: np.ndarray, mark: np.ndarray, at: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
+    """The places for each group of texts, packed."""
     if not len(key):
         return
-    order = np.lexsort((at, mark, key))
-    key, mark, at = key[order], mark[order], at[order]
-    first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
-    for a, b in zip(first, np.append(first[1:], len(key)), strict=True):
-        yield int(key[a]), int(mark[a]), _ranges(at[a:b])
+    group = _group(key, mark, groups)
+    order = np.lexsort((at, mark, key, group))
+    group, key, mark, at = group[order], key[order], mark[order], at[order].astype("<u4")
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    for a, b in zip(first, np.append(first[1:], len(group)), strict=True):
+        yield int(group[a]), _pack(key[a:b], mark[a:b], at[a:b])
 
 
 def _runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,14 +105,14 @@ def _runs(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sent(hashed: Callable, buckets: int) -> Callable:
-    """Maps texts to rows bucket, key, mark, places, payload: packed hashes for a bucket, or places known to repeat."""
+    """Maps texts to rows bucket, found, payload: packed hashes for a bucket, or packed places that are known to repeat."""
 
     def flush(parts: list[tuple]) -> pd.DataFrame:
         key, mark, at, hi, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, first = _runs(hi, lo)
         size = np.diff(np.append(first, len(order)))
         again = order[np.repeat(size > 1, size)]
-        rows = [((k + m) % buckets, k, m, places, None) for k, m, places in _per_text(key[again], mark[again], at[again])]
+        rows = [(group, True, packed) for group, packed in _by_group(key[again], mark[again], at[again], buckets)]
         once, many = order[first], size > 1
         bucket = (hi[once] % np.uint64(buckets)).astype("i8")
         by = np.lexsort((at[once], mark[once], key[once], bucket))
@@ -119,8 +120,8 @@ def _sent(hashed: Callable, buckets: int) -> Callable:
         cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         for a, b in zip(cut, np.append(cut[1:], len(bucket)), strict=True):
             i = once[a:b]
-            rows.append((int(bucket[a]), None, None, None, _pack(hi[i], lo[i], key[i], mark[i], at[i].astype("<u4"), many[a:b])))
-        return pd.DataFrame(rows, columns=["bucket", "key", "mark", "places", "payload"]).astype({"key": "Int64", "mark": "Int32"})
+            rows.append((int(bucket[a]), False, _pack(hi[i], lo[i], key[i], mark[i], at[i].astype("<u4"), many[a:b])))
+        return pd.DataFrame(rows, columns=["bucket", "found", "payload"])
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo, parts, n = _WordHashes(), [], 0
@@ -139,39 +140,65 @@ def _sent(hashed: Callable, buckets: int) -> Callable:
     return send
 
 
-def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows in the order of their buckets: the places of the hashes that more than one task, or one task twice, has."""
-    bucket, packed = None, []
+def _met(buckets: int) -> Callable:
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows in the order of their buckets: the places of the hashes that more than one task, or one task twice, has."""
+        bucket, packed = None, []
 
-    def repeats() -> list[tuple]:
-        hi, lo, key, mark, at, many = (np.concatenate(x) for x in zip(*(_unpack(p, "<u8", "<u4", "<i8", "<i4", "<u4", "?") for p in packed), strict=True))
-        order, first = _runs(hi, lo)
-        size = np.diff(np.append(first, len(order)))
-        new = order[np.repeat(size > 1, size)]
-        new = new[~many[new]]  # the others' tasks know already
-        return list(_per_text(key[new], mark[new], at[new].astype("i8")))
+        def repeats() -> list[tuple]:
+            hi, lo, key, mark, at, many = (np.concatenate(x) for x in zip(*(_unpack(p, "<u8", "<u4", "<i8", "<i4", "<u4", "?") for p in packed), strict=True))
+            order, first = _runs(hi, lo)
+            size = np.diff(np.append(first, len(order)))
+            new = order[np.repeat(size > 1, size)]
+            new = new[~many[new]]  # the others' tasks know already
+            return list(_by_group(key[new], mark[new], at[new], buckets))
 
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if row.bucket != bucket:
+                    out += repeats() if packed else []
+                    bucket, packed = row.bucket, []
+                if row.found:
+                    out.append((row.bucket, row.payload))
+                else:
+                    packed.append(row.payload)
+            yield pd.DataFrame(out, columns=["bucket", "payload"])
+        if packed:
+            yield pd.DataFrame(repeats(), columns=["bucket", "payload"])
+
+    return meet
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows in the order of their groups of texts: one row for each text with places."""
+
+    def texts(packed: list[bytes]) -> pd.DataFrame:
+        key, mark, at = (np.concatenate(x) for x in zip(*(_unpack(p, "<i8", "<i4", "<u4") for p in packed), strict=True))
+        order = np.lexsort((at, mark, key))
+        key, mark, at = key[order], mark[order], at[order].astype("i8")
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
+        places = [_pack(np.diff(at[a:b], prepend=0).astype("<u4")) for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
+        return pd.DataFrame({"key": key[first], "mark": mark[first], "places": places})
+
+    group, packed = None, []
     for batch in batches:
-        out = []
         for row in batch.itertuples(index=False):
-            if row.bucket != bucket:
-                out += repeats() if packed else []
-                bucket, packed = row.bucket, []
-            if row.payload is None:
-                out.append((int(row.key), int(row.mark), row.places))
-            else:
-                packed.append(row.payload)
-        yield pd.DataFrame(out, columns=["key", "mark", "places"])
+            if row.bucket != group and packed:
+                yield texts(packed)
+                packed = []
+            group = row.bucket
+            packed.append(row.payload)
     if packed:
-        yield pd.DataFrame(repeats(), columns=["key", "mark", "places"])
+        yield texts(packed)
 
 
 def _repeated(texts: DataFrame, hashed: Callable) -> DataFrame:
-    """key, mark, places (array of packed positions) of what repeats in texts."""
-    buckets = shuffle_partitions(texts.sparkSession)
-    sent = texts.mapInPandas(_sent(hashed, buckets), "bucket long, key long, mark int, places binary, payload binary")
-    dealt = sent.repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket")
-    return dealt.mapInPandas(_met, FOUND).groupBy("key", "mark").agg(F.collect_list("places").alias("places"))
+    """key, mark, places (packed positions) of what repeats in texts."""
+    n = shuffle_partitions(texts.sparkSession)
+    sent = texts.mapInPandas(_sent(hashed, n), "bucket long, found boolean, payload binary")
+    met = sent.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInPandas(_met(n), "bucket long, payload binary")
+    return met.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInPandas(_gathered, "key long, mark int, places binary")
 
 
 def _words(memo: dict, text: bytes) -> np.ndarray:
@@ -202,7 +229,7 @@ def _extended(window: int) -> Callable:
         words = _words(memo, row.packed)
         last = len(words) - window
         near = np.zeros(last + 2 + reach, dtype="i4")  # a window begins at its anchor or up to `reach` words before
-        at = np.concatenate([positions(p) for p in row.places])
+        at = positions(row.places)
         np.add.at(near, np.maximum(at - reach, 0), 1)
         np.add.at(near, np.minimum(at, last) + 1, -1)
         at = np.flatnonzero(np.cumsum(near)[: last + 1] > 0)
@@ -243,7 +270,7 @@ def _kept(words: list[bytes], places, window: int) -> np.ndarray:
     keep = np.ones(len(words), dtype=bool)
     if places is not None:
         edge = np.zeros(len(words) + 1, dtype="i4")
-        at = np.concatenate([positions(p) for p in places])
+        at = positions(places)
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
         keep = np.cumsum(edge)[:-1] == 0
