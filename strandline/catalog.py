@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as X
+from .functions.staging import staged
 from .operators import contigs, graph, kmers, mapping, stats
 from .sources import projection, reads, sinks
 
@@ -301,12 +302,12 @@ def unitig_ends(spark, sf_dir):
 
 @_query("unitigs")
 def unitigs(spark, sf_dir):
-    return contigs.unitigs(_kmers(spark, sf_dir), K, FRACTION, LOW_COUNT).select("seq", F.size("counts").alias("n_kmers"))
+    return contigs.unitigs(staged(_kmers(spark, sf_dir), "kmers"), K, FRACTION, LOW_COUNT).select("seq", F.size("counts").alias("n_kmers"))
 
 
 @_query("contigs")
 def contig_sequences(spark, sf_dir):
-    found = _kmers(spark, sf_dir)
+    found = staged(_kmers(spark, sf_dir), "kmers")
     parts = contigs.directed(contigs.trimmed(contigs.unitigs(found, K, FRACTION, LOW_COUNT), K), K)
     return contigs.abundances(parts, found, K).select("seq", F.round("abundance", 9).alias("abundance"))
 
