@@ -395,3 +395,48 @@ select a, b, strand, cast(max(n) as integer) as overlap from ns where right(sa,
 )
 def overlap_links(spark, sf_dir):
     return contigs.overlaps(_target_contigs(spark, sf_dir))
+
+
+# Forks, bubbles and pairs.
+
+REACH, BUBBLE, SPAN = 4, 2 * K, 100
+
+
+@_query("read_n50", f"with {_READS}, l as (select length(seq) as n from reads where seq <> ''), s as (select n, sum(n) over (order by n desc rows unbounded preceding) as up_to, sum(n) over () as total from l) select cast(max(n) as bigint) as n50 from s where up_to >= floor(total * 0.5)")
+def read_n50(spark, sf_dir):
+    return stats.nxx(_reads(spark, sf_dir).select(F.length("seq").alias("length")), 0.5, "n50")
+
+
+@_query(
+    "bounded_bfs",
+    f"with recursive {_BALANCE}, links as materialized (select distinct src, dst from balanced), forked as (select src from links group by src having count(*) > 1), "
+    f"reach(start, node, depth) as (select src, dst, 1 from links join forked using (src) union select start, dst, depth + 1 from reach join links on src = node where depth < {REACH}) "
+    "select start, node, cast(min(depth) as integer) as depth from reach group by start, node",
+)
+def bounded_bfs(spark, sf_dir):
+    steps = staged(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT), "steps")
+    return graph.reachable(graph.forks(steps), steps, REACH)
+
+
+@_query("snp_bubbles")
+def snp_bubbles(spark, sf_dir):
+    found = contigs.bubbles(staged(_kmers(spark, sf_dir), "kmers"), K, BUBBLE, FRACTION, LOW_COUNT)
+    return found.select("src", "close", F.array_join("variants", ",").alias("variants"))
+
+
+@_query(
+    "pair_classes",
+    f"""with {_MATES}, {_TARGETS}, {_windows('rw', 'mates', 'pair_id, mate')}, {_PLACES},
+hits as (select pair_id, mate, contig, contig_pos, contig_plus = is_plus as same, pos, row_number() over (partition by pair_id, mate order by pos) as n from rw join places using (kmer)),
+placed as (select pair_id, mate, contig, t.seq as cseq, length(t.seq) as clen, case when same then 1 else -1 end as strand, case when same then contig_pos - pos else contig_pos + {K} - 1 + pos end as p
+    from hits join targets t on t.target_id = contig where n = 1),
+deep as (select distinct pair_id from placed where strand > 0 and p >= {MARGIN} and p + {SPAN} - 1 < clen - {MARGIN} or strand < 0 and p - {SPAN} + 1 >= {MARGIN} and p < clen - {MARGIN}),
+facing as (select a.pair_id, a.cseq, a.clen, case when a.strand > 0 then a.p else b.p end as low, case when a.strand > 0 then b.p else a.p end as high, least(a.p, b.p) as s, greatest(a.p, b.p) as e
+    from placed a join placed b on a.pair_id = b.pair_id and a.mate = 1 and b.mate = 2 and a.contig = b.contig and a.strand <> b.strand),
+both_mates as (select pair_id, min(length(seq)) as shortest from mates group by pair_id having count(*) = 2),
+fates as (select m.pair_id, cseq, clen, s, e, case when shortest < {K} then 'kept' when d.pair_id is not null or low >= {MARGIN} and high < clen - {MARGIN} then 'deep' when low >= 0 and high < clen then 'internal' else 'kept' end as fate
+    from both_mates m left join deep d on d.pair_id = m.pair_id left join facing f on f.pair_id = m.pair_id)
+select pair_id, fate, case when fate = 'internal' then substr(cseq, greatest(s, 0) + 1, least(e, clen - 1) - greatest(s, 0) + 1) end as seq from fates""",
+)
+def pair_classes(spark, sf_dir):
+    return mapping.classify_pairs(projection.mates(spark, sf_dir), _target_contigs(spark, sf_dir), K, MARGIN, SPAN)

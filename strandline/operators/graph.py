@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical, revcomp
+from ..functions.staging import staged
 from .kmers import strand_fraction
 
 # The order of bases in masks and ties, and the part of `fraction` that strand filters use.
@@ -98,3 +99,25 @@ def ends(nodes: DataFrame, kept: DataFrame) -> DataFrame:
     out = out.select("src", F.col("_last").isNull().alias("is_head"), F.col("_next").isNull().alias("is_tail"))
     return out.where("is_head or is_tail")
 
+
+
+def reachable(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
+    """start, node, depth: the nodes within `most` steps of each start (src), with the fewest steps that lead there.
+
+    A bounded number of rounds, each written to the shared folder; a start reaches itself only around a ring.
+    """
+    links = staged(steps.select("src", "dst").distinct(), "links")
+    front, found = starts.select(F.col("src").alias("start"), F.col("src").alias("node")).distinct(), None
+    for depth in range(1, most + 1):
+        front = front.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        if found is not None:
+            front = front.join(found, ["start", "node"], "left_anti")
+        front = staged(front.withColumn("depth", F.lit(depth)), "frontier")
+        found = front if found is None else found.unionByName(front)
+        front = front.drop("depth")
+    return found
+
+
+def forks(steps: DataFrame) -> DataFrame:
+    """src, dst of the nodes that have more than one successor."""
+    return steps.withColumn("_n", F.count("*").over(_fork())).where("_n > 1").select("src", "dst")

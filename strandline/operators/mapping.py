@@ -82,3 +82,30 @@ def mate_overlaps(pairs: DataFrame, shortest: int = 20) -> DataFrame:
     n = F.least(F.length("a"), F.length("b"))
     fits = F.filter(F.sequence(F.lit(shortest), n), lambda i: F.col("a").endswith(F.substr("b", F.lit(1), i)))
     return both.select("pair_id", F.coalesce(F.array_max(fits), F.lit(0)).cast("long").alias("overlap"))
+
+
+def classify_pairs(pairs: DataFrame, contigs: DataFrame, k: int, margin: int, span: int) -> DataFrame:
+    """pair_id, fate, seq of each pair with both mates (pair_id, mate, seq), by where its mates lie in contigs (id, seq).
+
+    deep: a mate and `span` bases on from it lie in a contig with the margin to its ends, or the mates face each other so;
+    internal: the mates face each other inside a contig, and seq is what lies between them; kept: all others.
+    """
+    n = contigs.select(F.col("id").alias("contig"), F.length("seq").alias("clen"))
+    reads = pairs.select(F.struct("pair_id", "mate").alias("read_id"), "seq")
+    at = place(reads, contigs, k).join(n, "contig").select("read_id.pair_id", "read_id.mate", F.struct("contig", "strand", "position", "clen").alias("x"))
+    at = at.groupBy("pair_id").agg(*(F.max(F.when(F.col("mate") == m, F.col("x"))).alias(f"x{m}") for m in (1, 2)))
+    both = pairs.groupBy("pair_id").agg(F.count("*").alias("_n"), F.min(F.length("seq")).alias("shortest")).where("_n = 2").join(at, "pair_id", "left")
+    a, b, m = F.col("x1"), F.col("x2"), F.lit(margin)
+
+    def deep(x):
+        end = x["clen"] - m
+        ahead = (x["strand"] > 0) & (x["position"] >= m) & (x["position"] + span - 1 < end)
+        return F.coalesce(ahead | (x["strand"] < 0) & (x["position"] - span + 1 >= m) & (x["position"] < end), F.lit(False))
+
+    low, high = (F.when(a["strand"] > 0, f["position"]).otherwise(g["position"]) for f, g in ((a, b), (b, a)))
+    facing = F.coalesce((a["contig"] == b["contig"]) & (a["strand"] != b["strand"]), F.lit(False))
+    fate = F.when(F.col("shortest") < k, "kept").when(deep(a) | deep(b), "deep").when(facing & (low >= m) & (high < a["clen"] - m), "deep")
+    fate = fate.when(facing & (low >= 0) & (high < a["clen"]), "internal").otherwise("kept")
+    least, most = F.greatest(F.least(a["position"], b["position"]), F.lit(0)), F.least(F.greatest(a["position"], b["position"]), a["clen"] - 1)
+    rows = both.select("pair_id", fate.alias("fate"), F.when(fate == "internal", a["contig"]).alias("id"), (least + 1).cast("int").alias("start"), (most - least + 1).cast("int").alias("n"))
+    return rows.join(contigs.select("id", "seq"), "id", "left").select("pair_id", "fate", F.substr("seq", F.col("start"), F.col("n")).alias("seq"))

@@ -159,3 +159,37 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     summed = spark.read.parquet(str(tmp_path / "parts")).groupBy("kmer").agg({"cnt": "sum"}).withColumnRenamed("sum(cnt)", "cnt")
     assert {tuple(r) for r in kmers.histogram(summed).collect()} == whole
+
+
+def test_a_changed_base_is_a_bubble(spark):
+    g, k = genome(23, 300), 21
+    other = g[:150] + ("A" if g[150] != "A" else "C") + g[151:]
+    counts = kmers.count_kmers(frame(spark, [s for x in (g, other) for s in (x, rc(x))] * 3), k)
+    rows = contigs.bubbles(counts, k, 2 * k).collect()
+    assert len(rows) == 1
+    want = {g[150], other[150]}
+    assert set(rows[0]["variants"]) in (want, {rc(b) for b in want})
+    assert rows[0]["src"] in (g[129:150], rc(g[151:172]))
+    assert contigs.bubbles(kmers.count_kmers(frame(spark, [g, g]), k), k, 2 * k).count() == 0
+
+
+def test_reach_equals_brute_force(spark):
+    links = {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("e", "f")}
+    df = spark.createDataFrame(sorted(links), "src string, dst string")
+    got = {tuple(r) for r in graph.reachable(graph.forks(df), df, 3).select("start", "node", "depth").collect()}
+    assert got == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "a", 3)}
+
+
+def test_pairs_by_their_place(spark):
+    g = genome(29, 600)
+    contig = spark.createDataFrame([(1, g)], "id long, seq string")
+    mates = [
+        (0, g[100:160], rc(g[200:260])),  # deep on its own
+        (1, g[10:60], rc(g[520:590])),  # faces its mate inside
+        (2, g[540:590], genome(31, 50)),  # one mate elsewhere
+        (3, g[100:110], rc(g[200:260])),  # too short
+    ]
+    rows = [(i, m, s) for i, a, b in mates for m, s in ((1, a), (2, b))] + [(4, 1, g[100:160])]
+    pairs = spark.createDataFrame(rows, "pair_id long, mate int, seq string")
+    got = {r["pair_id"]: (r["fate"], r["seq"]) for r in mapping.classify_pairs(pairs, contig, 21, 50, 100).collect()}
+    assert got == {0: ("deep", None), 1: ("internal", g[10:590]), 2: ("kept", None), 3: ("kept", None)}
