@@ -9,6 +9,7 @@ fitted to the margins of rows that their fold's model has not seen.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,39 +24,48 @@ DIMENSIONS, SAMPLE, REMEMBERED = 1 << 18, 6000, 300_000
 #: Smoothing of class counts, weight of a row's loss, rounds over the rows, folds for the curve.
 SMOOTHING, COST, ROUNDS, FOLDS = 1.0, 1.0, 12, 4
 THRESHOLD = 0.3
-_SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: "A" if m[0].isupper() else "a" if m[0].islower() else "Aa"), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
+_SHAPES = [(re.compile(r"[^\W\d_]+"), lambda m: _case(m[0])), (re.compile(r"\d+"), "0"), (re.compile(r"([^\w\s])\1+"), r"\1\1")]
+
+
+def _case(letters: str) -> str:
+    return "A" if letters.isupper() else "a" if letters.islower() else "Aa"
 
 
 def shape(word: str) -> str:
+    if word.isalpha():  # most words, with or without one sign behind them, need no patterns
+        return _case(word)
+    if word[:-1].isalpha() and word[-1] in ".,;:!?":
+        return _case(word[:-1]) + word[-1]
     for pattern, by in _SHAPES:
         word = pattern.sub(by, word)
     return word
 
 
 class _Words(dict):
-    """Numbers of words, whose hashes and hashed shapes are in lists."""
+    """Numbers of words, whose hashes and hashed shapes are in arrays."""
 
     def __init__(self):
-        self.word, self.shape = [], []
+        self.word, self.shape, self.shapes = array("Q"), array("Q"), {}
 
     def __missing__(self, w: str) -> int:
         self[w] = n = len(self.word)
         self.word.append(xxhash.xxh64_intdigest(w.lower()))
-        self.shape.append(xxhash.xxh64_intdigest(shape(w[:64]), 1))
+        form = shape(w[:64])
+        if form not in self.shapes:
+            self.shapes[form] = xxhash.xxh64_intdigest(form, 1)
+        self.shape.append(self.shapes[form])
         return n
 
     def ngrams(self, text: str) -> np.ndarray:
         """The text's n-grams as sorted numbers under DIMENSIONS."""
         if len(self) > REMEMBERED:
             self.clear()
-            self.word, self.shape = [], []
+            self.word, self.shape, self.shapes = array("Q"), array("Q"), {}
         found = text.split()
         if not found:
             return np.empty(0, dtype="i4")
         at = np.fromiter(map(self.__getitem__, found), dtype="i8", count=len(found))
-        seen, at = np.unique(at, return_inverse=True)
-        word = np.array([self.word[i] for i in seen], dtype="u8")[at]
-        form = np.array([self.shape[i] for i in seen], dtype="u8")[at]
+        word, form = np.frombuffer(self.word, dtype="u8")[at], np.frombuffer(self.shape, dtype="u8")[at]
         k = np.uint64(0x9E3779B97F4A7C15)
         same = (word[1:] == word[:-1]).astype("u8")
         parts = [word, form, word[:-1] * k ^ word[1:], form[:-1] * k ^ (form[1:] + same)]
