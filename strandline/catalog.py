@@ -440,3 +440,48 @@ select pair_id, fate, case when fate = 'internal' then substr(cseq, greatest(s,
 )
 def pair_classes(spark, sf_dir):
     return mapping.classify_pairs(projection.mates(spark, sf_dir), _target_contigs(spark, sf_dir), K, MARGIN, SPAN)
+
+
+# Contigs against the graph of the reads.
+
+KS = (21, 31)
+_BY_K = ", ".join(_windows(f"w{k}", "reads", "read_id", k) for k in KS)
+_HISTS = " union all ".join(f"select {k} as k, cnt, count(*) as freq from (select kmer, count(*) as cnt from w{k} group by kmer) group by cnt" for k in KS)
+
+
+@_query("graph_histograms", f"with {_READS}, {_BY_K}, hists as ({_HISTS}) select concat_ws(chr(9), k, cnt, freq) as value from hists")
+def graph_histograms(spark, sf_dir):
+    return sinks.graph_histogram_lines({k: kmers.histogram(kmers.count_kmers(_reads(spark, sf_dir), k)) for k in KS})
+
+
+@_query(
+    "node_states",
+    f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')}, held as (select kmer, case when count(*) > 1 then 3 else 1 end as state from tw group by kmer) "
+    "select kmer, cast(coalesce(state, 0) as integer) as state from kmers left join held using (kmer)",
+)
+def node_states(spark, sf_dir):
+    return contigs.node_states(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K)
+
+
+@_query("seed_survival", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id from tw left join kmers using (kmer) group by target_id having sum(coalesce(cnt, 0)) >= {LOW_COUNT} * count(*) union all select target_id from targets where length(seq) < {K}")
+def seed_survival(spark, sf_dir):
+    return contigs.surviving_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K, LOW_COUNT, "target_id")
+
+
+@_query(
+    "variant_scores",
+    f"""with {_KMERS}, {_TARGETS}, changed as (select target_id, base as text, right(left(seq, length(seq) // 2), {K - 1}) || base || left(substr(seq, length(seq) // 2 + 2), {K - 1}) as seq from targets cross join (select unnest(['A', 'C', 'G', 'T']) as base) where seq <> ''),
+{_windows('vw', 'changed', 'target_id, text')}, sums as (select target_id, text, sum(cnt) as n from vw join kmers using (kmer) group by all),
+shares as (select target_id, text, coalesce(n, 0) as n, sum(coalesce(n, 0)) over (partition by target_id) as total from changed left join sums using (target_id, text))
+select target_id, text, round(case when total > 0 then n / total else 0 end, 9) as score, cast(row_number() over (partition by target_id order by n desc, text desc) as integer) as rank from shares""",
+)
+def variant_scores(spark, sf_dir):
+    """The base in the middle of each target against the other three."""
+    mid = F.floor(F.length("seq") / 2).cast("int")
+    rows = projection.targets(spark, sf_dir).where("seq <> ''").select(F.col("target_id").alias("id"), F.substr("seq", F.lit(1), mid).alias("before"), F.explode(F.array(*map(F.lit, "ACGT"))).alias("text"), F.substr("seq", mid + 2).alias("after"))
+    return contigs.variant_scores(rows, _kmers(spark, sf_dir), K).select(F.col("id").alias("target_id"), "text", F.round("score", 9).alias("score"), "rank")
+
+
+@_query("kmers_outside", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select kmer, cnt from kmers where kmer not in (select kmer from tw)")
+def kmers_outside(spark, sf_dir):
+    return contigs.kmers_outside(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K).select("kmer", "cnt")

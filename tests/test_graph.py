@@ -123,7 +123,7 @@ def test_queries_have_names_and_sql():
     assert set(catalog.ORACLE_SQL) <= set(catalog.QUERIES)
 
 
-@pytest.mark.parametrize("name", ["kmer_hist", "branch_bits", "strand_balance", "longest_good_run", "six_frame", "clean_reads"])
+@pytest.mark.parametrize("name", ["kmer_hist", "branch_bits", "strand_balance", "longest_good_run", "six_frame", "clean_reads", "graph_histograms", "node_states", "seed_survival", "variant_scores", "kmers_outside"])
 def test_queries_equal_sql(spark, tmp_path, name):
     draw = random.Random(4)
     text = ["".join(draw.choice("abcdefgh ,.Z") for _ in range(300)) for _ in range(6)]
@@ -193,3 +193,21 @@ def test_pairs_by_their_place(spark):
     pairs = spark.createDataFrame(rows, "pair_id long, mate int, seq string")
     got = {r["pair_id"]: (r["fate"], r["seq"]) for r in mapping.classify_pairs(pairs, contig, 21, 50, 100).collect()}
     assert got == {0: ("deep", None), 1: ("internal", g[10:590]), 2: ("kept", None), 3: ("kept", None)}
+
+
+def test_variants_share_the_counts(spark):
+    g, k = genome(37, 120), 21
+    other = g[:60] + ("A" if g[60] != "A" else "C") + g[61:]
+    counts = kmers.count_kmers(frame(spark, [g] * 3 + [other]), k)
+    places = [(1, g[:60], b, g[61:]) for b in (g[60], other[60])] + [(2, "", g, ""), (3, "A" * 30, "C", "C" * 30), (3, "A" * 30, "G", "C" * 30)]
+    rows = contigs.variant_scores(spark.createDataFrame(places, "id long, before string, text string, after string"), counts, k).collect()
+    assert {(r["id"], r["text"]): (r["score"], r["rank"]) for r in rows} == {(1, g[60]): (0.75, 1), (1, other[60]): (0.25, 2), (2, g): (1.0, 1), (3, "G"): (0.0, 1), (3, "C"): (0.0, 2)}
+
+
+def test_contigs_in_the_graph(spark):
+    g, k = genome(41, 100), 21
+    counts = kmers.count_kmers(frame(spark, [g, g]), k)
+    parts = spark.createDataFrame([(g[:40],), (g[15:60],), (genome(43, 50),), ("ACGT",)], "seq string")
+    states = {r["state"]: r["n"] for r in contigs.node_states(counts, parts, k).groupBy("state").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert states == {3: 5, 1: 35, 0: 40} and contigs.kmers_outside(counts, parts, k).count() == 40
+    assert {r["seq"] for r in contigs.surviving_seeds(parts, counts, k, 2).collect()} == {g[:40], g[15:60], "ACGT"}
