@@ -244,6 +244,28 @@ def test_pages_without_marks_lose_what_their_host_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_runs_are_sought_over_the_whole_host(spark):
+    draw = random.Random(8)
+    pages, streams = [], []
+    for i in range(120):  # more than 1 MB on one host; a notice stands on two pages only
+        notice = " ".join(f"n{i // 2}-{j}" for j in range(9))
+        body = " ".join(f"{draw.randrange(10**9)}" for _ in range(20))
+        streams.append(f"<p>{body}</p><p>{notice}</p><!-- {'x' * 10_000} -->")
+        pages.append((i % 7, "http://big.com/a", streams[-1]))
+    pages += [(200, "http://other.com/a", streams[0]), (201, "http://other.com/b", "<p>n0-0 n0-1</p>"), (None, "http://big.com/a", streams[5])]
+    pages += [(300, "http://mixed.com/a", "<article>x</article><p>one two three four five six seven eight</p>"), (301, "http://mixed.com/b", "<p>y one two three four five six seven eight</p>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    got = collections.Counter((r["page_id"], r["url"], r["text"]) for r in html_text.extract(df).collect())
+    want = collections.Counter()
+    for host in ("big", "other", "mixed"):
+        own = [p for p in pages if host in p[1]]
+        want.update((p[0], p[1], t) for p, t in zip(own, html_text.main_texts([html_text.blocks(p[2]) for p in own]), strict=True))
+    assert got == want
+    texts = [t for _, u, t in got if "big" in u]
+    assert len(texts) == 121 and not any("n" in t for t in texts)
+    assert got[301, "http://mixed.com/b", "y"] == got[300, "http://mixed.com/a", "x"] == 1
+
+
 # Licenses.
 
 
