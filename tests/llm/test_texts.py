@@ -244,6 +244,19 @@ def test_pages_without_marks_lose_what_their_host_repeats(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_is_kept():
+    def text(page):
+        return html_text.main_texts([html_text.blocks(page)])[0]
+
+    assert text("<main>long text</main><div class=related><article>teaser</article></div>") == "long text"
+    assert text("<main>before <article>inside</article> after <div class=related><article>teaser</article></div></main>") == "before inside after"
+    assert text("<div class=sidebar><main>a <article>b</article> c</main></div><p>d</p>") == "a b c"
+    words = " ".join(f"w{i}" for i in range(30))
+    copies = [html_text.blocks(f"<p>{words}</p>")] * 2
+    assert html_text.main_texts(copies) == [words, words]
+    assert html_text.main_texts([*copies, html_text.blocks(f"<p>own {words}</p>")]) == ["", "", "own"]
+
+
 def test_runs_are_sought_over_the_whole_host(spark):
     draw = random.Random(8)
     pages, streams = [], []
