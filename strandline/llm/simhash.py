@@ -64,14 +64,16 @@ def simhashes(texts: list[str], words: int = WORDS) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key (doc_id, a null one as a number of its own) and fp (the fingerprint as a signed long) of each row."""
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", more: tuple[str, ...] = ()) -> DataFrame:
+    """key (doc_id, a null one as a number of its own), fp (the fingerprint as a signed long) and the longs `more` of each row."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "fp": simhashes(batch["text"].tolist()).view("<i8")})
+            fps = simhashes(batch.pop("text").tolist()).view("<i8")
+            yield batch.assign(fp=fps)[["key", "fp", *more]]
 
-    return docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(hashed, "key long, fp long")
+    rows = docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text"), *more)
+    return rows.mapInPandas(hashed, ", ".join(f"{c} long" for c in ("key", "fp", *more)))
 
 
 def _half_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,21 +191,36 @@ def near_links(reps: DataFrame, compared: int = COMPARED) -> DataFrame:
     return links.unionByName(whole.mapInPandas(_stars, "u long, v long")) if dense.limit(1).count() else links
 
 
+def _roots_of(fps: DataFrame, compared: int) -> DataFrame:
+    """fp, root of each fingerprint that reaches a smaller one, where root is the smallest that it reaches."""
+    reps = staged(fps.select("fp", F.col("fp").alias("node")).distinct(), "simhash-reps")
+    roots = smallest_reachable(near_links(reps, compared), "simhash-components")
+    return roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", compared: int = COMPARED) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable over links of at most 3 bits) of each row.
 
     Null and empty texts have the fingerprint zero and are linked like any other. Rows that repeat an id stay rows of
-    their own; a null id is its own and, as the smallest, names its component null. An empty table gives an empty result.
+    their own and link nothing by it, so components apart may have the same component_id; a null id, as the smallest,
+    names its component null. An empty table gives an empty result.
     """
     fps = staged(fingerprints(docs, text, doc_id), "simhash-fps")
-    reps = staged(fps.groupBy("fp").agg(F.min("key").alias("node")), "simhash-reps")
-    roots = smallest_reachable(near_links(reps, compared), "simhash-components")
-    named = reps.join(roots.withColumnRenamed("u", "node"), "node", "left").select("fp", F.coalesce("v", "node").alias("component"))
+    least = fps.groupBy("fp").agg(F.min("key").alias("key")).join(_roots_of(fps, compared), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = staged(least, "simhash-least")
+    named = least.join(least.groupBy("root").agg(F.min("key").alias("component")), "root").select("fp", "component")
     return fps.join(named, "fp").select(id_of(F.col("key")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of(F.col("component")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each group of near duplicates: the one of the smallest id, of rows that repeat it one."""
-    named = near_duplicates(docs, text, doc_id).where("doc_id <=> component_id").select(key_of(F.col("doc_id")).alias("_key")).distinct()
-    kept = docs.withColumn("_key", key_of(F.col(doc_id))).join(named, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).drop("_key").select(*docs.columns)
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", compared: int = COMPARED) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one of the smallest id, of rows that repeat it the one of
+    the smallest hash of the text, then of the row."""
+    own = [c for c, t in docs.dtypes if "map<" not in t]
+    marks = {"_key": key_of(F.col(doc_id)), "_text": F.xxhash64(F.coalesce(text, F.lit(""))), "_row": F.xxhash64(*(F.col(c) for c in own))}
+    marked = docs.withColumns(marks)
+    fps = staged(fingerprints(marked, text, doc_id, ("_text", "_row")), "simhash-fps")
+    first = F.min(F.struct("key", "_text", "_row")).alias("first")
+    least = fps.groupBy("fp").agg(first).join(_roots_of(fps, compared), "fp", "left")
+    chosen = least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    chosen = chosen.select(F.col("first.key").alias("_key"), "first._text", "first._row")
+    return marked.join(chosen, list(marks), "left_semi").dropDuplicates(list(marks)).select(*docs.columns)

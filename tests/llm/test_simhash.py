@@ -66,6 +66,20 @@ def test_null_ids_and_empty_tables(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_without_own_ids_link_nothing(spark):
+    draw = random.Random(11)
+    unlike = [" ".join(str(draw.randrange(10**6)) for _ in range(40)) for _ in range(8)]
+    # three unlike texts without id, two that share an id, and a copy of one of each
+    rows = [(None, unlike[0], 0), (None, unlike[1], 0), (None, unlike[2], 0), (7, unlike[3], 0), (7, unlike[4], 0), (8, unlike[0], 1), (9, unlike[4], 1), (10, unlike[5], 0), (10, unlike[5], 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra long").repartition(3)
+    kept = [tuple(r) for r in simhash.keep_one(df).collect()]
+    want = [(None, unlike[0], 0), (None, unlike[1], 0), (None, unlike[2], 0), (7, unlike[3], 0), (7, unlike[4], 0), (10, unlike[5], 0)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    got = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash.near_duplicates(df).collect()}
+    hexes = [f"{fingerprint(t):016x}" for t in unlike]
+    assert got == {(None, hexes[0], None), (None, hexes[1], None), (None, hexes[2], None), (7, hexes[3], 7), (7, hexes[4], 7), (8, hexes[0], None), (9, hexes[4], 7), (10, hexes[5], 10)}
+
+
 @pytest.mark.parametrize("compared", [2, 5, 1000])
 @pytest.mark.parametrize("cut", [1, 3, 7, 1000])
 def test_groups_across_batches(compared, cut):
