@@ -59,11 +59,17 @@ def with_window_hashes(docs: DataFrame, lengths: list[int]) -> DataFrame:
     return docs
 
 
-def with_hits(docs: DataFrame, grams: DataFrame, text: str) -> DataFrame:
-    """docs with w (its words) and hits (array of struct at, len, gram): its windows that are windows of the benchmark."""
+def with_hits(docs: DataFrame, grams: DataFrame, text: str, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """docs with w (its words) and hits (array of struct at, len, gram): its windows that are windows of the benchmark.
+
+    More than most_grams windows of the benchmark are an error.
+    """
     known = grams.select("len", "gram").distinct()
     by_len: dict[int, list[str]] = {}
-    for row in known.limit(MOST_GRAMS).collect():
+    rows = known.limit(most_grams + 1).collect()
+    if len(rows) > most_grams:
+        raise ValueError(f"the benchmark has more than {most_grams} windows")
+    for row in rows:
         by_len.setdefault(row["len"], []).append(row["gram"])
     docs = docs.withColumn("w", split_words(F.col(text)))
     if not by_len:
@@ -122,7 +128,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     grams = grams_of(benchmark, text, item_id, window)
     docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias(text))
     if grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams:
-        base = with_hits(docs, grams, text).select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), "hits")
+        base = with_hits(docs, grams, text, most_grams).select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), "hits")
         found = base.select("uid", "doc_id", "n_words", F.explode_outer("hits").alias("x")).select("uid", "doc_id", "n_words", "x.at", "x.len", "x.gram")
         found = found.join(F.broadcast(grams), ["len", "gram"], "left")
     else:
@@ -141,7 +147,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     whole = docs.select(F.struct(*columns).alias("doc"), F.col(text).alias(text))
     if grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams:
         # the row number keeps the optimizer from moving the filter, and with it all hashing, into one expression
-        found = with_hits(whole, grams, text).select("doc", F.size("hits").alias("n"), F.monotonically_increasing_id().alias("row"))
+        found = with_hits(whole, grams, text, most_grams).select("doc", F.size("hits").alias("n"), F.monotonically_increasing_id().alias("row"))
         return found.where("n = 0 and row >= 0").select("doc.*")
     whole = whole.withColumn("uid", F.xxhash64(text))  # rows of one text are hit together
     lengths = [r[0] for r in grams.select("len").distinct().collect()]

@@ -113,6 +113,16 @@ def test_scan_equals_brute_force(spark, most):
     assert decontamination.scan(d.limit(0), b).count() == 0
 
 
+def test_a_bound_over_the_usual_one_loses_no_windows(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "MOST_GRAMS", 2)
+    texts = [(i, f"w{i}") for i in range(6)]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(texts, "item_id long, text string")
+    assert decontamination.scan(d, b, most_grams=100).where("contaminated").count() == 6
+    assert decontamination.drop_contaminated(d, b, most_grams=100).count() == 0
+    with pytest.raises(ValueError):
+        decontamination.with_hits(d, decontamination.grams_of(b, "text", "item_id", 10), "text", 5)
+
+
 # Mixing.
 
 
