@@ -50,7 +50,7 @@ class _Words(dict):
     def __missing__(self, w: str) -> int:
         self[w] = n = len(self.word)
         self.word.append(xxhash.xxh64_intdigest(w.lower()))
-        form = shape(w[:64])
+        form = shape(w)
         if form not in self.shapes:
             self.shapes[form] = xxhash.xxh64_intdigest(form, 1)
         self.shape.append(self.shapes[form])

@@ -68,6 +68,13 @@ def test_hinge_loss_comes_to_its_least():
     assert np.mean([(model.margin(r) > 0) == g for r, g in zip(rows, good, strict=True)]) > 0.9
 
 
+def test_long_words_count_whole():
+    words = quality._Words()
+    head = "ab1" * 30
+    a, b = words[head + "..."], words[head + "!!!"]
+    assert words.shape[a] != words.shape[b]
+
+
 def test_stages_work_on_what_is_left(spark, tmp_path):
     docs, labels = corpus(200, 2)
     draw = random.Random(7)
