@@ -39,9 +39,9 @@ def _windows(name: str, source: str, key: str, k: int = K) -> str:
 
 _READS = f"reads as (select doc_id as read_id, {_SEQ} as seq from documents)"
 _TARGETS = f"targets as (select item_id as target_id, {_SEQ} as seq from benchmark)"
-_MATES = f"mates as (select conv_id as pair_id, cast(turn + 1 as integer) as mate, {_SEQ} as seq from conversations where turn in (0, 1))"
+_MATES = f"mates as (select conv_id || ':' || (turn // 2) as pair_id, cast(turn % 2 + 1 as integer) as mate, {_SEQ} as seq from conversations)"
 _COUNTS = f"{_READS}, {_windows('kw', 'reads', 'read_id')}, counts as (select kmer, count(*) as cnt, cast(sum(is_plus::int) as bigint) as plus from kw group by kmer)"
-_KMERS = f"{_COUNTS}, kmers as (select * from counts where cnt >= {MIN_COUNT})"
+_KMERS = f"{_COUNTS}, kmers as materialized (select * from counts where cnt >= {MIN_COUNT})"
 _EDGES = f"""{_KMERS},
 both_ways as (select distinct node, src from (select kmer as node, kmer as src from kmers union all select kmer, {_RC.format('kmer')} from kmers)),
 steps as (select src, node, nt, substr(src, 2) || base as dst from both_ways, (values (0, 'A'), (1, 'C'), (2, 'T'), (3, 'G')) b(nt, base)),
@@ -56,12 +56,13 @@ by_ggt as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, co
     max(case when ends_with(dst, 'GGT') and cnt > 5 then cnt * (1 - plus_frac) end) over (partition by src) as target from by_abundance)
     where n = 1 or target is null or cnt * (1 - plus_frac) >= 0.1 * {FRACTION} * target)"""
 _BALANCE = f"""{_GGT},
-balanced as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n,
+balanced as materialized (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n,
     bool_or(cnt >= {LOW_COUNT} and least(plus_frac, 1 - plus_frac) > 0.25) over (partition by src) as both_strands from by_ggt)
     where n = 1 or not both_strands or cnt <= 1 or least(plus_frac, 1 - plus_frac) >= 0.1 * {FRACTION} * greatest(plus_frac, 1 - plus_frac))"""
 _UNIQUE = f"""{_BALANCE},
-single as (select src, dst from (select *, count(*) over (partition by src) as n from balanced) where n = 1),
-unique_edges as (select s.src, s.dst from single s join single b on b.src = {_RC.format('s.dst')} and b.dst = {_RC.format('s.src')})"""
+single as materialized (select src, any_value(dst) as dst from balanced group by src having count(*) = 1),
+turned as (select {_RC.format('dst')} as src, {_RC.format('src')} as dst from single),
+unique_edges as (select src, dst from single intersect select src, dst from turned)"""
 _LENGTHS = "lengths as (select n_chars as length from documents where n_chars > 0), sorted as (select length, sum(length) over (order by length desc rows unbounded preceding) as up_to, row_number() over (order by length desc) as rank, sum(length) over () as total from lengths)"
 
 
@@ -83,8 +84,25 @@ def _kmers(spark: SparkSession, sf_dir: str, least: int = MIN_COUNT) -> DataFram
     return kmers.count_kmers(_reads(spark, sf_dir), K, least)
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.edges(_kmers(spark, sf_dir))
+def _lettered(spark: SparkSession, sf_dir: str, least: int = MIN_COUNT) -> DataFrame:
+    return kmers.lettered(_kmers(spark, sf_dir, least), K)
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers that a query reads more than once."""
+    return staged(_kmers(spark, sf_dir), "kmers")
+
+
+def _forks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.forks_of(_table(spark, sf_dir), K, LOW_COUNT)
+
+
+def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.filtered(_forks(spark, sf_dir), K, FRACTION, LOW_COUNT)
+
+
+def _steps(forks: DataFrame) -> DataFrame:
+    return kmers.lettered(graph.successors(forks, K).select("src", "dst", "cnt"), K, "src", "dst")
 
 
 def _target_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +118,7 @@ def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("kmer_count", f"with {_KMERS} select kmer, cnt, plus from kmers")
 def kmer_count(spark, sf_dir):
-    return _kmers(spark, sf_dir)
+    return _lettered(spark, sf_dir)
 
 
 @_query("kmer_hist", f"with {_COUNTS} select cnt as count, count(*) as freq from counts group by cnt")
@@ -110,7 +128,7 @@ def kmer_hist(spark, sf_dir):
 
 @_query("kmer_text", f"with {_KMERS} select kmer || chr(9) || cnt || chr(9) || plus as value from kmers order by kmer")
 def kmer_text(spark, sf_dir):
-    return sinks.kmer_lines(_kmers(spark, sf_dir))
+    return sinks.kmer_lines(_lettered(spark, sf_dir))
 
 
 @_query("histogram_text", f"with {_COUNTS} select cnt || chr(9) || count(*) as value from counts group by cnt order by cnt")
@@ -120,7 +138,7 @@ def histogram_text(spark, sf_dir):
 
 @_query("min_count_filter", f"with {_COUNTS} select kmer, cnt from counts where cnt >= 5")
 def min_count_filter(spark, sf_dir):
-    return _kmers(spark, sf_dir, 5).select("kmer", "cnt")
+    return _lettered(spark, sf_dir, 5).select("kmer", "cnt")
 
 
 @_query("canonical_orientation", f"with {_READS}, {_windows('kw', 'reads', 'read_id')} select read_id, count(*) as n_kmers, cast(sum(is_plus::int) as bigint) as n_plus from kw group by read_id")
@@ -131,7 +149,7 @@ def canonical_orientation(spark, sf_dir):
 
 @_query("plus_fraction", f"with {_KMERS} select kmer, cnt, plus, cast(floor(plus::double / cnt * 65535 + 0.5) as integer) as plus_q from kmers")
 def plus_fraction(spark, sf_dir):
-    return kmers.strand_fraction(_kmers(spark, sf_dir))
+    return kmers.strand_fraction(_lettered(spark, sf_dir))
 
 
 _ADAPTERS = f"{_READS}, {_windows('aw', 'reads', 'read_id', 19)}, adapters as (select kmer, count(*) as cnt from aw group by kmer having count(*) >= {ADAPTER_LIMIT} and count(*) > floor(0.05 * (select count(*) from reads)))"
@@ -139,7 +157,7 @@ _ADAPTERS = f"{_READS}, {_windows('aw', 'reads', 'read_id', 19)}, adapters as (s
 
 @_query("adapter_kmers", f"with {_ADAPTERS} select kmer, cnt from adapters")
 def adapter_kmers(spark, sf_dir):
-    return kmers.adapter_kmers(_reads(spark, sf_dir), 0.05, ADAPTER_LIMIT)
+    return kmers.lettered(kmers.adapter_kmers(_reads(spark, sf_dir), 0.05, ADAPTER_LIMIT), 19)
 
 
 @_query("adapter_clip", f"with {_ADAPTERS}, hits as (select read_id, min(pos) as cut from aw join adapters using (kmer) group by read_id), clipped as (select read_id, case when cut is null then seq else substr(seq, 1, cut) end as seq from reads left join hits using (read_id)) select read_id, seq from clipped where seq <> ''")
@@ -209,9 +227,10 @@ def six_frame(spark, sf_dir):
     return projection.targets(spark, sf_dir).select("target_id", F.explode(X.frames(F.col("seq"))).alias("f")).select("target_id", "f.frame", "f.protein")
 
 
-@_query("mate_pairs", f"with {_MATES}, n as (select pair_id, sum((seq <> '')::int) as n from mates group by pair_id) select case when n = 2 then pair_id end as pair_id, case when n = 2 then mate end as mate, seq from mates join n using (pair_id) where seq <> ''")
+@_query("mate_pairs", f"with {_MATES}, n as (select pair_id, sum((seq <> '')::int) as n from mates group by pair_id) select case when n = 2 then pair_id end as pair_id, case when n = 2 then mate else 0 end as mate, seq from mates join n using (pair_id) where seq <> ''")
 def mate_pairs(spark, sf_dir):
-    return reads.demote(projection.mates(spark, sf_dir)).select("pair_id", "mate", "seq")
+    """All turns; mate 0: unpaired."""
+    return reads.demote(projection.mates(spark, sf_dir)).select("pair_id", F.coalesce("mate", F.lit(0)).alias("mate"), "seq")
 
 
 @_query(
@@ -258,37 +277,38 @@ def stats_report(spark, sf_dir):
 
 @_query("edges", f"with {_EDGES} select src, nt, dst, cnt, round(plus_frac, 9) as plus_frac from edges")
 def edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("src", "nt", "dst", "cnt", F.round("plus_frac", 9).alias("plus_frac"))
+    rows = graph.edges(_table(spark, sf_dir), K).select("src", "nt", "dst", "cnt", F.round("plus_frac", 9).alias("plus_frac"))
+    return kmers.lettered(rows, K, "src", "dst")
 
 
 @_query("branch_bits", f"with {_EDGES}, masks as (select node as kmer, bit_or(case when flipped then 16 << nt else 1 << nt end) as branch from edges group by node) select kmer, cast(coalesce(branch, 0) as integer) as branch from kmers left join masks using (kmer)")
 def branch_bits(spark, sf_dir):
-    return graph.branches(_kmers(spark, sf_dir))
+    return kmers.lettered(graph.branches(_table(spark, sf_dir), K), K)
 
 
 @_query("fork_abundance_filter", f"with {_ABUNDANCE} select src, dst, cnt from by_abundance")
 def fork_abundance_filter(spark, sf_dir):
-    return graph.by_abundance(_edges(spark, sf_dir).where(F.col("cnt") >= LOW_COUNT), FRACTION, LOW_COUNT).select("src", "dst", "cnt")
+    return _steps(graph.by_abundance(_forks(spark, sf_dir), FRACTION, LOW_COUNT))
 
 
 @_query("fork_ggt", f"with {_GGT} select src, dst, cnt from by_ggt")
 def fork_ggt(spark, sf_dir):
-    return graph.by_ggt(graph.by_abundance(_edges(spark, sf_dir).where(F.col("cnt") >= LOW_COUNT), FRACTION, LOW_COUNT), FRACTION).select("src", "dst", "cnt")
+    return _steps(graph.by_ggt(graph.by_abundance(_forks(spark, sf_dir), FRACTION, LOW_COUNT), K, FRACTION))
 
 
 @_query("strand_balance", f"with {_BALANCE} select src, dst, cnt from balanced")
 def strand_balance(spark, sf_dir):
-    return graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT).select("src", "dst", "cnt")
+    return _steps(_balanced(spark, sf_dir))
 
 
 @_query("successor_rank", f"with {_BALANCE} select src, dst, cast(row_number() over (partition by src order by cnt desc, nt) as integer) as rank from balanced")
 def successor_rank(spark, sf_dir):
-    return graph.ranked(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT)).select("src", "dst", "rank")
+    return kmers.lettered(graph.ranked(_balanced(spark, sf_dir), K).select("src", "dst", "rank"), K, "src", "dst")
 
 
 @_query("unique_edges", f"with {_UNIQUE} select src, dst from unique_edges")
 def unique_edges(spark, sf_dir):
-    return graph.unique_edges(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT))
+    return kmers.lettered(graph.unique_edges(_balanced(spark, sf_dir), K), K, "src", "dst")
 
 
 @_query(
@@ -296,18 +316,46 @@ def unique_edges(spark, sf_dir):
     f"with {_UNIQUE}, flags as (select b.src, p.dst is null as is_head, n.src is null as is_tail from (select distinct src from both_ways) b left join unique_edges n on n.src = b.src left join unique_edges p on p.dst = b.src) select src, is_head, is_tail from flags where is_head or is_tail",
 )
 def unitig_ends(spark, sf_dir):
-    found = _kmers(spark, sf_dir)
-    return graph.ends(graph.oriented(found), graph.unique_edges(graph.filtered(graph.edges(found), FRACTION, LOW_COUNT)))
+    found = _table(spark, sf_dir)
+    kept = staged(graph.unique_edges(graph.filtered(graph.forks_of(found, K, LOW_COUNT), K, FRACTION, LOW_COUNT), K), "unique-edges")
+    return kmers.lettered(graph.ends(graph.oriented(found, K), kept), K, "src")
+
+
+_WAYS = f"""{_GGT},
+links as materialized (select b.src, b.dst, r.src is not null as back from by_abundance b left join by_abundance r on r.src = {_RC.format('b.dst')} and r.dst = {_RC.format('b.src')}),
+tried as materialized (select src, dst from by_ggt where src in (select src from by_ggt group by src having count(*) > 1 and max(cnt) > 5)),
+walks(start, node, depth) as (select distinct dst, dst, 0 from tried union select start, dst, depth + 1 from walks join links on src = node where depth < {graph.WAY_OUT} and (depth + 1 <> {K} or back)),
+good as materialized (select distinct start from walks where depth = {graph.WAY_OUT})"""
+_FULL = f"""{_WAYS},
+alive as (select g.* from by_ggt g where not exists (select 1 from tried t where t.src = g.src and t.dst = g.dst) or g.dst in (select start from good)),
+full_filter as (select src, nt, dst, cnt from (select *, count(*) over (partition by src) as n,
+    bool_or(cnt >= {LOW_COUNT} and least(plus_frac, 1 - plus_frac) > 0.25) over (partition by src) as both_strands from alive)
+    where n = 1 or not both_strands or cnt <= 1 or least(plus_frac, 1 - plus_frac) >= 0.1 * {FRACTION} * greatest(plus_frac, 1 - plus_frac))"""
+
+
+@_query("fork_extendable", f"with recursive {_WAYS} select src, dst, dst in (select start from good) as extendable from tried")
+def fork_extendable(spark, sf_dir):
+    """Whether the successors of forks with a well supported one lead on for 100 steps."""
+    found = _table(spark, sf_dir)
+    whole = staged(graph.by_abundance(graph.forks_of(found, K, LOW_COUNT), FRACTION, LOW_COUNT), "forks")
+    tried = staged(graph.successors(graph.contested(graph.by_ggt(whole, K, FRACTION)), K).select("src", "dst"), "tried")
+    good = graph.with_way_out(tried.select(F.col("dst").alias("src")), whole, found, K).select(F.col("src").alias("dst"), F.lit(True).alias("extendable"))
+    return kmers.lettered(tried.join(good, "dst", "left").select("src", "dst", F.coalesce("extendable", F.lit(False)).alias("extendable")), K, "src", "dst")
+
+
+@_query("fork_full_filter", f"with recursive {_FULL} select src, dst, cnt from full_filter")
+def fork_full_filter(spark, sf_dir):
+    return _steps(graph.fully_filtered(_table(spark, sf_dir), K, FRACTION, LOW_COUNT))
 
 
 @_query("unitigs")
 def unitigs(spark, sf_dir):
-    return contigs.unitigs(staged(_kmers(spark, sf_dir), "kmers"), K, FRACTION, LOW_COUNT).select("seq", F.size("counts").alias("n_kmers"))
+    return contigs.unitigs(_table(spark, sf_dir), K, FRACTION, LOW_COUNT).select("seq", F.size("counts").alias("n_kmers"), "circular")
 
 
 @_query("contigs")
 def contig_sequences(spark, sf_dir):
-    found = staged(_kmers(spark, sf_dir), "kmers")
+    found = _table(spark, sf_dir)
     parts = contigs.directed(contigs.trimmed(contigs.unitigs(found, K, FRACTION, LOW_COUNT), K), K)
     return contigs.abundances(parts, found, K).select("seq", F.round("abundance", 9).alias("abundance"))
 
@@ -358,7 +406,7 @@ def target_hits(spark, sf_dir):
 
 @_query("target_seeds", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, cast(pos as bigint) as pos, kmer, cnt from tw join kmers using (kmer)")
 def target_seeds(spark, sf_dir):
-    return mapping.target_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K)
+    return kmers.lettered(mapping.target_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K), K)
 
 
 @_query(
@@ -414,13 +462,13 @@ def read_n50(spark, sf_dir):
     "select start, node, cast(min(depth) as integer) as depth from reach group by start, node",
 )
 def bounded_bfs(spark, sf_dir):
-    steps = staged(graph.filtered(_edges(spark, sf_dir), FRACTION, LOW_COUNT), "steps")
-    return graph.reachable(graph.forks(steps), steps, REACH)
+    steps = staged(graph.successors(_balanced(spark, sf_dir), K).select("src", "dst"), "steps")
+    return kmers.lettered(graph.reachable(graph.forking(steps), steps, REACH), K, "start", "node")
 
 
 @_query("snp_bubbles")
 def snp_bubbles(spark, sf_dir):
-    found = contigs.bubbles(staged(_kmers(spark, sf_dir), "kmers"), K, BUBBLE, FRACTION, LOW_COUNT)
+    found = contigs.bubbles(_table(spark, sf_dir), K, BUBBLE, FRACTION, LOW_COUNT)
     return found.select("src", "close", F.array_join("variants", ",").alias("variants"))
 
 
@@ -460,7 +508,7 @@ def graph_histograms(spark, sf_dir):
     "select kmer, cast(coalesce(state, 0) as integer) as state from kmers left join held using (kmer)",
 )
 def node_states(spark, sf_dir):
-    return contigs.node_states(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K)
+    return kmers.lettered(contigs.node_states(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K), K)
 
 
 @_query("seed_survival", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id from tw left join kmers using (kmer) group by target_id having sum(coalesce(cnt, 0)) >= {LOW_COUNT} * count(*) union all select target_id from targets where length(seq) < {K}")
@@ -484,4 +532,4 @@ def variant_scores(spark, sf_dir):
 
 @_query("kmers_outside", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select kmer, cnt from kmers where kmer not in (select kmer from tw)")
 def kmers_outside(spark, sf_dir):
-    return contigs.kmers_outside(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K).select("kmer", "cnt")
+    return kmers.lettered(contigs.kmers_outside(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K).select("kmer", "cnt"), K)

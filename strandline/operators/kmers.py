@@ -2,41 +2,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequence import bases, digits
+from ..functions.packing import MOST_PACKED, Packing
+
+#: Windows that are cut at once.
+WINDOWS_AT_ONCE = 1 << 19
+_CODE = np.full(256, 4, dtype=np.uint8)
+for _digit, _letters in enumerate(("Aa", "Cc", "Tt", "Gg")):
+    _CODE[[ord(x) for x in _letters]] = _digit
 
-#: A read is cut into pieces of so many k-mers first: reaching the i-th letter of a string takes i steps.
-PIECE = 128
+
+def _packed_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each window of k codes and its reverse complement as numbers, put together from windows of 1, 2, 4, ... codes."""
+    ahead, back, width = codes.astype(np.int64), (codes ^ 2).astype(np.int64), 1
+    whole, turned, done = None, None, 0
+    while True:
+        if k & width:
+            if done == 0:
+                whole, turned = ahead, back
+            else:  # what is done stands before this part
+                n = len(codes) - done - width + 1
+                whole = whole[:n] << 2 * width | ahead[done : done + n]
+                turned = back[done : done + n] << 2 * done | turned[:n]
+            done += width
+        if done == k:
+            return whole, turned
+        n = len(codes) - 2 * width + 1
+        ahead, back = ahead[:n] << 2 * width | ahead[width : width + n], back[width : width + n] << 2 * width | back[:n]
+        width *= 2
+
+
+def _digit_windows(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same as strings of digits, for any k."""
+    view = np.lib.stride_tricks.sliding_window_view
+    ahead = np.ascontiguousarray(view(codes + 48, k))
+    back = np.ascontiguousarray(view((codes ^ 2)[::-1] + 48, k)[::-1])
+    return ahead.view(f"S{k}").ravel(), back.view(f"S{k}").ravel()
+
+
+def _strings(kmers: np.ndarray, k: int) -> pa.Array:
+    offsets = np.arange(len(kmers) + 1, dtype=np.int32) * k
+    return pa.StringArray.from_buffers(len(kmers), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(kmers)))
+
+
+def cut_windows(seqs: pa.Array, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(sequence, place, canonical k-mer, whether it stands as it is) of the windows, in parts of bounded size."""
+    seqs = seqs.cast(pa.large_binary())
+    offsets = np.frombuffer(seqs.buffers()[1], dtype=np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+    data = seqs.buffers()[2]
+    if data is None or not len(seqs):
+        return
+    letters = np.frombuffer(data, dtype=np.uint8)
+    for a in range(int(offsets[0]), int(offsets[-1]) - k + 1, WINDOWS_AT_ONCE):
+        codes = _CODE[letters[a : min(a + WINDOWS_AT_ONCE + k - 1, int(offsets[-1]))]]
+        n = len(codes) - k + 1
+        owner = np.searchsorted(offsets, np.arange(a, a + n), side="right") - 1
+        bad = np.cumsum(np.r_[0, codes > 3])
+        good = (bad[k:] == bad[:-k]) & (np.arange(a, a + n) + k <= offsets[owner + 1])
+        ahead, back = (_packed_windows if k <= MOST_PACKED else _digit_windows)(codes & 3, k)
+        plus = ahead < back
+        at = np.flatnonzero(good)
+        yield owner[at], a + at - offsets[owner[at]], np.where(plus, ahead, back)[at], plus[at]
+
+
+def _column(kmers: np.ndarray, k: int) -> pa.Array:
+    return pa.array(kmers) if k <= MOST_PACKED else _strings(kmers, k)
 
 
 def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
-    """The columns `keep`, pos (from 0), kmer (canonical) and is_plus of each window of k bases. Shorter reads have none.
+    """The columns `keep`, pos (from 0), kmer (canonical, packed as Packing has it) and is_plus of each window of k bases.
 
-    Windows and their reverse complements are cut from the piece and its reverse complement, so neither is computed per k-mer.
+    Shorter and null sequences have none, and windows with letters other than ACGT are left out.
     """
-    n = F.length("seq") - k + 1
-    starts = F.sequence(F.lit(0), n - 1, F.lit(PIECE))
-    pieces = reads.where(F.length("seq") >= k).select(*keep, digits(F.col("seq")).alias("_s"), F.explode(starts).alias("_at"))
-    pieces = pieces.select(*keep, "_at", F.substr("_s", F.col("_at") + 1, F.lit(PIECE + k - 1)).alias("_s"))
-    pieces = pieces.withColumn("_r", F.reverse(F.translate("_s", "0123", "2301")))
-    m = F.length("_s") - k
 
-    def window(i: Column) -> Column:
-        a, b = F.substr("_s", i + 1, F.lit(k)), F.substr("_r", m - i + 1, F.lit(k))
-        return F.struct((F.col("_at") + i).alias("pos"), F.least(a, b).alias("kmer"), (a < b).alias("is_plus"))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.select(list(keep))
+            for owner, pos, kmer, plus in cut_windows(batch.column("seq"), k):
+                columns = rest.take(pa.array(owner)).columns if keep else []
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(pos.astype(np.int32)), _column(kmer, k), pa.array(plus)], [*keep, "pos", "kmer", "is_plus"])
 
-    rows = pieces.select(*keep, F.explode(F.transform(F.sequence(F.lit(0), m), window)).alias("_w"))
-    return rows.select(*keep, "_w.pos", bases(F.col("_w.kmer")).alias("kmer"), "_w.is_plus")
+    kept = [f"`{c}` {t}" for c, t in reads.select(*keep).dtypes] if keep else []
+    schema = ", ".join([*kept, "pos int", f"kmer {Packing(k).type}", "is_plus boolean"])
+    return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(cut, schema)
 
 
 def count_kmers(reads: DataFrame, k: int, min_count: int = 1) -> DataFrame:
     """kmer, cnt, plus (how many stand on the plus strand) of the canonical k-mers with at least min_count."""
+
     counts = explode_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt"), F.sum(F.col("is_plus").cast("long")).alias("plus"))
     return counts.where(F.col("cnt") >= min_count) if min_count > 1 else counts
 
 
+def lettered(rows: DataFrame, k: int, *columns: str) -> DataFrame:
+    """rows with packed k-mers as letters."""
+    return rows.withColumns({c: Packing(k).text(F.col(c)) for c in columns or ("kmer",)})
+
+
 def histogram(kmers: DataFrame) -> DataFrame:
     """count, freq."""
     return kmers.groupBy(F.col("cnt").alias("count")).agg(F.count("*").alias("freq"))

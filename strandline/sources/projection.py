@@ -14,15 +14,26 @@ def project(text: Column) -> Column:
     return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS + LETTERS.upper(), BASES + BASES)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores; a table of fewer row groups would be read by fewer tasks."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single reads."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("read_id"), project(F.col("text")).alias("seq"))
+    rows = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return rows.select(F.col("doc_id").alias("read_id"), project(F.col("text")).alias("seq"))
 
 
 def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two turns of a conversation as a pair: pair_id, mate (1 or 2), seq."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("turn in (0, 1)")
-    return turns.select(F.col("conv_id").alias("pair_id"), (F.col("turn") + 1).cast("int").alias("mate"), project(F.col("text")).alias("seq"))
+    """Turns 0 and 1, 2 and 3, ... of a conversation as pairs: pair_id (conv_id:number), mate (1 or 2), seq.
+
+    An odd last turn is a mate without a partner.
+    """
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text"))
+    pair = F.concat_ws(":", F.col("conv_id"), F.floor(F.col("turn") / 2))
+    return turns.select(pair.alias("pair_id"), (F.col("turn") % 2 + 1).cast("int").alias("mate"), project(F.col("text")).alias("seq"))
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.kmers import count_kmers, histogram
@@ -13,15 +14,6 @@ def streaming_counts(reads: DataFrame, k: int) -> DataFrame:
     return count_kmers(reads, k)
 
 
-def histogram_to_table(reads: DataFrame, k: int, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the histogram of all reads so far as Parquet in `path`, written anew after each micro-batch."""
-
-    def write(counts: DataFrame, epoch: int) -> None:
-        histogram(counts).write.mode("overwrite").parquet(path)
-
-    return streaming_counts(reads, k).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write).start()
-
-
 def partial_counts(reads: DataFrame, k: int, path: str, checkpoint: str) -> StreamingQuery:
     """Appends each micro-batch's k-mers (kmer, cnt, plus) to `path`; counts are sums, so readers add them up."""
 
@@ -31,4 +23,10 @@ def partial_counts(reads: DataFrame, k: int, path: str, checkpoint: str) -> Stre
     return reads.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write).start()
 
 
-__all__ = ["histogram_to_table", "partial_counts", "streaming_counts"]
+def histogram_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """count, freq of all reads that partial_counts has appended to `path` by now; added up when it is asked for."""
+    parts = spark.read.parquet(path).groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
+    return histogram(parts)
+
+
+__all__ = ["histogram_so_far", "partial_counts", "streaming_counts"]

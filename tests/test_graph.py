@@ -5,6 +5,7 @@ import pytest
 
 from strandline import catalog
 from strandline.functions import sequence as X
+from strandline.functions.packing import Packing as Packing_of
 from strandline.operators import contigs, graph, kmers, mapping, stats
 from strandline.plans.assembly import Assembler, Parameters, next_ks
 from strandline.sources import sinks
@@ -38,12 +39,12 @@ def test_scalar_functions(spark):
 def test_masks_equal_brute_force(spark):
     reads = frame(spark, [genome(3, 400)[i : i + 60] for i in range(0, 340, 7)])
     counts = kmers.count_kmers(reads, 5)
-    nodes = {r["kmer"] for r in counts.collect()}
+    nodes = {r["kmer"] for r in kmers.lettered(counts, 5).collect()}
     canon = lambda w: min(w, rc(w), key=lambda x: x.translate(str.maketrans("ACTG", "0123")))
     want = {}
     for node in nodes:
         want[node] = sum(1 << (n + 4 * m) for m, w in enumerate((node, rc(node))) for n, b in enumerate("ACTG") if canon(w[1:] + b) in nodes and canon(w[1:] + b) != node)
-    assert {r["kmer"]: r["branch"] for r in graph.branches(counts).collect()} == want
+    assert {r["kmer"]: r["branch"] for r in kmers.lettered(graph.branches(counts, 5), 5).collect()} == want
 
 
 def test_contigs_of_a_plain_genome(spark):
@@ -73,6 +74,8 @@ def test_rings_are_opened(spark):
     counts = kmers.count_kmers(frame(spark, [ring] * 3), k)
     found = [r["seq"] for r in contigs.unitigs(counts, k).collect()]
     assert sum(len(s) - k + 1 for s in found) in (200, 400)  # one direction, or both where the smallest nodes differ
+    rows = contigs.rotated(contigs.trimmed(contigs.unitigs(counts, k), k), k).collect()
+    assert [(len(r["seq"]), r["circular"]) for r in rows] == [(200, True)] and (rows[0]["seq"] in g * 2 or rc(rows[0]["seq"]) in g * 2)
     for s in found:
         assert s in g * 3 or rc(s) in g * 3
 
@@ -143,22 +146,63 @@ def test_queries_equal_sql(spark, tmp_path, name):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    from strandline.streaming import histogram_to_table, partial_counts
+    from strandline.streaming import histogram_so_far, partial_counts
 
     seqs = [genome(i, 80) for i in range(6)] * 2
     for part in range(3):
         frame(spark, seqs[part * 4 : part * 4 + 4]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = lambda: spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    whole = {tuple(r) for r in kmers.histogram(kmers.count_kmers(frame(spark, seqs), 11)).collect()}
-    q = histogram_to_table(stream(), 11, str(tmp_path / "hist"), str(tmp_path / "c1"))
+    stream = spark.readStream.schema("read_id long, seq string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = partial_counts(stream, 11, str(tmp_path / "parts"), str(tmp_path / "c"))
     q.processAllAvailable()
     q.stop()
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "hist")).select("count", "freq").collect()} == whole
-    q = partial_counts(stream(), 11, str(tmp_path / "parts"), str(tmp_path / "c2"))
-    q.processAllAvailable()
-    q.stop()
-    summed = spark.read.parquet(str(tmp_path / "parts")).groupBy("kmer").agg({"cnt": "sum"}).withColumnRenamed("sum(cnt)", "cnt")
-    assert {tuple(r) for r in kmers.histogram(summed).collect()} == whole
+    want = {tuple(r) for r in kmers.histogram(kmers.count_kmers(frame(spark, seqs), 11)).collect()}
+    assert {tuple(r) for r in histogram_so_far(spark, str(tmp_path / "parts")).collect()} == want
+
+
+@pytest.mark.parametrize("k", [4, 5, 21, 30, 31, 32, 45])
+def test_packed_kmers_do_as_their_letters(spark, k):
+    from strandline.functions.packing import Packing
+
+    draw, p, order = random.Random(k), Packing(k), str.maketrans("ACTG", "0123")
+    words = ["".join(draw.choice("ACGT") for _ in range(k)) for _ in range(50)] + [b * k for b in "ACGT"]
+    df = spark.createDataFrame([(w,) for w in words], "w string").withColumn("x", p.parse(X.F.col("w")))
+    x, nt = X.F.col("x"), X.F.lit(2)
+    rows = df.select("w", *(p.text(e).alias(n) for n, e in (("t", x), ("r", p.revcomp(x)), ("c", p.canonical(x)), ("s", p.step(x, nt)), ("j", p.join(nt, p.suffix(x))), ("e", p.extend(p.prefix(x), nt)))), p.first(x).alias("f"), p.last(x).alias("l"), p.tail(x, "GG").alias("g")).collect()
+    for r in rows:
+        w = r["w"]
+        assert (r["t"], r["r"], r["c"]) == (w, rc(w), min(w, rc(w), key=lambda s: s.translate(order)))
+        assert (r["s"], r["j"], r["e"]) == (w[1:] + "T", "T" + w[1:], w[:-1] + "T")
+        assert (r["f"], r["l"], r["g"]) == ("ACTG".index(w[0]), "ACTG".index(w[-1]), w.endswith("GG"))
+    assert [r["w"] for r in df.orderBy("x").collect()] == sorted(words, key=lambda s: s.translate(order))
+
+
+def test_dead_ends_are_trimmed(spark):
+    """A branch of a few bases beside a well covered way is dropped, a long one isn't."""
+    g, k = genome(47, 400), 21
+    x, y = sorted(set("ACGT") - {g[200]})[:2]
+    short, long = g[150:200] + x + genome(48, 30), g[150:200] + y + genome(49, 150)
+    both = lambda s: [s, rc(s)]
+    counts = kmers.count_kmers(frame(spark, both(g) * 10 + both(short) * 4 + both(long) * 4), k)
+    counts = counts.cache()
+    at = X.F.col("src") == Packing_of(k).parse(X.F.lit(g[179:200]))
+    whole = graph.successors(graph.by_abundance(graph.forks_of(counts, k, 2), 0.1, 2), k).where(at).count()
+    left = [r["dst"] for r in kmers.lettered(graph.successors(graph.fully_filtered(counts, k), k).where(at), k, "dst").collect()]
+    assert whole == 3 and sorted(left) == sorted([g[180:201], long[30:51]])
+
+
+@pytest.mark.parametrize("name", ["fork_extendable", "fork_full_filter"])
+def test_ways_out_equal_sql(spark, tmp_path, name):
+    """The recursive SQL on a text in which lines come back, with branches that end early."""
+    draw = random.Random(8)
+    line = "".join(draw.choice("abcdefghijklmnop") for _ in range(260))
+    texts = [line] * 8 + [line[:100] + "".join(draw.choice("abcd") for _ in range(n)) for n in (10, 60, 120) for _ in range(2)] + [line[40:140] * 2] * 2
+    con = duckdb.connect()
+    con.execute("create table documents as select unnest(range(len($1))) as doc_id, unnest($1) as text", [texts])
+    con.execute(f"copy documents to '{tmp_path}/documents.parquet'")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(got.columns)} from ({catalog.ORACLE_SQL[name]})").fetchall()
+    rows = sorted(tuple(r) for r in got.collect())
+    assert rows == sorted(want) and (name != "fork_extendable" or {r[2] for r in rows} == {True, False})
 
 
 def test_a_changed_base_is_a_bubble(spark):
@@ -176,7 +220,7 @@ def test_a_changed_base_is_a_bubble(spark):
 def test_reach_equals_brute_force(spark):
     links = {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "a"), ("e", "f")}
     df = spark.createDataFrame(sorted(links), "src string, dst string")
-    got = {tuple(r) for r in graph.reachable(graph.forks(df), df, 3).select("start", "node", "depth").collect()}
+    got = {tuple(r) for r in graph.reachable(graph.forking(df), df, 3).select("start", "node", "depth").collect()}
     assert got == {("a", "b", 1), ("a", "c", 1), ("a", "d", 2), ("a", "a", 3)}
 
 
