@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.staging import staged
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands for a null id while rows are grouped; it sorts before any other id.
 NO_ID = -(2**63)
@@ -17,21 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='strandline-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+#: A key is hot if more than one row in so many has it; so there are fewer hot keys than this.
+HOT = 1000
+
 
+def join_hot(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """rows joined with named (one row a key), where a key may hold any part of the rows.
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df into the shared folder and read it again, which cuts its lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    n: the column of named that says how many of all `total` rows have the key. Hot keys, fewer than HOT, are broadcast,
+    and their rows stay where they are; the others are shuffled. rows is read twice, so it should be a table.
+    """
+    hot = F.broadcast(named.where(F.col(n) * HOT > total))
+    cold = rows.join(hot.select(key), key, "left_anti").join(named.where(F.col(n) * HOT <= total), key)
+    return rows.join(hot, key).unionByName(cold).drop(n)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -49,3 +46,6 @@ def key_of(doc_id: Column) -> Column:
 
 def id_of(key: Column) -> Column:
     return F.when(key != NO_ID, key)
+
+
+__all__ = ["HOT", "LOWER", "NO_ID", "UPPER", "ascii_lower", "id_of", "join_hot", "key_of", "shuffle_partitions", "staged", "table"]

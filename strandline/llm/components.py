@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_hot, staged
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_hot(both.where("v > u"), least, "u", "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Of edges u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """Of edges u > v. n: how many, or less."""
+    edges = staged(edges, "large-star")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_hot(edges, least, "u", "n", n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
@@ -31,13 +32,13 @@ def smallest_reachable(edges: DataFrame, label: str = "components") -> DataFrame
     """(u, v) for each node u that reaches a smaller one, where v is the smallest that it reaches.
 
     edges: u, v (longs, any direction, repeats and loops allowed). Each round is written to the shared folder; the
-    number of rounds grows with the logarithm of the nodes.
+    number of rounds grows with the logarithm of the nodes. A node of very many edges isn't moved to one task.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = staged(now, label)
     mark = _mark(now)
     while True:
-        now = staged(_small_star(_large_star(now)), label)
+        now = staged(_small_star(_large_star(now, mark[0]), mark[0]), label)
         before, mark = mark, _mark(now)
         if mark == before:
             return now

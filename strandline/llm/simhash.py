@@ -1,8 +1,10 @@
 """SimHash near-duplicates by ball hashing that meets in the middle.
 
-Two fingerprints that differ in at most three bits agree, up to one bit, in one of their halves. So each fingerprint
-emits, for either half, all variants within one bit, half the radius rounded down; the odd third bit is what leaving out
-the other half absorbs. Variants are shuffled; in each group of equal variants the pairs are verified on all 64 bits.
+Of two fingerprints that differ in at most three bits, one of three blocks of the bits holds at least one of them, so the
+other two blocks differ in two bits or less. For each two blocks a fingerprint emits all variants within one bit, half of
+that radius, so both emit the one in the middle: 131 keys of 42 or 43 bits, which keeps groups of strangers small for
+tables of billions (whole fingerprints would take 2081 variants within two bits). Variants are shuffled; in each group of
+equal variants the pairs are verified on all 64 bits, and enough links to connect them are kept.
 A group too large for that sends its members on to whole-fingerprint balls: there all variants within one and within
 two bits meet, so whatever meets a variant within one bit is linked by construction and one star per group links all.
 """
@@ -15,17 +17,18 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, id_of, key_of, shuffle_partitions, staged
+from .common import LOWER, UPPER, id_of, join_hot, key_of, shuffle_partitions, staged
 from .components import smallest_reachable
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 WORDS, SEED, RADIUS = 3, 42, 3
 #: Shingles whose bits are summed at once; members of a group that are still compared with each other.
 SHINGLES_AT_ONCE, COMPARED = 100_000, 2048
-HALF = np.uint64(0xFFFFFFFF)
+#: The blocks of bits, of which one is left out.
+BLOCKS = [((1 << n) - 1) << at for at, n in ((0, 22), (22, 21), (43, 21))]
 
 
 def _hashes(text: str, words: int) -> list[int]:
@@ -76,14 +79,14 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mo
     return rows.mapInPandas(hashed, ", ".join(f"{c} long" for c in ("key", "fp", *more)))
 
 
-def _half_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    flips = np.r_[np.uint64(0), np.uint64(1) << np.arange(32, dtype=np.uint64)]
+def _block_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for i in range(0, len(batch), 5000):
-            fp, node = batch["fp"].to_numpy()[i : i + 5000], batch["node"].to_numpy()[i : i + 5000]
-            bits = fp.view("u8")
-            variants = [((part[:, None] ^ flips[None, :]) | np.uint64(half << 32)).ravel() for half, part in enumerate((bits & HALF, bits >> np.uint64(32)))]
-            yield pd.DataFrame({"variant": np.concatenate(variants).view("i8"), "fp": np.tile(np.repeat(fp, 33), 2), "node": np.tile(np.repeat(node, 33), 2)})
+        for i in range(0, len(batch), 2000):
+            fp = batch["fp"].to_numpy()[i : i + 2000]
+            for block in BLOCKS:
+                flips = np.array([0, *(1 << b for b in range(64) if not block >> b & 1)], dtype="u8")
+                variants = (fp.view("u8") & ~np.uint64(block))[:, None] ^ flips[None, :]
+                yield pd.DataFrame({"variant": variants.ravel().view("i8"), "fp": np.repeat(fp, len(flips))})
 
 
 def _whole_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -91,8 +94,8 @@ def _whole_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     flips, far = np.array(masks, dtype="u8"), np.repeat(np.array([0, 1], dtype="int32"), [65, 2016])
     for batch in batches:
         for i in range(0, len(batch), 200):
-            fp, node = batch["fp"].to_numpy()[i : i + 200].view("u8"), batch["node"].to_numpy()[i : i + 200]
-            yield pd.DataFrame({"variant": (fp[:, None] ^ flips).ravel().view("i8"), "far": np.tile(far, len(fp)), "node": np.repeat(node, len(flips))})
+            fp = batch["fp"].to_numpy()[i : i + 200].view("u8")
+            yield pd.DataFrame({"variant": (fp[:, None] ^ flips).ravel().view("i8"), "far": np.tile(far, len(fp)), "node": np.repeat(fp.view("i8"), len(flips))})
 
 
 def _roots(fp: np.ndarray, radius: int) -> np.ndarray:
@@ -107,57 +110,58 @@ def _roots(fp: np.ndarray, radius: int) -> np.ndarray:
         root = least
 
 
+def _rows(u: np.ndarray, v: np.ndarray | None) -> pd.DataFrame:
+    return pd.DataFrame({"u": u.view("i8"), "v": pd.array(v.view("i8") if v is not None else [pd.NA] * len(u), dtype="Int64")})
+
+
 def _verified(compared: int):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows in the order of their variants. u, v, fp: a link (fp is null), or u is to go on with its fp (v is null)."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        """Rows in the order of their variants. u, v: a link, or u is to go on (v is null) because its group is too large."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         dense = False
 
-        def groups(variant, fp, node) -> pd.DataFrame:
+        def groups(variant: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
+            if not len(variant):
+                return
             first = np.flatnonzero(np.r_[True, variant[1:] != variant[:-1]])
             size = np.diff(np.append(first, len(variant)))
             at = first[size == 2]
-            hit = at[np.bitwise_count(fp[at] ^ fp[at + 1]) <= RADIUS]
-            us, vs, on = [node[hit]], [node[hit + 1]], []
+            at = at[np.bitwise_count(fp[at] ^ fp[at + 1]) <= RADIUS]
+            us, vs, on = [fp[at]], [fp[at + 1]], [fp[:0]]
             for a, n in zip(first[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                own = fp[a : a + n]
                 if n > compared:
-                    on.append(slice(a, a + n))
+                    on.append(own)
                     continue
-                own = node[a : a + n]
-                root = _roots(fp[a : a + n], RADIUS)
+                root = _roots(own, RADIUS)
                 linked = root != np.arange(n)
                 us.append(own[linked])
                 vs.append(own[root[linked]])
-            links = pd.DataFrame({"u": np.concatenate(us), "v": pd.array(np.concatenate(vs), dtype="Int64"), "fp": pd.array([pd.NA] * sum(map(len, us)), dtype="Int64")})
-            if not on:
-                return links
-            more = pd.DataFrame({"u": np.concatenate([node[s] for s in on]), "v": pd.NA, "fp": np.concatenate([fp[s] for s in on]).view("i8")})
-            return pd.concat([links, more.astype({"v": "Int64", "fp": "Int64"})])
+            yield _rows(np.concatenate(us), np.concatenate(vs))
+            yield _rows(np.concatenate(on), None)
 
         for batch in batches:
-            new = batch["variant"].to_numpy(), batch["fp"].to_numpy().view("u8"), batch["node"].to_numpy()
+            new = batch["variant"].to_numpy(), batch["fp"].to_numpy().view("u8")
             if not len(new[0]):
                 continue
-            variant, fp, node = (np.concatenate(x) for x in zip(*held, new, strict=True)) if held else new
+            variant, fp = (np.concatenate(x) for x in zip(*held, new, strict=True)) if held else new
             cut = int(np.searchsorted(variant, variant[-1]))  # the last group may go on in the next batch
             if cut:
+                whole = 0
                 if dense:  # the group that was held had begun earlier; what is left of it is as dense
-                    n = int(np.searchsorted(variant, variant[0], side="right"))
-                    yield pd.DataFrame({"u": node[:n], "v": pd.array([pd.NA] * n, dtype="Int64"), "fp": fp[:n].view("i8")})
+                    whole = int(np.searchsorted(variant, variant[0], side="right"))
+                    yield _rows(fp[:whole], None)
                     dense = False
-                    yield groups(variant[n:cut], fp[n:cut], node[n:cut]) if n < cut else pd.DataFrame({"u": [], "v": [], "fp": []}, dtype="Int64")
-                else:
-                    yield groups(variant[:cut], fp[:cut], node[:cut])
-            held = [(variant[cut:], fp[cut:], node[cut:])]
+                yield from groups(variant[whole:cut], fp[whole:cut])
+            held = [(variant[cut:], fp[cut:])]
             if len(variant) - cut > compared:
                 dense = True
-                yield pd.DataFrame({"u": node[cut:], "v": pd.array([pd.NA] * (len(node) - cut), dtype="Int64"), "fp": fp[cut:].view("i8")})
-                held = [(variant[-1:], fp[-1:], node[-1:])]
-        if held:
-            if dense:
-                yield pd.DataFrame({"u": held[0][2], "v": pd.array([pd.NA] * len(held[0][2]), dtype="Int64"), "fp": held[0][1].view("i8")})
-            else:
-                yield groups(*held[0])
+                yield _rows(fp[cut:], None)
+                held = [(variant[-1:], fp[-1:])]
+        if held and dense:
+            yield _rows(held[0][1], None)
+        elif held:
+            yield from groups(*held[0])
 
     return verify
 
@@ -180,22 +184,25 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_links(reps: DataFrame, compared: int = COMPARED) -> DataFrame:
-    """u, v: links enough to connect all fingerprints that differ in at most three bits. reps: node, fp, each fp once."""
+    """u, v: links enough to connect all fingerprints that differ in at most three bits. reps: fp, each once."""
     n = shuffle_partitions(reps.sparkSession)
-    balls = reps.mapInPandas(_half_balls, "variant long, fp long, node long")
-    met = balls.repartition(n, "variant").sortWithinPartitions("variant").mapInPandas(_verified(compared), "u long, v long, fp long")
+    balls = reps.mapInPandas(_block_balls, "variant long, fp long")
+    met = balls.repartition(n, "variant").sortWithinPartitions("variant").mapInPandas(_verified(compared), "u long, v long")
     met = staged(met, "simhash-links")
-    dense = met.where("v is null").select(F.col("u").alias("node"), "fp").distinct()
+    dense = met.where("v is null").select(F.col("u").alias("fp")).distinct()
     whole = dense.mapInPandas(_whole_balls, "variant long, far int, node long").repartition(n, "variant").sortWithinPartitions("variant", "far", "node")
-    links = met.where("v is not null").select("u", "v")
+    links = met.where("v is not null").distinct()
     return links.unionByName(whole.mapInPandas(_stars, "u long, v long")) if dense.limit(1).count() else links
 
 
-def _roots_of(fps: DataFrame, compared: int) -> DataFrame:
-    """fp, root of each fingerprint that reaches a smaller one, where root is the smallest that it reaches."""
-    reps = staged(fps.select("fp", F.col("fp").alias("node")).distinct(), "simhash-reps")
-    roots = smallest_reachable(near_links(reps, compared), "simhash-components")
-    return roots.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+def _named(fps: DataFrame, first: Column, compared: int) -> tuple[DataFrame, int]:
+    """fp, first (the least of the component) and n (its rows) for each fingerprint of fps, and the number of all rows."""
+    least = staged(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")), "simhash-reps")
+    roots = smallest_reachable(near_links(least.select("fp"), compared), "simhash-components").select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    least = staged(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-roots")
+    groups = least.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("size"))
+    sizes = groups.agg(F.sum("size")).first()[0] or 0
+    return staged(join_hot(least.drop("first"), groups, "root", "size", sizes).drop("root"), "simhash-named"), least.agg(F.sum("n")).first()[0] or 0
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", compared: int = COMPARED) -> DataFrame:
@@ -203,24 +210,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     Null and empty texts have the fingerprint zero and are linked like any other. Rows that repeat an id stay rows of
     their own and link nothing by it, so components apart may have the same component_id; a null id, as the smallest,
-    names its component null. An empty table gives an empty result.
+    names its component null. Very long texts are hashed in parts. Other columns, whatever their names, don't count. An
+    empty table gives an empty result.
     """
     fps = staged(fingerprints(docs, text, doc_id), "simhash-fps")
-    least = fps.groupBy("fp").agg(F.min("key").alias("key")).join(_roots_of(fps, compared), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = staged(least, "simhash-least")
-    named = least.join(least.groupBy("root").agg(F.min("key").alias("component")), "root").select("fp", "component")
-    return fps.join(named, "fp").select(id_of(F.col("key")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of(F.col("component")).alias("component_id"))
+    named, total = _named(fps, F.col("key"), compared)
+    return join_hot(fps, named, "fp", "n", total).select(id_of(F.col("key")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), id_of(F.col("first")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", compared: int = COMPARED) -> DataFrame:
     """docs with one row of each group of near duplicates: the one of the smallest id, of rows that repeat it the one of
-    the smallest hash of the text, then of the row."""
-    own = [c for c, t in docs.dtypes if "map<" not in t]
-    marks = {"_key": key_of(F.col(doc_id)), "_text": F.xxhash64(F.coalesce(text, F.lit(""))), "_row": F.xxhash64(*(F.col(c) for c in own))}
-    marked = docs.withColumns(marks)
-    fps = staged(fingerprints(marked, text, doc_id, ("_text", "_row")), "simhash-fps")
-    first = F.min(F.struct("key", "_text", "_row")).alias("first")
-    least = fps.groupBy("fp").agg(first).join(_roots_of(fps, compared), "fp", "left")
-    chosen = least.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    chosen = chosen.select(F.col("first.key").alias("_key"), "first._text", "first._row")
-    return marked.join(chosen, list(marks), "left_semi").dropDuplicates(list(marks)).select(*docs.columns)
+    the smallest hash of the text, then of the row, and one of those that are alike in all of this.
+
+    Null ids are the smallest; null and empty texts are one group. All columns come back as they are, whatever their
+    names; an empty table gives an empty result.
+    """
+    own = [F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), F.xxhash64(*own).alias("hash"))
+    fps = staged(fingerprints(marked.drop("row"), "text", "key", ("mark", "hash")), "simhash-fps")
+    named, _ = _named(fps, F.struct("key", "mark", "hash"), compared)
+    chosen = named.select("first.key", "first.mark", "first.hash").distinct()
+    found = marked.drop("text").join(chosen, ["key", "mark", "hash"])
+    return found.groupBy("key", "mark", "hash").agg(F.first("row").alias("row")).select("row.*")

@@ -84,22 +84,43 @@ def test_rows_without_own_ids_link_nothing(spark):
 @pytest.mark.parametrize("cut", [1, 3, 7, 1000])
 def test_groups_across_batches(compared, cut):
     draw = np.random.default_rng(compared)
-    fp = draw.integers(0, 40, 300).astype("u8")
-    df = pd.DataFrame({"variant": np.sort(draw.integers(0, 25, 300)), "fp": fp.view("i8"), "node": np.arange(300)})
-    batches = [df.iloc[i : i + cut] for i in range(0, 300, cut)]
+    df = pd.DataFrame({"variant": np.sort(draw.integers(0, 25, 300)), "fp": draw.integers(0, 1 << 7, 300)})
+    df = df.drop_duplicates().reset_index(drop=True)
+    batches = [df.iloc[i : i + cut] for i in range(0, len(df), cut)]
     out = pd.concat(simhash._verified(compared)(iter(batches)))
     dense = set(out[out["v"].isna()]["u"])
-    links = list(out[out["v"].notna()][["u", "v"]].itertuples(index=False, name=None))
+    links = set(out[out["v"].notna()][["u", "v"]].itertuples(index=False, name=None))
     for _, group in df.groupby("variant"):
-        nodes = list(group["node"])
+        nodes = list(group["fp"])
         if len(nodes) > compared:
             assert set(nodes) <= dense
             continue
-        fps = dict(zip(group["node"], group["fp"], strict=True))
-        want = components(nodes, lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)  # noqa: B023
-        own = [(u, v) for u, v in links if u in fps]
-        got = components(nodes, lambda a, b: (a, b) in own or (b, a) in own)  # noqa: B023
-        assert got == want
+        want = components(nodes, lambda a, b: (a ^ b).bit_count() <= 3)
+        got = components(nodes, lambda a, b: (a, b) in links or (b, a) in links)
+        assert all(got[a] == got[b] for a in nodes for b in nodes if want[a] == want[b])
+
+
+def test_all_near_pairs_meet():
+    """Every pair within three bits shares a variant, wherever its bits lie."""
+    draw = np.random.default_rng(5)
+    for _ in range(200):
+        a = draw.integers(0, 1 << 64, dtype="u8")
+        b = a ^ np.bitwise_or.reduce(np.uint64(1) << draw.integers(0, 64, 3, dtype="u8"))
+        rows = pd.concat(simhash._block_balls(iter([pd.DataFrame({"fp": np.array([a, b]).view("i8")})])))
+        assert len(rows) == 262 and (rows.groupby("variant")["fp"].nunique() == 2).any()
+
+
+def test_a_hub_of_very_many_edges(spark):
+    edges = [(1, i) for i in range(2, 3000)] + [(5000 + i, i) for i in range(2, 500)]
+    got = {tuple(r) for r in smallest_reachable(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {(i, 1) for _, i in edges} | {(i, 1) for i, _ in edges if i > 1}
+
+
+def test_kept_rows_keep_their_columns(spark):
+    rows = [(1, "a b c d", "x", 1, {"k": 1}), (2, "a b c d", "y", 2, {}), (3, " ".join(map(str, range(50_000))), None, 3, None), (None, None, "z", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, fp int, `a.b` map<string,int>")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns and sorted((tuple(r) for r in got.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
 
 
 def test_components_of_chains_and_rings(spark):
