@@ -3,7 +3,8 @@
 A rule (host, path) is the key `reversed labels of the host, NUL, path`; the urls it fits are those with a key that
 starts with it, so each rule is an interval of the sorted keys, and intervals nest or are disjoint. A url has one key
 for each suffix of its host that can be a rule's host. Rules and keys are dealt into the same ranges, sorted, and swept
-once with a stack of the rules that are still open.
+once with a stack of the rules that are still open. Behind its path a url's key has its whole host, so that the front pages
+of a whole top-level domain aren't one key.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, shuffle_partitions
+from .common import HOT, ascii_lower, shuffle_partitions, staged
 
 #: (host, path, verdict)
 RULES = [
@@ -72,27 +73,30 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     rules: host, path, verdict. A rule fits its host and all its subdomains where the path starts with the rule's;
     the longest (host and path together) wins, at equal length the one of the longer host, and of two verdicts for
-    one rule `block`. Null and malformed urls have an empty host and path; no rule: a null rule and the default.
-    Repeated urls are judged once; repeated rows stay. An empty table gives an empty result.
+    one rule `block`. Null and malformed urls have an empty host and path; no rule: a null rule and the default. Rules
+    without a host or a verdict are left out. Repeated urls are judged once; repeated rows stay. Urls are used whole,
+    however long. Other columns stay as they are, whatever their names. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     host, path = host_and_path(F.col(url))
-    pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    added = {"host", "path", "rule", "verdict"}
+    kept = [c for c in pages.columns if c not in added]
+    pages = pages.select(F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias("")).alias("row"), host.alias("host"), path.alias("path"))
     rules = (
         rules.select(ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict")
-        .where("host is not null and verdict is not null")
+        .where("host <> '' and verdict is not null")
         .groupBy("host", "path")
         .agg(F.max("verdict").alias("verdict"))
     )
     deepest = rules.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
-    urls = pages.select("host", "path").distinct()
+    urls = staged(pages.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
     labels = F.split("host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.least(F.size(labels), F.lit(deepest))),
         lambda n: F.array_join(F.slice(labels, F.size(labels) - n + 1, n), "."),
     )
     probes = urls.select(F.col("host").alias("url_host"), "path", F.explode(suffixes).alias("host"))
-    probes = probes.withColumn("key", reversed_key(F.col("host"), F.col("path")))
+    probes = probes.withColumn("key", F.concat(reversed_key(F.col("host"), F.col("path")), F.lit("\0"), "url_host"))
 
     ranges = shuffle_partitions(spark)
     cuts = _cuts(probes.select("key"), ranges)
@@ -115,6 +119,15 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     best = swept.groupBy("host", "path").agg(
         F.max(F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("m"), F.concat("rule_host", "rule_path").alias("rule"), "says")).alias("best")
     )
-    judged = pages.join(best, ["host", "path"], "left")
-    kept = [c for c in pages.columns if c not in ("host", "path")]
-    return judged.select(*kept, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.says", F.lit(default)).alias("verdict"))
+    best = urls.join(best, ["host", "path"]).select(F.struct("host", "path").alias("at"), "n", F.col("best.rule").alias("rule"), F.col("best.says").alias("says"))
+    best = staged(best, "judged-urls")
+    total = urls.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(best.where(F.col("n") * HOT > total))  # fewer than HOT urls, whose rows stay where they are
+    pages = pages.withColumn("at", F.struct("host", "path"))
+    judged = pages.join(hot.select("at", F.col("rule").alias("r"), F.col("says").alias("s")), "at", "left")
+    # rows without a host, or judged by now, meet nobody: their key is a number of their own
+    cold = best.where(F.col("n") * HOT <= total).select(F.struct("at", F.lit(0).cast("long").alias("i")).alias("met"), "rule", "says")
+    done = F.col("r").isNotNull() | (F.col("host") == "")
+    judged = judged.withColumn("met", F.struct("at", F.when(done, F.xxhash64("row")).otherwise(F.lit(0).cast("long")).alias("i"))).join(cold, "met", "left")
+    out = judged.select(*(F.col(f"row.`{c}`").alias(c) for c in kept), "host", "path", F.coalesce("r", "rule").alias("rule"), F.coalesce("s", "says", F.lit(default)).alias("verdict"))
+    return out
