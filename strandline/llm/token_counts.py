@@ -6,6 +6,7 @@ merges all places of its lowest-ranked pair at once; what survives when no pair
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 #: Counted pre-tokens a worker remembers, and characters and distinct pre-tokens that it handles at once.
 REMEMBERED, CHARS_AT_ONCE, NEW_AT_ONCE = 400_000, 4_000_000, 50_000
 NO_RANK = np.int64(1) << 40
+#: Letters from which a pre-token is merged on its own.
+LONG = 256
 
 
 def _byte_letters() -> dict[int, str]:
@@ -89,8 +92,47 @@ class WordBpe:
             ids, owner = ids[keep], owner[keep]
         return counts
 
+    def _rank_of(self, a: int, b: int) -> int:
+        pair = a << 32 | b
+        at = int(np.searchsorted(self.pairs, pair))
+        return int(self.rank[at]) if at < len(self.pairs) and self.pairs[at] == pair else -1
+
+    def long_length(self, token: str) -> int:
+        """The same count for one long pre-token: places wait by their rank, so a round touches only what it merges."""
+        raw = np.frombuffer(token.encode(), dtype=np.uint8)
+        ids = self.inner[raw]
+        ids[-1] = self.final[raw[-1]]
+        pair = ids[:-1] << 32 | ids[1:]
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = np.flatnonzero(self.pairs[at] == pair)
+        waiting: dict[int, list[int]] = {}
+        for place, rank in zip(known.tolist(), self.rank[at[known]].tolist(), strict=True):
+            waiting.setdefault(rank, []).append(place)
+        ranks = list(waiting)
+        heapq.heapify(ranks)
+        ids, n, left = ids.tolist(), len(ids), len(ids)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while ranks:
+            rank = heapq.heappop(ranks)
+            for i in sorted(waiting.pop(rank)):
+                j = after[i]
+                if ids[i] < 0 or j >= n or self._rank_of(ids[i], ids[j]) != rank:
+                    continue  # merged meanwhile, as every second place of a run of one symbol
+                ids[i], ids[j], after[i], left = int(self.merged[rank]), -1, after[j], left - 1
+                if after[i] < n:
+                    before[after[i]] = i
+                for a, b in ((before[i], i), (i, after[i])):
+                    if a >= 0 and b < n and (new := self._rank_of(ids[a], ids[b])) >= 0:
+                        if new not in waiting:
+                            waiting[new] = []
+                            heapq.heappush(ranks, new)
+                        waiting[new].append(a)
+        return left
+
     def learn(self, tokens: set[str]) -> None:
         new = [t for t in tokens if t not in self.known]
+        self.known.update((t, self.long_length(t)) for t in new if len(t) > LONG)
+        new = [t for t in new if len(t) <= LONG]
         for i in range(0, len(new), NEW_AT_ONCE):
             part = new[i : i + NEW_AT_ONCE]
             self.known.update(zip(part, self.lengths(part).tolist(), strict=True))
@@ -116,18 +158,18 @@ def count_tokens(docs: DataFrame, tokenizer: str, text: str = "text", limit: int
     """docs without its text, with n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit); such columns are replaced.
 
     tokenizer: path of a BPE .json file that every worker can read. Null and empty texts have 0 bytes and 0 tokens; special
-    strings inside a text count as one token each, as the library's default has it. Every row gives one row; an empty
+    strings inside a text count as one token each, as the library's default has it. Very long texts and words are counted
+    whole. Every row gives one row, repeated ids or not; other columns stay as they are, whatever their names. An empty
     table gives an empty result.
     """
-    kept = [f for f in docs.schema.fields if f.name not in (text, "n_bytes", "n_tokens", "over_limit")]
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("long")
+    def tokens_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = WordBpe(tokenizer)
-        for batch in batches:
-            texts = batch.pop("_text").tolist()
-            yield batch.assign(n_tokens=np.array(bpe.count(texts), dtype="int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    lean = docs.select(*(f"`{f.name}`" for f in kept), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.coalesce(text, F.lit("")).alias("_text"))
-    schema = f"{schema}{', ' if schema else ''}n_bytes long, n_tokens long"
-    return lean.mapInPandas(counted, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+        for texts in parts:
+            yield pd.Series(bpe.count(texts.tolist()), dtype="int64")
+
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_bytes", "n_tokens", "over_limit")]
+    found = tokens_of.asNondeterministic()(F.coalesce(F.col(f"`{text}`"), F.lit("")))  # so that it isn't called again for over_limit
+    counted = docs.select(*kept, F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long").alias("n_bytes"), found.alias("n_tokens"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -76,3 +77,22 @@ def test_counts_equal_the_library(spark):
     assert got == {(i, len(t.encode()), n, n > 2048) for i, (t, n) in enumerate(zip(texts, want, strict=True))} | {(None, 0, 0, False)}
     assert count_tokens(df, PATH).count() == len(texts) + 2
     assert count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_long_words_take_their_time_by_their_length():
+    bpe, library, draw = WordBpe(PATH), Tokenizer.from_file(PATH), random.Random(6)
+    words = ["".join(draw.choice(letters) for _ in range(n)) for letters in ("ab", "etaoinshr", "aé中😀") for n in (257, 300, 1000)] + ["a" * 999, "ab" * 700]
+    words += ["".join(draw.choice("etaoinshrdlu") for _ in range(30_000))]
+    began = time.time()
+    assert bpe.count(words) == [len(library.encode(w, add_special_tokens=False).ids) for w in words]
+    assert time.time() - began < 20
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 7), (1, "a b", "x", 7), (None, None, None, None)], "doc_id long, text string, _text string, `n.tokens` int")
+    got = sorted((tuple(r) for r in count_tokens(df, PATH).collect()), key=str)
+    assert got == sorted([(1, "x", 7, 3, 2, False)] * 2 + [(None, None, None, 0, 0, False)], key=str)
+    pages = spark.createDataFrame([(1, "http://a.com/en/x", 5, "old")] * 3 + [(2, None, 6, "old"), (3, "nothing", 6, None)], "page_id long, url string, best int, rule string")
+    rules = spark.createDataFrame([("com", "/en/", "block"), (None, "/", "block"), ("org", None, "block"), ("net", "/", None)], "host string, path string, verdict string")
+    got = sorted(tuple(r) for r in judge_urls(pages, rules).select("page_id", "best", "rule", "verdict").fillna("-").collect())
+    assert got == [(1, 5, "com/en/", "block")] * 3 + [(2, 6, "-", "allow"), (3, 6, "-", "allow")]
