@@ -3,6 +3,9 @@
 The n-grams of the benchmark are one hash set that goes to every task as part of the plan, behind a check of its size.
 A document's word windows are hashed by doubling: hashes of windows of 2, 4 and 8 words are combined from those of half
 the width, so a window of ten costs two hashes more. Windows with a hash in the set are verified on their words.
+
+A larger benchmark doesn't fit into a plan. Its windows are then a table that is broadcast up to a checked number of
+bytes, and beyond that shuffled by hash; either way only places whose hash is known are looked at again.
 """
 
 from __future__ import annotations
@@ -10,12 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, staged
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Windows of the benchmark that may go to every task; larger sets are joined by a shuffle.
-MOST_GRAMS = 50_000
+#: Windows of the benchmark that may be in the plan, and bytes of them that may be broadcast as a table.
+MOST_GRAMS, MOST_BYTES = 50_000, 256 << 20
 
 
 def split_words(text: Column) -> Column:
@@ -91,19 +94,34 @@ def with_hits(docs: DataFrame, grams: DataFrame, text: str, most_grams: int = MO
     return docs.withColumn("hits", F.filter("found", lambda x: x["gram"].isin([g for gs in by_len.values() for g in gs])))
 
 
-def _wide_hits(docs: DataFrame, grams: DataFrame, text: str, lengths: list[int]) -> DataFrame:
-    """uid, at, len, gram, item_id by a shuffle of all windows, for a benchmark of any size."""
-    docs = docs.select("uid", split_words(F.col(text)).alias("w"))
+def _text_key(text: Column) -> Column:
+    """Tells texts apart, however often they are read; rows of one text are hit alike."""
+    text = F.coalesce(text, F.lit(""))
+    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(text, F.lit(1)).alias("b"))
+
+
+def _wide_hits(docs: DataFrame, grams: DataFrame, text: str, most_bytes: int) -> DataFrame:
+    """uid (of a text), at, len, gram: each text's windows that are windows of the benchmark, for one of any size."""
+    known = grams.select("len", "gram").distinct()
+    size = known.agg(F.sum(F.octet_length("gram") + 32), F.collect_set("len")).first()
+    lengths = sorted(size[1])
+    docs = docs.select(_text_key(F.col(text)).alias("uid"), split_words(F.col(text)).alias("w"))
+    if not lengths:
+        return docs.limit(0).select("uid", F.lit(0).alias("at"), F.lit(0).alias("len"), F.lit("").alias("gram"))
+    hashed = with_window_hashes(known.withColumn("w", F.split("gram", " ")), lengths)
+    known = hashed.select("len", "gram", F.coalesce(*(F.when(F.col("len") == n, F.col(f"h{n}")[0]) for n in lengths)).alias("h"))
 
-    def of(n: int) -> DataFrame:
-        grams_at = F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice("w", i, n), " "))
-        return docs.where(F.size("w") >= n).select("uid", F.lit(n).alias("len"), F.posexplode(grams_at).alias("at", "gram"))
+    def places(n: int) -> Column:
+        return F.transform(f"h{n}", lambda h, i: F.struct(i.alias("at"), F.lit(n).alias("len"), h.alias("h")))
 
-    windows = [of(n) for n in lengths]
-    out = windows[0]
-    for more in windows[1:]:
-        out = out.unionByName(more)
-    return out.join(grams, ["len", "gram"])
+    each = F.concat(*(places(n) for n in lengths))
+    docs = with_window_hashes(docs, lengths)
+    if (size[0] or 0) <= most_bytes:
+        found = docs.select("uid", "w", F.inline(each)).join(F.broadcast(known), ["len", "h"])
+    else:
+        places = docs.select("uid", F.inline(each)).join(known, ["len", "h"]).groupBy("uid").agg(F.collect_set(F.struct("at", "len", "gram")).alias("places"))
+        found = docs.select("uid", "w").join(places, "uid").select("uid", "w", F.inline("places"))
+    return found.where(F.array_join(F.slice("w", F.col("at") + 1, F.col("len")), " ") == F.col("gram")).select("uid", "at", "len", "gram").distinct()
 
 
 def _union_size(spans: Column) -> Column:
@@ -117,38 +135,52 @@ def _union_size(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), start, add, lambda seen: seen["n"])
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW, most_grams: int = MOST_GRAMS) -> DataFrame:
+def _in_plan(grams: DataFrame, most_grams: int) -> bool:
+    return grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = WINDOW, most_grams: int = MOST_GRAMS, most_bytes: int = MOST_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of each row of docs.
 
     A window is `window` consecutive words of an item; an item of fewer, but not none, is one window. n_hit: the words
     inside any occurrence of a window; items: those with such windows, each once, however often it occurs or is repeated.
-    Null and empty texts have no words and no hits; an item without an id still hits, but isn't counted. Rows that repeat
-    an id stay rows of their own. Empty tables: no rows, or no hits.
+    Null and empty texts have no words and no hits; an item without an id still hits, but isn't counted. Texts are used
+    whole, however long. Rows that repeat an id stay rows of their own; other columns, whatever their names, don't count.
+    Empty tables: no rows, or no hits.
     """
     grams = grams_of(benchmark, text, item_id, window)
-    docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).alias("doc_id"), F.col(text).alias(text))
-    if grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams:
-        base = with_hits(docs, grams, text, most_grams).select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), "hits")
-        found = base.select("uid", "doc_id", "n_words", F.explode_outer("hits").alias("x")).select("uid", "doc_id", "n_words", "x.at", "x.len", "x.gram")
-        found = found.join(F.broadcast(grams), ["len", "gram"], "left")
-    else:
-        lengths = [r[0] for r in grams.select("len").distinct().collect()]
-        base = docs.select("uid", "doc_id", F.size(split_words(F.col(text))).cast("long").alias("n_words"))
-        found = base.join(_wide_hits(docs.select("uid", text), grams, text, lengths), "uid", "left")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     spans, items = F.collect_set(F.when(F.col("at").isNotNull(), F.struct("at", "len"))), F.array_sort(F.collect_set("item_id"))
-    out = found.groupBy("uid", "doc_id", "n_words").agg(_union_size(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"))
-    return out.drop("uid").withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, most_grams: int = MOST_GRAMS) -> DataFrame:
-    """The rows of docs without any window of the benchmark, whole; a benchmark over the bound is joined by a shuffle."""
+    n_words = F.size(split_words(F.col("text"))).cast("long")
+    if _in_plan(grams, most_grams):
+        # the number is given and used in one pass, so that it needn't be the same in another
+        docs = docs.withColumn("uid", F.monotonically_increasing_id())
+        base = with_hits(docs, grams, "text", most_grams).select("uid", "doc_id", F.size("w").cast("long").alias("n_words"), "hits")
+        found = base.select("uid", "doc_id", "n_words", F.explode_outer("hits").alias("x")).select("uid", "doc_id", "n_words", "x.at", "x.len", "x.gram")
+        few = grams.limit(2 * most_grams + 1).count() <= 2 * most_grams
+        found = found.join(F.broadcast(grams) if few else grams, ["len", "gram"], "left")
+        out = found.groupBy("uid", "doc_id", "n_words").agg(_union_size(spans).alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"))
+        return out.drop("uid").withColumn("contaminated", F.col("n_hit") > 0)
+    hits = staged(_wide_hits(docs, grams, "text", most_bytes), "benchmark-hits")
+    words = hits.groupBy("uid").agg(_union_size(spans).alias("n_hit"))
+    named = hits.select("uid", "len", "gram").distinct().join(grams, ["len", "gram"]).groupBy("uid").agg(items.alias("items"))
+    found = staged(words.join(named, "uid"), "benchmark-texts")
+    base = docs.select("doc_id", n_words.alias("n_words"), _text_key(F.col("text")).alias("uid"))
+    nothing = F.array().cast("array<string>")
+    out = base.join(found, "uid", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", nothing).alias("items"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", window: int = WINDOW, most_grams: int = MOST_GRAMS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of docs without any window of the benchmark, whole; columns stay as they are, whatever their names.
+
+    Rows with null and empty texts stay, as do rows that repeat an id, each on its own text. Empty tables: no rows, or all.
+    """
     grams = grams_of(benchmark, text, item_id, window)
-    columns = docs.columns
-    whole = docs.select(F.struct(*columns).alias("doc"), F.col(text).alias(text))
-    if grams.select("len", "gram").distinct().limit(most_grams + 1).count() <= most_grams:
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col(f"`{text}`").alias("text"))
+    if _in_plan(grams, most_grams):
         # the row number keeps the optimizer from moving the filter, and with it all hashing, into one expression
-        found = with_hits(whole, grams, text, most_grams).select("doc", F.size("hits").alias("n"), F.monotonically_increasing_id().alias("row"))
+        found = with_hits(whole, grams, "text", most_grams).select("doc", F.size("hits").alias("n"), F.monotonically_increasing_id().alias("row"))
         return found.where("n = 0 and row >= 0").select("doc.*")
-    whole = whole.withColumn("uid", F.xxhash64(text))  # rows of one text are hit together
-    lengths = [r[0] for r in grams.select("len").distinct().collect()]
-    return whole.join(_wide_hits(whole, grams, text, lengths).select("uid").distinct(), "uid", "left_anti").select("doc.*")
+    hits = _wide_hits(whole.select("text"), grams, "text", most_bytes).select("uid").distinct()
+    return whole.withColumn("uid", _text_key(F.col("text"))).join(hits, "uid", "left_anti").select("doc.*")
