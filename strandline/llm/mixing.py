@@ -12,11 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: The fractional part of the golden ratio.
-GOLDEN = 0.6180339887498949
+from ..functions.ordering import cumulated
+from .common import staged
+
+#: The golden ratio's fractional part as a binary fraction of so many places, which points are counted in.
+PLACES = 60
+GOLDEN = 0x9E3779B97F4A7C15 >> 64 - PLACES
 WEIGHTS, MOST_EPOCHS = (1, 2, 3), 3
 #: Words of a block; slots of a range whose ranks are counted together; buckets that a source's words are shuffled into.
 BLOCK, SLOTS_PER_RANGE, WORDS_PER_BUCKET = 512, 8192, 1_000_000
+#: Sources (few bytes each) that may be broadcast.
+MOST_SOURCES = 100_000
+
+
+def _few(rows: DataFrame, most: int = MOST_SOURCES) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def point(n: Column) -> Column:
+    """n * GOLDEN modulo 2 ** PLACES, exactly, for n under 2 ** 42: by limbs of 21 bits, none of which overflows."""
+    limb = lambda x, i: F.shiftright(x, 21 * i).bitwiseAND(F.lit((1 << 21) - 1).cast("long"))
+    low = lambda x, bits: x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    g = [F.lit(GOLDEN >> 21 * i & (1 << 21) - 1).cast("long") for i in range(3)]
+    n0, n1 = limb(n, 0), limb(n, 1)
+    middle = F.shiftleft(low(n0 * g[1] + n1 * g[0], PLACES - 21), 21)
+    high = F.shiftleft(low(n0 * g[2] + n1 * g[1], PLACES - 42), 42)
+    return low(n0 * g[0] + middle + high, PLACES)
 
 
 def n_words(text: Column) -> Column:
@@ -24,27 +45,22 @@ def n_words(text: Column) -> Column:
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """source, source_size, target, is_null of each source. sizes: source, source_size, one row per source (few rows).
+    """source, source_size, target of each source. sizes: source, source_size, one row per source.
 
     Sources are put in the order of code points, null last, and weigh `weights`, repeating. A target is the source's
     share of all words by weight, but at most `epochs` times its size; the excess goes to the others by weight. In the
     order of size by weight, the sources up to some place stop at their most and the others share what is left.
     """
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place % len(weights) + 1).cast("int"))
-    rows = sizes.withColumns({"place": place, "w": weight, "most": F.col("source_size") * float(epochs)})
-    before = W.orderBy(F.col("most") / F.col("w"), "place").rowsBetween(W.unboundedPreceding, -1)
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rows = rows.withColumns(
-        {
-            "left": F.sum("source_size").over(everything) - F.coalesce(F.sum("most").over(before), F.lit(0.0)),
-            "left_w": F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0)),
-        }
-    )
-    rows = rows.withColumn("level", F.col("left") / F.col("left_w"))  # if this source and those after it shared the rest
-    stops = F.col("most") < F.col("level") * F.col("w")
-    level = F.min(F.when(~stops, F.struct(F.col("most") / F.col("w"), "place", "level"))).over(everything)["level"]
-    return rows.select("source", "source_size", F.when(stops, F.col("most")).otherwise(F.least("most", level * F.col("w"))).alias("target"))
+    rows = cumulated(sizes, {"place": F.lit(1)}, F.col("source").asc_nulls_last())
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
+    rows = rows.withColumns({"w": weight, "most": F.col("source_size") * float(epochs)})
+    rows = cumulated(rows, {"up_to": F.col("most"), "up_to_w": F.col("w")}, F.col("most") / F.col("w"), "place")
+    whole = rows.agg(F.sum("source_size").alias("all"), F.sum("w").alias("all_w"))  # one row
+    rows = rows.crossJoin(F.broadcast(whole)).withColumn("level", (F.col("all") - F.col("up_to") + F.col("most")) / (F.col("all_w") - F.col("up_to_w") + F.col("w")))
+    rows = staged(rows.withColumn("stops", F.col("most") < F.col("level") * F.col("w")), "targets")  # level: if this source and those after it shared the rest
+    level = rows.where("not stops").agg(F.min(F.struct(F.col("most") / F.col("w"), "place", "level"))["level"].alias("shared"))  # one row
+    shared = F.when(F.col("stops"), F.col("most")).otherwise(F.least("most", F.col("shared") * F.col("w")))
+    return rows.crossJoin(F.broadcast(level)).select("source", "source_size", shared.alias("target"))
 
 
 def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -52,19 +68,21 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
 
     shares: source, target. The last slot of a source takes what is left of its target; a source that the points give
     too many slots leaves the rest empty, and one that they give too few gets the missing ones after the last point.
+    Points and the sources' intervals meet by cells, about four to a source, so that few sources share one.
     """
     spark = shares.sparkSession
-    shares = shares.where("target >= 1").withColumn("whole", F.floor("target"))
-    total = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    up_to = W.orderBy(F.col("source").asc_nulls_last())
-    shares = shares.withColumns({"high": F.sum("whole").over(up_to.rowsBetween(W.unboundedPreceding, 0)), "all": F.sum("whole").over(total)})
-    shares = shares.select("source", "whole", ((F.col("high") - F.col("whole")) / F.col("all")).alias("low"), (F.col("high") / F.col("all")).alias("high"))
-    n = int(shares.agg(F.ceil(F.sum("whole") / block)).first()[0] or 0)
-    slots = spark.range(n).select(F.col("id").alias("slot"), (F.col("id") * GOLDEN - F.floor(F.col("id") * GOLDEN)).alias("x"), F.floor(F.col("id") / SLOTS_PER_RANGE).alias("part"))
-    drawn = slots.join(F.broadcast(shares), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high")))
+    shares = cumulated(shares.where("target >= 1").select("source", F.floor("target").alias("whole")), {"high": F.col("whole")}, F.col("source").asc_nulls_last())
+    counts = shares.agg(F.sum("whole").alias("all"), F.count("*").alias("n")).first()
+    total, bits = counts["all"] or 0, max(2, (4 * counts["n"]).bit_length())
+    edge = lambda c: (c / F.lit(float(total or 1)) * F.lit(2.0**PLACES)).cast("long")
+    shares = staged(shares.select("source", "whole", edge(F.col("high") - F.col("whole")).alias("low"), edge(F.col("high")).alias("high")), "shares")
+    cell = lambda x: F.shiftright(x, PLACES - bits)
+    cells = shares.where("low < high").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
+    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"), F.floor(F.col("id") / SLOTS_PER_RANGE).alias("part")).withColumn("cell", cell(F.col("x")))
+    drawn = slots.join(_few(cells, 5 * MOST_SOURCES), "cell").where("x >= low and x < high")
     counts = drawn.groupBy("source", "part").agg(F.count("*").alias("n"))
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumnRenamed("source", "s").withColumnRenamed("part", "p")
+    counts = staged(counts.select(F.col("source").alias("s"), F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "slots-by-range")
     ranked = drawn.withColumn("within", F.row_number().over(W.partitionBy("source", "part").orderBy("slot")) - 1)
     ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     ranked = ranked.select("source", (F.col("before") + F.col("within")).cast("long").alias("rank"), "whole")
@@ -78,16 +96,18 @@ def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted), source.
 
-    size: runs of letters other than \\x20 and \\x09-\\x0D; null and empty texts have none, and none is taken of them. A
-    null source is a source of its own. No document is taken more than `epochs` times. Rows that repeat an id stay rows
-    of their own. An empty table gives an empty result. Reruns agree: all order comes from ids, sizes and hashes.
+    size: runs of letters other than \\x20 and \\x09-\\x0D of the whole text, however long; null and empty texts have none,
+    and none is taken of them. A null source is a source of its own. No document is taken more than `epochs` times. Rows
+    that repeat an id stay rows of their own; other columns, whatever their names, don't count. An empty table gives an
+    empty result. Reruns agree: all order comes from ids, sizes and hashes.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(doc_id, source).alias("h"))
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
+    sized = staged(sized.withColumn("h", F.xxhash64("doc_id", "source")), "sizes")  # words are counted once
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 20)))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    shares = targets(sizes, weights, epochs)
+    shares = staged(targets(sizes, weights, epochs), "shares")
     shares = shares.withColumn("buckets", F.ceil(F.col("source_size") / WORDS_PER_BUCKET)).withColumnRenamed("source", "s")
-    named = sized.join(F.broadcast(shares) if shares.limit(100_001).count() <= 100_000 else shares, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    named = sized.join(_few(shares), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     named = named.withColumn("bucket", F.when(F.col("buckets") > 0, F.pmod("bucket", F.col("buckets"))).otherwise(F.lit(0)))
     by_bucket = named.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     earlier = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

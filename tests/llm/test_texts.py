@@ -92,8 +92,8 @@ def scanned(docs, items):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("most", [50_000, 3])
-def test_scan_equals_brute_force(spark, most):
+@pytest.mark.parametrize("most,most_bytes", [(50_000, 0), (3, 1 << 20), (3, 0)])
+def test_scan_equals_brute_force(spark, most, most_bytes):
     draw = random.Random(5)
     items = [(i, " ".join(prose(draw, n))) for i, n in enumerate([25, 12, 10, 9, 3, 1, 0])] + [(10, None), (11, "  ,, "), (2, "Ünï-Code x"), (None, "z9")]
     docs = [(0, None), (1, ""), (2, "nothing here")]
@@ -103,13 +103,15 @@ def test_scan_equals_brute_force(spark, most):
             docs += [(10 + (i or 0), " ".join(prose(draw, 5) + w + prose(draw, 5))), (40 + (i or 0), ". ".join(w).upper()), (70, " ".join(w[1:]) + " " + w[0])]
     docs += [(90, " ".join(prose(draw, 3000) + items[0][1].split()[:14] * 3)), (70, "z9 Z9")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = decontamination.scan(d, b, most_grams=most)
+    got = decontamination.scan(d, b, most_grams=most, most_bytes=most_bytes)
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     want = scanned(docs, items)
     assert collections.Counter(tuple(r) for r in got.select(names).collect()) == want
-    clean = decontamination.drop_contaminated(d, b, most_grams=most)
+    d = d.selectExpr("*", "1 as w", "2 as hits", "3 as `h.1`", "4 as uid")
+    clean = decontamination.drop_contaminated(d, b, most_grams=most, most_bytes=most_bytes)
     assert clean.columns == d.columns and clean.count() == sum(n for r, n in want.items() if not r[-1])
-    assert decontamination.scan(d, b.limit(0)).where("contaminated").count() == 0
+    assert decontamination.scan(d, b.limit(0), most_grams=most - 3).where("contaminated").count() == 0
+    assert decontamination.drop_contaminated(d, b.limit(0), most_grams=most - 3).count() == d.count()
     assert decontamination.scan(d.limit(0), b).count() == 0
 
 
@@ -162,6 +164,58 @@ def test_mix_comes_near_the_targets(spark, block):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def scheduled(shares, block):
+    """Ranks and words of each source's slots, by the golden-ratio points one after another."""
+    shares = sorted(((s, int(t)) for s, t in shares if t >= 1), key=lambda x: (x[0] is None, x[0] or ""))
+    total, ends, cum = sum(n for _, n in shares), [], 0
+    for s, n in shares:
+        cum += n
+        ends.append((s, int(cum / total * 2.0**60)))
+    got = {s: 0 for s, _ in shares}
+    for slot in range(-(-total // block)):
+        x = slot * mixing.GOLDEN % (1 << 60)
+        got[next(s for s, e in ends if x < e)] += 1
+    out = {}
+    for s, n in shares:
+        need = -(-n // block)
+        for rank in range(need):  # those that the points give, then the missing ones
+            out[s, rank] = min(block, n - rank * block)
+    return out, got
+
+
+@pytest.mark.parametrize("block", [3, 100])
+def test_slots_equal_brute_force(spark, block):
+    draw = random.Random(block)
+    shares = [(f"s{i}", float(draw.choice([0, 1, 2, 50, 5000]))) for i in range(200)] + [(None, 77.5), ("zz", 30000.0)]
+    df = spark.createDataFrame(shares, "source string, target double")
+    want, _ = scheduled(shares, block)
+    rows = mixing.schedule(df, block).collect()
+    assert len(rows) == len(want) and {(r["source"], r["rank"]): r["words"] for r in rows} == want
+
+
+def test_points_are_exact(spark):
+    ids = [0, 1, 2, 3, 10**6, 2**31 + 5, 2**40 + 12345]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").select("id", mixing.point(mixing.F.col("id"))).collect()
+    assert [r[1] for r in rows] == [i * mixing.GOLDEN % (1 << 60) for i in ids]
+
+
+def test_taken_words_equal_brute_force(spark):
+    """Each document's words by its place among its source's shuffled documents, laid end to end up to the target."""
+    draw = random.Random(21)
+    docs = [(i, " ".join("w" for _ in range(draw.choice([0, 1, 7, 60]))), draw.choice(["a", "a", "a", "b", None])) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = [r.asDict() for r in mixing.mix(df, block=16).collect()]
+    hashes = {r["doc_id"]: (r["b"], r["h"]) for r in df.selectExpr("doc_id", "xxhash64(doc_id, source) as h").selectExpr("doc_id", "h", "pmod(xxhash64(h, 1), 1048576) as b").collect()}
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source and r["size"]]
+        own.sort(key=lambda r: (hashes[r["doc_id"]][1], r["doc_id"]))  # small sources are one bucket
+        left, at, want = int(own[0]["target"]) if own else 0, 0, collections.Counter()
+        words = [r["doc_id"] for r in own for _ in range(r["size"])]
+        for i in range(left):
+            want[words[i % len(words)]] += 1
+        assert {r["doc_id"]: r["taken"] for r in own} == {r["doc_id"]: want[r["doc_id"]] for r in own}
+
+
 # Sketches.
 
 
