@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import time
 import re
 
 import numpy as np
@@ -381,3 +382,43 @@ def test_rules(spark, text, labels):
 
 def test_there_are_hundreds_of_rules():
     assert len(licenses.RULES) > 200 and len({r[1] for r in licenses.RULES}) > 200
+
+
+def test_hand_written_signatures_are_found():
+    """Each signature's plain words, without what it leaves open, are detected by it."""
+    lines = [line.split(maxsplit=2) for line in licenses.SIGNATURES.strip().splitlines()]
+    assert len(lines) > 120 and all(int(p) in (1, 2, 3, 4) for _, p, _ in lines)
+    for label, priority, pattern in lines:
+        keyword = re.match(r"\w+", pattern)[0]
+        assert (keyword, f"^{pattern}(?= |$)", label, int(priority)) in licenses.RULES
+
+
+def kept_by_brute_force(words):
+    found = []
+    for at in range(len(words)):
+        for i, (key, pattern, label, priority) in enumerate(licenses.RULES):
+            if words[at] == key and (m := re.match(pattern, " ".join(words[at:]))):
+                size = m[0].count(" ") + 1
+                found.append((at, at + size, label, (priority, size, -i, -at)))
+    return {a[2] for a in found if not any(b[0] <= a[0] and b[1] >= a[1] and b[3] > a[3] for b in found)}
+
+
+def test_labels_and_scores_equal_brute_force(spark):
+    draw = random.Random(12)
+    plain = [re.sub(r"\[cs\]", "c", re.sub(r"\(\?:([^()|]*)[^()]*\)[?]?|[?]", r"\1", line.split(maxsplit=2)[2])) for line in licenses.SIGNATURES.strip().splitlines()]
+    parts = [*plain, "gnu general public license version 2 or later", "cc by sa 4 0", "bsd 3 clause", "license mit", "and", "of the", "copyright 2020"]
+    docs = [(i, " ".join(draw.choice(parts) for _ in range(draw.randint(0, 12)))) for i in range(150)] + [(500, "license mit " * 4000), (None, None), (3, ""), (3, "CC BY")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as w", "2 as near", "3 as kept")
+    began = time.time()
+    got = collections.Counter((r["doc_id"], r["labels"], r["score"]) for r in licenses.scan(df).collect())
+    assert time.time() - began < 60
+    want = collections.Counter()
+    for i, t in docs:
+        w = WORD.findall(lowered(t))
+        w = w[:100] if i == 500 else w  # the beginning of the long text has all its labels
+        labels = kept_by_brute_force(w) | {label for p, label in licenses.BASE.items() if f" {p} " in f" {' '.join(w)} "}
+        share = 0.5 / max(len(labels), 1)
+        score = 0.0 if not labels else share if any(not re.match(licenses.OPEN, x) for x in labels) else 1 - share
+        want[i, ",".join(sorted(labels)), score] += 1
+    assert got == want
+    assert licenses.scan(df.limit(0)).count() == 0
