@@ -169,36 +169,43 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = pd.concat([b for b in batches] or [pd.DataFrame({"id": [], "good": [], "grams": []})])
-        got = got.drop_duplicates("id").sort_values("id")
+        got = got.sort_values("id")
         model = fit_rows([np.frombuffer(g, dtype="i4") for g in got["grams"]], got["good"].to_numpy(dtype=bool))
         yield pd.DataFrame({"weights": [model.weights.tobytes()], "ratios": [model.ratios.tobytes()], "bias": [model.bias], "slope": [model.slope], "shift": [model.shift]})
 
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(rows), F.col("id") == F.col("_id"))
     grams = texts.select("id", "text", (F.col("_label") == 1).alias("good")).mapInPandas(features, "id long, good boolean, grams binary")
+    # of rows that repeat a labelled id the one of the least n-grams counts, so no more than `sample` rows meet
+    grams = grams.groupBy("id").agg(F.min(F.struct(F.xxhash64("grams").alias("h"), "grams", "good")).alias("x")).select("id", "x.good", "x.grams")
     row = grams.repartition(1).mapInPandas(fitted, "weights binary, ratios binary, bias double, slope double, shift double").first()
     return Model(np.frombuffer(row["weights"], dtype="f4"), np.frombuffer(row["ratios"], dtype="f4"), row["bias"], row["slope"], row["shift"])
 
 
 def scores(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) added; only the text decides. Null texts score as empty ones."""
-    columns = [f for f in docs.schema.fields if f.name != "score"]
+    """docs with score (0 to 1, higher: label 1 likelier) added; only the text decides, whole, however long.
+
+    Null texts score as empty ones. A column score is replaced, all others stay as they are, whatever their names; rows
+    that repeat an id stay rows of their own; an empty table gives an empty result.
+    """
     model = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def score_of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words, m = _Words(), model.value
-        for batch in batches:
-            texts = batch.pop("_text")
-            yield batch.assign(score=np.array([m.score(words.ngrams(t)) for t in texts], dtype="f8"))
+        for texts in parts:
+            yield pd.Series([m.score(words.ngrams(t)) for t in texts], dtype="f8")
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in columns) + "score double"
-    return docs.select(*(f"`{f.name}`" for f in columns), F.coalesce(text, F.lit("")).alias("_text")).mapInPandas(scored, schema)
+    kept = [F.col(f"`{c}`") for c in docs.columns if c != "score"]
+    return docs.select(*kept, score_of.asNondeterministic()(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("score"))  # not called again for each use
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out (crc32 of the id as text is 0 modulo 5), score, predicted (1 if score >= threshold, else 0).
 
-    Held-out labels are never used. A null id isn't held out. Without labels, or with labels of one class, all rows get
-    one score. Rows that repeat an id stay rows of their own. An empty table gives an empty result.
+    Held-out labels are never used; of rows that repeat a labelled id one text is fitted to. A null id isn't held out.
+    Without labels, or with labels of one class, all rows get one score. Null texts count as empty ones; long ones are used
+    whole. Rows that repeat an id stay rows of their own. Other columns, whatever their names, don't count. An empty table
+    gives an empty result.
     """
     model = fit(docs, labels, text, doc_id, label)
     out = scores(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model).drop("text")
