@@ -28,6 +28,8 @@ WINDOW = 35
 PERIOD, COVER = 21, np.array([0, 1, 4, 14, 16])
 #: Entries that a task gathers before it packs them, and words whose hashes it remembers.
 ENTRIES_AT_ONCE, REMEMBERED = 700_000, 150_000
+#: Bytes of text for each bucket of hashes, and each group of texts, about 1.2 million anchors.
+BYTES_PER_BUCKET = 32 << 20
 #: Odd, so that powers of it can be inverted modulo 2**64.
 BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype="u8")
 
@@ -193,12 +195,16 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield texts(packed)
 
 
-def _repeated(texts: DataFrame, hashed: Callable) -> DataFrame:
-    """key, mark, places (packed positions) of what repeats in texts."""
+def _repeated(texts: DataFrame, hashed: Callable, buckets: int) -> DataFrame:
+    """key, mark, places (packed positions) of what repeats in texts.
+
+    There are as many buckets as the texts' volume asks for, so that one fits into memory; a partition has several.
+    """
     n = shuffle_partitions(texts.sparkSession)
-    sent = texts.mapInPandas(_sent(hashed, n), "bucket long, found boolean, payload binary")
-    met = sent.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInPandas(_met(n), "bucket long, payload binary")
-    return met.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket").mapInPandas(_gathered, "key long, mark int, places binary")
+    sent = texts.mapInPandas(_sent(hashed, buckets), "bucket long, found boolean, payload binary")
+    of = F.pmod("bucket", F.lit(n)).cast("int")
+    met = sent.repartitionById(n, of).sortWithinPartitions("bucket").mapInPandas(_met(buckets), "bucket long, payload binary")
+    return met.repartitionById(n, of).sortWithinPartitions("bucket").mapInPandas(_gathered, "key long, mark int, places binary")
 
 
 def _words(memo: dict, text: bytes) -> np.ndarray:
@@ -254,16 +260,21 @@ def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(pack, "key long, mark int, packed binary")
 
 
-def _windows(texts: DataFrame, window: int) -> DataFrame:
+def _buckets(docs: DataFrame, text: str) -> int:
+    size = docs.agg(F.sum(F.octet_length(F.col(text)).cast("long"))).first()[0] or 0
+    return max(shuffle_partitions(docs.sparkSession), -(-size // BYTES_PER_BUCKET))
+
+
+def _windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
     """key, mark, places of the windows of texts that repeat."""
-    anchors = staged(_repeated(texts, _anchors(window)), "substring-anchors")
-    return staged(_repeated(texts.join(anchors, ["key", "mark"]), _extended(window)), "substring-windows")
+    anchors = staged(_repeated(texts, _anchors(window), buckets), "substring-anchors")
+    return staged(_repeated(texts.join(anchors, ["key", "mark"]), _extended(window), buckets), "substring-windows")
 
 
 def covered(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """key, mark, packed (the text) of each row of docs, and places (packed starts of windows that repeat; null: none)."""
     texts = _texts(docs, text, doc_id)
-    return texts.join(_windows(texts, window), ["key", "mark"], "left")
+    return texts.join(_windows(texts, window, _buckets(docs, text)), ["key", "mark"], "left")
 
 
 def _kept(words: list[bytes], places, window: int) -> np.ndarray:
@@ -282,8 +293,8 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text: str = "text", doc
 
     Words are runs of bytes other than \\x20 and \\x09-\\x0D. A word goes if it lies in a window of `window` words that
     also begins anywhere else, in the same text or another; all its occurrences go. Null and empty texts have no words.
-    Rows that repeat an id stay rows of their own, and repeated texts repeat each other's windows. Empty tables give
-    empty results.
+    Rows that repeat an id stay rows of their own, and repeated texts repeat each other's windows. Long texts are used
+    whole. Other columns, whatever their names, don't count. Empty tables give empty results.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,8 +313,13 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text: str = "text", doc
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with all repeated windows cut out of the text; a text without any stays as it is, white space included."""
-    found = _windows(_texts(docs, text, doc_id), window).withColumnsRenamed({"key": "_key", "mark": "_mark", "places": "_places"})
+    """docs with all repeated windows cut out of the text; a text without any stays as it is, white space included.
+
+    Null texts stay null. Long texts are used whole. Rows that repeat an id stay rows of their own, and rows that repeat a
+    text repeat each other's windows. Other columns stay as they are, whatever their names. An empty table gives an empty
+    result.
+    """
+    found = _windows(_texts(docs, text, doc_id), window, _buckets(docs, text))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -319,5 +335,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     def mark_of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([_mark(t.encode()) for t in texts], dtype="u4").view("i4"))
 
-    marked = docs.select("*", key_of(F.col(doc_id)).alias("_key"), mark_of(F.coalesce(text, F.lit(""))).alias("_mark"))
-    return marked.join(found, ["_key", "_mark"], "left").withColumn(text, cut(text, "_places")).select(*docs.columns)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias(""))
+    marked = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), key_of(F.col(doc_id)).alias("key"), mark_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("mark"))
+    kept = marked.join(found, ["key", "mark"], "left").select("row", cut("text", "places").alias("text"))
+    return kept.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -119,3 +119,31 @@ def test_every_operator_has_its_query():
     assert [n for n in range(1, 11) if any(name.startswith(f"op{n}_") for name in QUERIES)] == list(range(1, 11))
     assert set(ORACLE_SQL) <= set(QUERIES) <= set(__spark_entry__.queries())
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_scores_keep_their_columns(spark):
+    rows = [(1, "good text", "x", {"a": 1}), (1, None, None, None), (2, "word " * 300_000, "y", {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, `a.b` map<string,int>")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 20)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df.select("doc_id", "text"), labels)
+    got = quality.scores(df, model)
+    assert got.columns == [*df.columns, "score"] and sorted(map(str, (tuple(r)[:4] for r in got.collect()))) == sorted(map(str, rows))
+    assert all(0 <= r["score"] <= 1 for r in got.collect()) and quality.scores(df.limit(0), model).count() == 0
+
+
+def test_the_dual_comes_to_the_primal():
+    """The gap between the hinge loss and its dual closes, so the descent comes to the least loss."""
+    draw = np.random.default_rng(3)
+    rows = [np.unique(draw.integers(0, 300, 40)).astype("i4") for _ in range(200)]
+    good = np.array([int(g[:20].sum()) % 2 == 0 for g in rows])
+    model = quality._descend(rows, good)
+    weights = np.divide(model.weights, model.ratios, out=np.zeros_like(model.weights), where=model.ratios != 0).astype("f8")
+    x = [(g, model.ratios[g] / np.linalg.norm(model.ratios[g])) for g in rows]
+    sign = np.where(good, 1.0, -1.0)
+    cost = quality.COST * np.where(good, 0.5 / good.mean(), 0.5 / (1 - good.mean()))
+    norm = float(weights @ weights + model.bias**2)
+    loss = lambda w, b: 0.5 * float(w @ w + b * b) + float((cost * np.maximum(0, 1 - sign * np.array([w[g] @ v + b for g, v in x]))).sum())
+    least = loss(weights, model.bias)
+    for _ in range(50):  # no step away from it is better by much
+        step, shift = draw.normal(size=weights.shape) * 0.01 * (weights != 0), draw.normal() * 0.01
+        assert loss(weights + step, model.bias + shift) > least - 0.01 * (least + norm)

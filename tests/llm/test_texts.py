@@ -422,3 +422,54 @@ def test_labels_and_scores_equal_brute_force(spark):
         want[i, ",".join(sorted(labels)), score] += 1
     assert got == want
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<main><p>A long story</p><article>and its end</article></main>", "A long story and its end"),
+        ("<form><article><p>story</p></article></form>", "story"),
+        ('<p title="x>Hi', "Hi"),
+        ('<p title=">">a</p><p title=x"y>b</p>', "a b"),
+        ('<article><header><h1>Head</h1></header><div class="recipe-cookies">dough</div><div class="ad">buy</div><form>x</form></article>', "Head dough"),
+        ('<article><p>a</p><section class="comments"><p>first!</p></section></article>', "a"),
+    ],
+)
+def test_ill_formed_and_odd_pages(page, text):
+    assert html_text.main_texts([html_text.blocks(page)]) == [text]
+
+
+def test_long_pages_take_their_time_by_their_length():
+    began = time.time()
+    for page in ("<a " * 350_000 + '"', "<div>" * 100_000 + "</x>" * 100_000, "<p class='" * 100_000, "<script " * 100_000, "<p>" * 100_000 + "</div>" * 100_000):
+        html_text.blocks(page)
+    assert time.time() - began < 30
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert html_text.main_texts([html_text.blocks(f"<article><p>{words}</p></article>")]) == [words]
+
+
+def test_pages_of_several_hosts(spark):
+    """Runs that one host repeats stay on another; rows and pages that are repeated keep their texts."""
+    draw = random.Random(9)
+    line = "this line stands on each page of this host and says nothing at all"
+    rows = []
+    for host in ("a.org", "b.org"):
+        for i in range(4):
+            own = " ".join(prose(draw, 30))
+            rows.append((i, f"http://{host}/{i}", f"<p>{line}</p><p>{own}</p>" if host == "a.org" or i == 0 else f"<p>{own}</p>", own if host == "a.org" else f"{line} {own}" if i == 0 else own))
+    rows += [rows[0], (None, None, None, ""), (7, "x", "", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, packed string")
+    got = collections.Counter((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_text.extract(df).collect())
+    assert got == collections.Counter((i, u, t, len(t)) for i, u, _, t in rows)
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1 << 25, 64])
+def test_cut_texts_keep_their_columns(spark, monkeypatch, size):
+    monkeypatch.setattr(substring_dedup, "BYTES_PER_BUCKET", size)
+    passage, draw = " ".join(f"p{i}" for i in range(40)), random.Random(2)
+    rows = [(1, f"a  b {passage} c", "k", 5, {"x": 1}), (1, f"{passage} d", None, 6, None), (None, None, "z", 7, {}), (4, " ".join(prose(draw, 30_000)), "q", None, None), (5, "", "", 1, {})]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, _places int, `a.b` map<string,int>")
+    got = substring_dedup.remove_repeats(df)
+    want = [(1, "a b c", *rows[0][2:]), (1, "d", *rows[1][2:]), *rows[2:]]
+    assert got.columns == df.columns and sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, want))
