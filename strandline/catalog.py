@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as X
+from .functions.ordering import ranked_rows
 from .functions.staging import staged
-from .operators import contigs, graph, kmers, mapping, stats
+from .operators import chunks, contigs, graph, kmers, mapping, stats
 from .sources import projection, reads, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -533,3 +534,66 @@ def variant_scores(spark, sf_dir):
 @_query("kmers_outside", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select kmer, cnt from kmers where kmer not in (select kmer from tw)")
 def kmers_outside(spark, sf_dir):
     return kmers.lettered(contigs.kmers_outside(_kmers(spark, sf_dir), projection.targets(spark, sf_dir), K).select("kmer", "cnt"), K)
+
+
+# Chunks, records and paths between nodes.
+
+
+def _chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """target_id, chunks: a target with three variants of its middle base, which differ in length."""
+    mid = F.floor(F.length("seq") / 2).cast("int")
+    plain = lambda c: F.array(c)
+    parts = F.array(plain(F.substr("seq", F.lit(1), mid)), F.array(*map(F.lit, ("A", "CC", "GTG"))), plain(F.substr("seq", mid + 2)))
+    return projection.targets(spark, sf_dir).where("seq <> ''").select("target_id", parts.alias("chunks"))
+
+
+_CHUNKED = f"{_TARGETS}, halves as (select target_id, left(seq, length(seq) // 2) as a, substr(seq, length(seq) // 2 + 2) as b from targets where seq <> '')"
+
+
+@_query("chunk_lengths", f"with {_CHUNKED} select target_id, length(a) + length(b) + 1 as len_min, length(a) + length(b) + 3 as len_max, {_RC.format('b')} || 'T' || {_RC.format('a')} as turned from halves")
+def chunk_lengths(spark, sf_dir):
+    c = F.col("chunks")
+    return _chunked(spark, sf_dir).select("target_id", chunks.length_min(c).alias("len_min"), chunks.length_max(c).alias("len_max"), chunks.primary(chunks.reversed_chunks(c)).alias("turned"))
+
+
+@_query("expanded_variants", f"with {_CHUNKED} select target_id, a || unnest(['A', 'CC', 'GTG']) || b as seq from halves")
+def expanded_variants(spark, sf_dir):
+    return _chunked(spark, sf_dir).select("target_id", F.explode(chunks.expanded(F.col("chunks"))).alias("seq"))
+
+
+@_query(
+    "start_stop_codons",
+    f"with {_TARGETS}, cut as (select target_id, unnest(list_transform(range(0, length(seq) // 3), lambda i: substr(seq, i * 3 + 1, 3))) as c from targets) "
+    "select target_id, count(c) filter (c in ('TTG', 'CTG', 'ATG')) as n_starts, count(c) filter (c in ('TAA', 'TAG', 'TGA')) as n_stops from targets left join cut using (target_id) group by target_id",
+)
+def start_stop_codons(spark, sf_dir):
+    found = projection.targets(spark, sf_dir).select("target_id", X.codons(F.col("seq")).alias("c"))
+    return found.select("target_id", F.size(F.filter("c", X.is_start)).cast("long").alias("n_starts"), F.size(F.filter("c", X.is_stop)).cast("long").alias("n_stops"))
+
+
+@_query("contig_records", f"with {_TARGETS} select '>Contig_' || row_number() over (order by seq) || '_0' || chr(10) || seq as value from (select distinct seq from targets where length(seq) >= 200)")
+def contig_records(spark, sf_dir):
+    rows = projection.targets(spark, sf_dir).where("length(seq) >= 200").select("seq").distinct()
+    return sinks.plain_contig_fasta(ranked_rows(rows, "number", "seq"))
+
+
+PATH_STEPS = 4
+
+
+@_query(
+    "unique_paths",
+    f"""with recursive {_ABUNDANCE}, links as materialized (select src, dst, substr('ACTG', nt + 1, 1) as base from by_abundance), forked as (select src from links group by src having count(*) > 1),
+walks(start, node, path, depth) as (select src, dst, base, 1 from links join forked using (src) union all select start, dst, path || base, depth + 1 from walks join links on src = node where depth < {PATH_STEPS}),
+placed as (select start, {_canon('node')} as node, path, depth from walks), goals as (select distinct start, node as goal from placed where depth = {PATH_STEPS - 1}),
+hits as (select g.start, goal, path, depth, min(depth) over (partition by g.start, goal) as first from goals g join placed p on p.start = g.start and p.node = goal)
+select start, goal, max(path) as path from hits where depth = first group by start, goal having count(*) = 1""",
+)
+def unique_paths(spark, sf_dir):
+    """From each fork to the nodes three steps on."""
+    whole = staged(graph.by_abundance(_forks(spark, sf_dir), FRACTION, LOW_COUNT), "forks")
+    steps = staged(graph.successors(whole, K).select("src", "dst"), "steps")
+    at = graph.forking(steps).select(F.col("src").alias("start"), F.col("src").alias("node"))
+    for _ in range(PATH_STEPS - 1):
+        at = at.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
+    pairs = at.select("start", kmers.Packing(K).canonical(F.col("node")).alias("goal")).distinct()
+    return kmers.lettered(graph.unique_paths(pairs, whole, K, PATH_STEPS), K, "start", "goal")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 IUPAC, COMPLEMENTS = "ACGTKMRYDVHBNWS", "TGCAMKYRHBDVNWS"
 STANDS_FOR = {"A": "A", "C": "C", "G": "G", "T": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT", "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT"}
 CODON_BASES = "TCAG"
+START_CODONS, STOP_CODONS = ("TTG", "CTG", "ATG"), ("TAA", "TAG", "TGA")
 STANDARD_CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 
@@ -62,6 +63,26 @@ def translate_codons(seq: Column) -> Column:
     return F.when(F.length(seq) >= 3, F.array_join(F.transform(places, amino), "")).otherwise(F.lit(""))
 
 
+def codons(seq: Column) -> Column:
+    """The whole codons of a sequence."""
+    n = F.floor(F.length(seq) / 3).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substr(F.upper(seq), i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+
+
+def is_start(codon: Column) -> Column:
+    return codon.isin(*START_CODONS)
+
+
+def is_stop(codon: Column) -> Column:
+    return codon.isin(*STOP_CODONS)
+
+
+def codons_for(amino: str) -> list[str]:
+    """The codons of an amino acid, in the order of the code."""
+    each = [a + b + c for a in CODON_BASES for b in CODON_BASES for c in CODON_BASES]
+    return [c for c, x in zip(each, STANDARD_CODE, strict=True) if x == amino.upper()]
+
+
 def frames(seq: Column) -> Column:
     """Array of struct frame, protein: the three frames of the sequence and of its reverse complement (-1 to -3)."""
     both = [(n + 1, F.substr(seq, F.lit(n + 1))) for n in range(3)] + [(-n - 1, F.substr(revcomp(seq), F.lit(n + 1))) for n in range(3)]
@@ -98,3 +119,10 @@ def register(spark: SparkSession) -> None:
     spark.sql("create or replace temporary function revcomp(s string) returns string return reverse(translate(upper(s), '%s', '%s'))" % (IUPAC, COMPLEMENTS))
     spark.sql("create or replace temporary function base_digits(s string) returns string return translate(s, 'ACTG', '0123')")
     spark.sql("create or replace temporary function canonical_kmer(s string) returns string return if(base_digits(s) < base_digits(revcomp(s)), s, revcomp(s))")
+    entropy_of = " + ".join(f"-p{b} * ln(p{b}) / ln(4D)" for b in "ACGT")
+    parts = ", ".join(f"(length(s) - length(replace(upper(s), '{b}', '')) + 1e-8D) / length(s) as p{b}" for b in "ACGT")
+    spark.sql(f"create or replace temporary function dna_entropy(s string) returns double return (select if(length(s) > 0, {entropy_of}, 0D) from (select {parts}))")
+    pick = " + ".join(f"{4 ** (2 - p)} * (instr('{CODON_BASES}', substr(c, {p + 1}, 1)) - 1)" for p in range(3))
+    amino = f"if(c rlike '^[ACGT]+$', substr('{STANDARD_CODE}', {pick} + 1, 1), 'X')"
+    cut = "transform(sequence(0, cast(length(s) div 3 as int) - 1), i -> substr(upper(s), i * 3 + 1, 3))"
+    spark.sql(f"create or replace temporary function translate_codons(s string) returns string return if(length(s) >= 3, array_join(transform({cut}, c -> {amino}), ''), '')")

@@ -170,6 +170,27 @@ def reachable(starts: DataFrame, steps: DataFrame, most: int) -> DataFrame:
     return found
 
 
+def unique_paths(pairs: DataFrame, forks: DataFrame, k: int, most: int, at_once: int = 100) -> DataFrame:
+    """start, goal, path (bases) of the pairs (start: a node, goal: a canonical k-mer) that one walk alone connects.
+
+    Walks of all pairs grow step by step, each round written to the shared folder. The first step that brings any of a
+    pair's walks to its goal decides: one walk is the path, several are none; so are more than `at_once` walks that go on,
+    which is a rule of the search.
+    """
+    pack = Packing(k)
+    steps = staged(successors(forks, k).select("src", "nt", "dst"), "steps")
+    walks, found = pairs.select("start", "goal", F.col("start").alias("node"), F.lit("").alias("path")), None
+    for _ in range(most):
+        grown = walks.join(steps, F.col("node") == F.col("src")).select("start", "goal", F.col("dst").alias("node"), F.concat("path", F.substring(F.lit(ORDER), F.col("nt") + 1, F.lit(1))).alias("path"))
+        grown = staged(grown.withColumn("there", pack.canonical(F.col("node")) == F.col("goal")), "grown")
+        state = grown.groupBy("start", "goal").agg(F.sum(F.col("there").cast("long")).alias("hits"), F.count("*").alias("n"), F.max(F.when(F.col("there"), F.col("path"))).alias("path"))
+        hit = state.where("hits = 1").select("start", "goal", "path")
+        found = hit if found is None else found.unionByName(hit)
+        going = state.where((F.col("hits") == 0) & (F.col("n") <= at_once)).select("start", "goal")
+        walks = grown.join(going, ["start", "goal"]).select("start", "goal", "node", "path")
+    return found
+
+
 def forking(steps: DataFrame) -> DataFrame:
     """src of the nodes that have more than one successor."""
     return steps.groupBy("src").agg(F.count("*").alias("_n")).where("_n > 1").select("src")

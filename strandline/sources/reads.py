@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ordering import ranked_rows
 from ..functions.sequence import longest_clean_run, valid_symbols
+from ..functions.staging import staged
 
 
 def _checked(seq: Column) -> Column:
@@ -30,14 +36,28 @@ def read_fasta(spark: SparkSession, path: str | list[str], strict: bool = True)
     return parts.select("file", "ordinal", name.alias("read_id"), body.alias("seq"))
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, line (from 0), value. A file is read in blocks; its lines are counted per block and moved on by those before."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = staged(rows, "lines")
+    sizes = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("file", "block", before.alias("start"))
+    within = F.row_number().over(W.partitionBy("file", "block").orderBy("at")) - 1
+    return rows.withColumn("within", within).join(starts, ["file", "block"]).select("file", (F.col("start") + F.col("within")).alias("line"), "value")
+
+
 def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, ordinal, read_id, seq of four-line records; the third line must begin with a plus sign."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split(F.regexp_replace("value", r"\r|\n+$", ""), "\n").alias("l"))
-    records = whole.select("file", "l", F.explode(F.sequence(F.lit(0), F.ceil(F.size("l") / 4).cast("int") - 1)).alias("ordinal"))
-    line = lambda i: F.get("l", F.col("ordinal") * 4 + i)
-    good = line(0).startswith("@") & F.coalesce(line(2).startswith("+"), F.lit(False)) & line(3).isNotNull()
-    head = F.when(good, line(0)).otherwise(F.raise_error(F.concat(F.lit("Invalid FASTQ record "), F.col("ordinal").cast("string"))))
-    return records.select("file", F.col("ordinal").cast("long"), F.regexp_extract(head, r"^@([^ \t]*)", 1).alias("read_id"), _checked(line(1)).alias("seq"))
+    """file, ordinal, read_id, seq of four-line records; the third line must begin with a plus sign.
+
+    Blank lines at the end of a file don't count. Files of any size are read in parallel, unless they are compressed.
+    """
+    lines = _lines(spark, path).select("file", F.floor(F.col("line") / 4).alias("ordinal"), (F.col("line") % 4).alias("i"), F.regexp_replace("value", r"\r", "").alias("value"))
+    each = [F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"l{i}") for i in range(4)]
+    records = lines.groupBy("file", "ordinal").agg(*each).where("coalesce(l0, '') <> '' or coalesce(l1, '') <> ''")
+    good = F.col("l0").startswith("@") & F.coalesce(F.col("l2").startswith("+"), F.lit(False)) & F.col("l3").isNotNull()
+    head = F.when(good, F.col("l0")).otherwise(F.raise_error(F.concat(F.lit("Invalid FASTQ record "), F.col("ordinal").cast("string"))))
+    return records.select("file", F.col("ordinal").cast("long"), F.regexp_extract(head, r"^@([^ \t]*)", 1).alias("read_id"), _checked(F.col("l1")).alias("seq"))
 
 
 def read_any(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +69,42 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return (read_fasta if kind == ">" else read_fastq)(spark, path)
 
 
+def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The records of several files of either format; a file that is named twice counts once, and no records are an error."""
+    distinct = sorted(set(paths))
+    if len(distinct) < len(paths):
+        warnings.warn("input files are named more than once", stacklevel=2)
+    rows = reduce(DataFrame.unionByName, [read_any(spark, p) for p in distinct])
+    if not rows.limit(1).count():
+        raise ValueError("no reads in the input files")
+    return rows
+
+
+def read_seeds(spark: SparkSession, path: str) -> DataFrame:
+    """file, ordinal, read_id, seq of seeds: upper-case bases and codes only; an empty file has none."""
+    rows = read_fasta(spark, path, strict=False).withColumn("seq", F.col("seq"))
+    raw = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "").select(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"[\r\n]", "").alias("s"))
+    if raw.where(F.rlike("s", F.lit("[^ACGTYRWSKMDVHBN]"))).limit(1).count():
+        raise ValueError(f"{path}: invalid seeds")
+    return rows
+
+
+def from_memory(spark: SparkSession, singles: Iterable[str | bytes] = (), pairs: Iterable[tuple[str | bytes, str | bytes]] = ()) -> DataFrame:
+    """read_id, pair_id, mate, seq of sequences that a program holds; bytes that aren't UTF-8 are empty."""
+
+    def text(seq: str | bytes) -> str:
+        if isinstance(seq, str):
+            return seq
+        try:
+            return seq.decode()
+        except UnicodeDecodeError:
+            return ""
+
+    rows = [(f"pair{i}", i, m, text(s)) for i, both in enumerate(pairs) for m, s in enumerate(both, 1)]
+    rows += [(f"single{i}", None, None, text(s)) for i, s in enumerate(singles)]
+    return spark.createDataFrame(rows, "read_id string, pair_id long, mate int, seq string")
+
+
 def clean(reads: DataFrame) -> DataFrame:
     """seq becomes its longest run of ACGT; reads without one are left out."""
     return reads.withColumn("seq", longest_clean_run(F.col("seq"))).where("seq <> ''")
@@ -75,8 +131,7 @@ def pair_interleaved(reads: DataFrame) -> DataFrame:
 
 def pair_files(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two files zipped by the order of their records; a longer first file is an error, the rest of a longer second is left out."""
-    number = lambda df: df.withColumn("pair_id", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("file", "ordinal")) - 1)
-    a, b = number(first), number(second)
+    a, b = (ranked_rows(df, "pair_id", "file", "ordinal").withColumn("pair_id", F.col("pair_id") - 1) for df in (first, second))
     both = a.select("pair_id", "read_id", F.col("seq").alias("s1")).join(b.select("pair_id", F.col("seq").alias("s2")), "pair_id", "left")
     s2 = F.when(F.col("s2").isNotNull(), F.col("s2")).otherwise(F.raise_error(F.lit("The first mate file is longer than the second")))
     mates = F.array(F.struct(F.lit(1).alias("mate"), F.col("s1").alias("seq")), F.struct(F.lit(2).alias("mate"), s2.alias("seq")))

@@ -100,3 +100,65 @@ def test_spectrum_of_a_clear_peak():
     assert valley == 4 and last >= 10
     assert kmers.main_range([(1, 5)]) == (-1, 0)
     assert kmers.thresholds(200.0, 2) == (4, 20)
+
+
+def test_lines_of_several_blocks_keep_their_order(spark, tmp_path):
+    n = 3000
+    path = write(tmp_path / "a.fastq", "".join(f"@r{i}\n{'ACGT'[i % 4] * (i % 50 + 1)}\n+\n{'@' * (i % 50 + 1)}\n" for i in range(n)) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = [tuple(r) for r in reads.read_fastq(spark, path).orderBy("ordinal").select("ordinal", "read_id", "seq").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [(i, f"r{i}", "ACGT"[i % 4] * (i % 50 + 1)) for i in range(n)]
+
+
+def test_files_seeds_and_memory(spark, tmp_path):
+    a, b = write(tmp_path / "a.fasta", ">x\nACGT\n"), write(tmp_path / "b.fastq", "@y\nGG\n+\n@@\n")
+    with pytest.warns(UserWarning):
+        assert rows(reads.read_files(spark, [a, b, a]), "read_id", "seq") == [("x", "ACGT"), ("y", "GG")]
+    assert rows(reads.read_seeds(spark, write(tmp_path / "s.fasta", ">s 1\nACR\nT\n")), "read_id", "seq") == [("s 1", "ACRT")]
+    with pytest.raises(ValueError):
+        reads.read_seeds(spark, write(tmp_path / "t.fasta", ">s\nacg\n"))
+    held = reads.from_memory(spark, ["AC", b"\xff"], [(b"GG", "TT")])
+    assert rows(held, "read_id", "pair_id", "mate", "seq") == [("pair0", 0, 1, "GG"), ("pair0", 0, 2, "TT"), ("single0", None, None, "AC"), ("single1", None, None, "")]
+
+
+def test_records(spark):
+    contigs = spark.createDataFrame([(2, "GG", 1.5, False), (1, "AC", 2.0, True)], "number long, seq string, abundance double, circular boolean")
+    assert [r[0] for r in sinks.contig_fasta(contigs).collect()] == [">Contig_1_2_Circ [topology=circular]\nAC", ">Contig_2_1.5\nGG"]
+    assert [r[0] for r in sinks.plain_contig_fasta(contigs.drop("circular")).collect()] == [">Contig_1_0\nAC", ">Contig_2_0\nGG"]
+    assert sinks.iteration_records(contigs, 21).first()[0] == ">kmer21_1 20 20\nAC" and sinks.connected_records(contigs).first()[0] == ">ConnectedRead_1\nAC"
+    variants = [(3, r, 1.0 / 2**r, t, "A" * 150, "C" * 30, 150, "G") for r, t in ((1, "G"), (2, "TT"))]
+    df = spark.createDataFrame(variants, "number long, rank int, score double, text string, before string, after string, start long, primary string")
+    assert [r[0] for r in sinks.variant_records(df).collect()] == [f">Variant_1_for_Contig_3:51_181:0.25\n{'A' * 100}TT{'C' * 30}"]
+
+
+def test_chunks_of_seeds(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.functions import sequence as X
+    from strandline.operators import chunks
+
+    row = spark.createDataFrame([("ACRTN",)], "s string").select(chunks.seed_chunks(F.col("s")).alias("c")).select("c", chunks.expanded(F.col("c")).alias("all"), chunks.length_max(F.col("c")), chunks.primary(chunks.reversed_chunks(F.col("c")))).first()
+    assert row["c"] == [["AC"], ["A", "G"], ["T"], ["A", "C", "G", "T"]] and row["all"] == ["AC" + r + "T" + n for r in "AG" for n in "ACGT"] and tuple(row)[2:] == (5, "TATGT")
+    X.register(spark)
+    got = spark.sql("select translate_codons('atgGCCnnnTA'), dna_entropy('ACGTACGTACGT'), dna_entropy('')").first()
+    assert got[0] == "MAX" and got[1] > 0.99 and got[2] == 0 and X.codons_for("m") == ["ATG"]
+
+
+def test_global_ranks_and_sums(spark):
+    from pyspark.sql import functions as F
+
+    from strandline.functions.ordering import cumulated, ranked_rows
+
+    draw = random.Random(3)
+    values = draw.sample(range(10_000), 500)
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    want, total = {}, 0
+    for i, v in enumerate(sorted(values), 1):
+        total += v
+        want[v] = (i, total)
+    assert {r["v"]: r["n"] for r in ranked_rows(df, "n", "v").collect()} == {v: i for v, (i, _) in want.items()}
+    assert {r["v"]: r["s"] for r in cumulated(df, {"s": F.col("v")}, "v").collect()} == {v: t for v, (_, t) in want.items()}
+    assert cumulated(df.limit(0), {"s": F.col("v")}, "v").count() == 0
