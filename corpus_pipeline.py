@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns a DataFrame; all but the last
 return the columns of documents.
+
+Every stage takes texts whole, null and empty ones as texts without words; rows that repeat an id stay rows of their own,
+each judged by its own text; further columns stay as they are, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -14,28 +17,37 @@ from strandline.llm.common import staged, table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted to the labels of the documents that there are, doesn't reject."""
+    """Documents that the quality classifier, fitted to the labels of the documents that there are, doesn't reject.
+
+    Without labels of both kinds all score alike, and all stay, unless all labels are bad.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scores(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of near duplicates."""
+    """One document, the one of the smallest id, null first, of each group of near duplicates.
+
+    Of rows that repeat this id the one of the least hash of its text stays, of equal ones any; empty texts are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand anywhere else; a text that is nothing but such passages becomes empty."""
+    """Documents without the passages that stand anywhere else; a text that is nothing but such passages becomes empty.
+
+    Null texts stay null, and n_chars is counted anew.
+    """
     return substring_dedup.remove_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark; those without words hold none."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of each document."""
+    """How many words the mix takes of each document; of one without words none. A null source is one of its own."""
     return mixing.mix(docs)
 
 
