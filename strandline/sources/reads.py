@@ -82,7 +82,7 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def read_seeds(spark: SparkSession, path: str) -> DataFrame:
     """file, ordinal, read_id, seq of seeds: upper-case bases and codes only; an empty file has none."""
-    rows = read_fasta(spark, path, strict=False).withColumn("seq", F.col("seq"))
+    rows = read_fasta(spark, path, strict=False)
     raw = spark.read.option("lineSep", "\n>").text(path).where(F.trim("value") != "").select(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*", ""), r"[\r\n]", "").alias("s"))
     if raw.where(F.rlike("s", F.lit("[^ACGTYRWSKMDVHBN]"))).limit(1).count():
         raise ValueError(f"{path}: invalid seeds")
