@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_of, key_of, shuffle_partitions, staged
@@ -244,20 +244,21 @@ def _extended(window: int) -> Callable:
     return hashed
 
 
-def _mark(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text)
+def _mark(text: str) -> Column:
+    """A hash that tells texts of one id apart; null counts as empty."""
+    return F.hash(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, mark (a hash that tells texts of one id apart) and packed (the compressed text), with what docs has besides."""
+    """key, mark and packed (the compressed text)."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            raw = [t.encode() for t in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "mark": np.array([_mark(r) for r in raw], dtype="u4").view("i4"), "packed": [packer.compress(r) for r in raw]})
+            yield pd.DataFrame({"key": batch["key"], "mark": batch["mark"], "packed": [packer.compress(t.encode()) for t in batch["text"]]})
 
-    return docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(pack, "key long, mark int, packed binary")
+    rows = docs.select(key_of(F.col(doc_id)).alias("key"), _mark(text).alias("mark"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return rows.mapInPandas(pack, "key long, mark int, packed binary")
 
 
 def _buckets(docs: DataFrame, text: str) -> int:
@@ -331,11 +332,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    @F.pandas_udf("int")
-    def mark_of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([_mark(t.encode()) for t in texts], dtype="u4").view("i4"))
-
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias(""))
-    marked = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), key_of(F.col(doc_id)).alias("key"), mark_of(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("mark"))
-    kept = marked.join(found, ["key", "mark"], "left").select("row", cut("text", "places").alias("text"))
+    marked = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), key_of(F.col(doc_id)).alias("key"), _mark(text).alias("mark"))
+    # a text without repeats isn't sent to Python; a null text has none
+    shorter = cut(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places"))
+    kept = marked.join(found, ["key", "mark"], "left").select("row", F.coalesce(shorter, F.col("text")).alias("text"))
     return kept.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
