@@ -26,12 +26,16 @@ def place(reads: DataFrame, contigs: DataFrame, k: int) -> DataFrame:
 
 
 def deep_reads(reads: DataFrame, contigs: DataFrame, k: int, margin: int) -> DataFrame:
-    """read_id of reads that lie in a contig with the margin to both of its ends."""
-    n = contigs.select(F.col("id").alias("contig"), F.length("seq").alias("clen"))
+    """read_id of reads that lie in a contig (id, seq, and circular if some may be) with the margin to both of its ends.
+
+    A circular contig has no ends: a read with a place in it is deep.
+    """
+    ring = F.col("circular") if "circular" in contigs.columns else F.lit(False)
+    n = contigs.select(F.col("id").alias("contig"), F.length("seq").alias("clen"), ring.alias("ring"))
     at = place(reads, contigs, k).join(n, "contig").join(reads.select("read_id", F.length("seq").alias("rlen")), "read_id")
     ahead = (F.col("strand") > 0) & (F.col("position") >= margin) & (F.col("position") + F.col("rlen") - 1 < F.col("clen") - margin)
     back = (F.col("strand") < 0) & (F.col("position") - F.col("rlen") + 1 >= margin) & (F.col("position") < F.col("clen") - margin)
-    return at.where(ahead | back).select("read_id")
+    return at.where(F.col("ring") | ahead | back).select("read_id")
 
 
 def unused_reads(reads: DataFrame, contigs: DataFrame, k: int, margin: int) -> DataFrame:

@@ -7,7 +7,7 @@ from strandline import catalog
 from strandline.functions import sequence as X
 from strandline.functions.packing import Packing as Packing_of
 from strandline.operators import contigs, graph, kmers, mapping, stats
-from strandline.plans.assembly import Assembler, Parameters, next_ks
+from strandline.plans.assembly import Assembler, Parameters, longest_k, next_ks
 from strandline.sources import sinks
 
 SWAP = str.maketrans("ACGT", "TGCA")
@@ -120,6 +120,53 @@ def test_parameters_are_checked():
         with pytest.raises(ValueError):
             Parameters(**bad)
     assert next_ks(21, 61, 5) == [31, 41, 51, 61] and next_ks(21, 25, 5) == []
+    assert next_ks(21, 50, 4) == [31, 39, 49] and next_ks(21, 35, 11) == [23, 25, 27, 29, 31, 33, 35]
+    assert longest_k(21, 100, 5.0, 10) == 21 and longest_k(21, 100, 40.0, 10) == 81
+
+
+def test_longer_k_resolve_a_repeat(spark):
+    a, b, c, repeat = genome(21, 400), genome(22, 400), genome(23, 400), genome(24, 35)
+    g = a + repeat + b + repeat + c
+    reads = frame(spark, [w if i % 2 else rc(w) for i, w in enumerate(g[i : i + 100] for i in range(0, len(g) - 99, 3))])
+    one = [r["seq"] for r in Assembler(Parameters(min_count=2, min_contig=100)).assemble(reads).contigs.collect()]
+    assert len(one) == 3 and all(s in g or rc(s) in g for s in one)
+    made = Assembler(Parameters(min_count=2, min_contig=100, steps=3, max_k=61)).assemble(reads)
+    seqs = [r["seq"] for r in made.contigs.collect()]
+    assert len(seqs) == 1 and (seqs[0] in g or rc(seqs[0]) in g) and len(seqs[0]) > len(g) - 2 * (61 + 20)
+    assert list(made.iterations) == [21, 41, 61] and [d.count() for d in made.iterations.values()] == [3, 1, 1]
+    assert sinks.iteration_records(made.iterations[61], 61).first()[0].startswith(">kmer61_1 60 60\n")
+
+
+def test_contigs_join_the_next_graph(spark):
+    k, s, ring = 5, genome(31, 40), genome(32, 30)
+    first = kmers.count_kmers(frame(spark, [s] * 4), 3)
+    old = spark.createDataFrame([(s, False), (ring, True)], "seq string, circular boolean")
+    reads = kmers.count_kmers(frame(spark, [s[:10]] * 9 + ["ACACACACAC"]), k)
+    got = {r["kmer"]: (r["cnt"], r["plus"]) for r in kmers.lettered(contigs.recycled(reads, old, first, 3, k, 2), k).collect()}
+    canon = lambda w: min(w, rc(w), key=lambda x: x.translate(str.maketrans("ACTG", "0123")))
+    tri = [canon(s[i : i + 3]) for i in range(38)]
+    closed = ring + ring[:2]
+    n = {canon(s[i : i + 3]): 4 * tri.count(canon(s[i : i + 3])) for i in range(38)}
+    abundance = [sum(n.get(canon(x[i : i + 3]), 0) for i in range(len(x) - 2)) / (len(x) - 2) for x in (s, closed)]
+    want = {r["kmer"]: (r["cnt"], r["plus"]) for r in kmers.lettered(reads, k).collect()}
+    for x, mean in zip((s, ring + ring[: k - 1]), abundance, strict=True):
+        cnt = max(int(mean + 0.5), 2)
+        for i in range(len(x) - k + 1):
+            w = canon(x[i : i + k])
+            want[w] = max(want.get(w, (0, 0)), (cnt, cnt // 2))
+    assert got == want
+    kept = contigs.carried(spark.createDataFrame([(s[5:], False)], old.schema), old, k)
+    assert {tuple(r) for r in kept.collect()} == {(s[5:], False), (ring, True)}
+    empty = old.limit(0)
+    assert contigs.carried(empty, old, k).count() == 2 and contigs.recycled(reads, empty, first, 3, k, 2).count() == reads.count()
+
+
+def test_reads_in_a_ring_are_used(spark):
+    g = genome(41, 300)
+    reads = frame(spark, [g[:60], g[100:160], (g + g)[280:340], genome(42, 60)])
+    for ring, want in ((True, {3}), (False, {0, 2, 3})):
+        found = spark.createDataFrame([(0, g, ring)], "id long, seq string, circular boolean")
+        assert {r["read_id"] for r in mapping.unused_reads(reads, found, 21, 50).collect()} == want
 
 
 def test_queries_have_names_and_sql():
