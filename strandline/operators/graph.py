@@ -263,7 +263,9 @@ def fully_filtered(kmers: DataFrame, k: int, fraction: float = 0.1, low_count: i
     """
     whole = staged(by_abundance(forks_of(kmers, k, low_count), fraction, low_count), "forks")
     forks = by_ggt(whole, k, fraction) if stranded else whole
-    tried = successors(contested(forks), k).select("src", "dst")
+    tried = staged(successors(contested(forks), k).select("src", "dst"), "tried")
+    if tried.isEmpty():  # no dead end can be beside a well supported successor, so no walk is needed
+        return by_strand_balance(forks, fraction, low_count) if stranded else forks
     good = with_way_out(tried.select(F.col("dst").alias("src")), whole, kmers, k)
     dead = staged(tried.join(good.withColumnRenamed("src", "dst"), "dst", "left_anti"), "dead-ends")
     lost = dead.groupBy("src").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), Packing(k).last(F.col("dst")))).alias("_lost"))
