@@ -70,7 +70,62 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import encode
+
+    return encode(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import search_all
+
+    return search_all(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+def _lloyd_sql() -> str:
+    """Each round of Lloyd's as two expressions, the nearest entries and the moved ones."""
+    rounds = []
+    for i in range(5):
+        rounds.append(
+            f"""near{i} as materialized (select vec_id, pos, p, arg_min(e, d * 256 + e) as e, min(d) as d from (select parts.*, e, list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d
+    from parts join book{i} using (pos)) group by vec_id, pos, p)"""
+        )
+        if i < 4:
+            rounds.append(
+                f"""book{i + 1} as materialized (select pos, e, coalesce(moved.c, old.c) as c from book{i} old left join (select pos, e, list(x order by j) as c
+    from (select pos, e, j, cast(floor(sum(x) / count(*)) as bigint) as x from (select pos, e, unnest(p) as x, generate_subscripts(p, 1) as j from near{i}) group by pos, e, j) group by pos, e) moved using (pos, e))"""
+            )
+    return """
+with kept as (select vec_id, label, list_transform(embedding, lambda x: cast(floor(cast(x as double) * 1024) as bigint)) as v from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+parts as materialized (select vec_id, pos, v[pos * len(v) // 4 + 1 : (pos + 1) * len(v) // 4] as p from kept, range(4) r(pos)),
+book0 as materialized (select pos, row_number() over (partition by pos order by vec_id) - 1 as e, p as c from parts where vec_id in (select vec_id from kept order by vec_id limit 256)),
+""" + ",\n".join(rounds) + """,
+coded as (select vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' order by pos) as code, cast(sum(d) as bigint) as error from near4 group by vec_id),
+labelled as (select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error from coded join kept using (vec_id))
+select *, (select sha256(string_agg(array_to_string(c, ','), ',' order by pos, e)) from book4) as codebooks_sha256 from labelled
+"""
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _lloyd_sql(),
+    "op13_ranked_search": r"""
+with d as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
+b as (select item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) as term from benchmark),
+asked as (select item_id, term, count(*) as times from b group by all),
+whole as (select count(*) as docs, sum(len(w)) as terms from d where len(w) > 0),
+held as (select doc_id, n, term, count(*) as tf from (select doc_id, len(w) as n, unnest(w) as term from d) where term in (select term from asked) group by all),
+weighed as (select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from held, whole group by term, docs),
+impacts as (select doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 12 * cast(75 + (25 * n * docs) // terms as bigint))) as impact from held join weighed using (term), whole),
+scored as (select item_id, doc_id, cast(sum(times * impact) as bigint) as score from asked join impacts using (term) group by item_id, doc_id)
+select item_id, cast(rank as integer) as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scored where score > 0) where rank <= 20
+""",
     "op1_url_filters": r"""
 with rules(rule_host, rule_path, says) as (values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
     ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
@@ -115,4 +170,4 @@ from d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id
 """,
 }
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_sketches, op5_html_text, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_simhash, op4_sketches, op5_html_text, op6_substring_dedup, op7_decontamination, op8_quality, op9_mixing, op10_licenses, op11_vector_codes, op12_toxicity, op13_ranked_search)}
