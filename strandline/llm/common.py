@@ -31,6 +31,25 @@ def join_hot(rows: DataFrame, named: DataFrame, key: str, n: str, total: int) ->
     return rows.join(hot, key).unionByName(cold).drop(n)
 
 
+def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that more than one in HOT of all rows has, fewer than HOT of them; staged."""
+    total = rows.count()
+    return staged(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") * HOT > total).select(*keys), "hot-keys")
+
+
+def join_salted(rows: DataFrame, named: DataFrame, keys: list[str], hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined with named (one row a key) where keys, none null, may hold any part of the rows.
+
+    hot: those of hot_keys. Their rows are dealt over all partitions, and their rows of named, which may be large and so
+    aren't broadcast, go to each of them; there are fewer than HOT.
+    """
+    salts = shuffle_partitions(rows.sparkSession)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    rows = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.monotonically_increasing_id(), F.lit(salts))).otherwise(0)).drop("_hot")
+    named = named.join(hot, keys, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+    return rows.join(named, [*keys, "_salt"], how).drop("_salt")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -48,4 +67,4 @@ def id_of(key: Column) -> Column:
     return F.when(key != NO_ID, key)
 
 
-__all__ = ["HOT", "LOWER", "NO_ID", "UPPER", "ascii_lower", "id_of", "join_hot", "key_of", "shuffle_partitions", "staged", "table"]
+__all__ = ["HOT", "LOWER", "NO_ID", "UPPER", "ascii_lower", "hot_keys", "id_of", "join_hot", "join_salted", "key_of", "shuffle_partitions", "staged", "table"]

@@ -1,9 +1,11 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame functions only.
 
-The mix is a row of slots of equally many words. The golden-ratio point of a slot, mapped through the cumulative targets,
-says which source fills it; the rank of a slot among those of its source says which block. A source's blocks cut its
-documents, shuffled by a hash and repeated end to end, at equal numbers of words. Ranks and places are counted per
-bucket and then summed over the buckets before, so that no source is sorted in one task.
+The mix is a row of slots of nearly equally many words. The golden-ratio point of a slot, mapped through the cumulative
+targets, says which source fills it; the rank of a slot among those of its source says which block. A source has as many
+blocks as the points give it slots: they cut its documents, shuffled by a hash and repeated end to end up to its target,
+into equal numbers of words. So the points say in which slots of the mix a document's words stand, and the targets are met
+whatever the points. Ranks and places are counted per bucket and then summed over the buckets before, so that no source
+is sorted in one task.
 """
 
 from __future__ import annotations
@@ -64,45 +66,60 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def schedule(shares: DataFrame, block: int = BLOCK) -> DataFrame:
-    """source, rank, words: the slots that each source fills, in order, and the words that a slot takes of its block.
+    """source, slot, rank, base, extra: the slots of the mix that the points give each source, ranked from 0.
 
-    shares: source, target. The last slot of a source takes what is left of its target; a source that the points give
-    too many slots leaves the rest empty, and one that they give too few gets the missing ones after the last point.
-    Points and the sources' intervals meet by cells, about four to a source, so that few sources share one.
+    shares: source, target. There is a slot for each `block` words of all targets. A source's whole target is cut by its
+    slots: each takes `base` words, the first `extra` of them one more. A source that no point meets, which only one of
+    less than three blocks can be, has one slot behind all others, in the order of sources. Points and the sources'
+    intervals meet by cells, about four to a source, so that few sources share one.
     """
     spark = shares.sparkSession
-    shares = cumulated(shares.where("target >= 1").select("source", F.floor("target").alias("whole")), {"high": F.col("whole")}, F.col("source").asc_nulls_last())
+    shares = cumulated(shares.where("target >= 1").select("source", F.floor("target").alias("whole")), {"high": F.col("whole"), "number": F.lit(1)}, F.col("source").asc_nulls_last())
     counts = shares.agg(F.sum("whole").alias("all"), F.count("*").alias("n")).first()
     total, bits = counts["all"] or 0, max(2, (4 * counts["n"]).bit_length())
+    points = -(-total // block)
     edge = lambda c: (c / F.lit(float(total or 1)) * F.lit(2.0**PLACES)).cast("long")
-    shares = staged(shares.select("source", "whole", edge(F.col("high") - F.col("whole")).alias("low"), edge(F.col("high")).alias("high")), "shares")
+    shares = staged(shares.select("source", "whole", "number", edge(F.col("high") - F.col("whole")).alias("low"), edge(F.col("high")).alias("high")), "shares")
     cell = lambda x: F.shiftright(x, PLACES - bits)
     cells = shares.where("low < high").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
-    slots = spark.range(-(-total // block)).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"), F.floor(F.col("id") / SLOTS_PER_RANGE).alias("part")).withColumn("cell", cell(F.col("x")))
+    slots = spark.range(points).select(F.col("id").alias("slot"), point(F.col("id")).alias("x"), F.floor(F.col("id") / SLOTS_PER_RANGE).alias("part")).withColumn("cell", cell(F.col("x")))
     drawn = slots.join(_few(cells, 5 * MOST_SOURCES), "cell").where("x >= low and x < high")
     counts = drawn.groupBy("source", "part").agg(F.count("*").alias("n"))
-    earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    counts = staged(counts.select(F.col("source").alias("s"), F.col("part").alias("p"), "n", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")), "slots-by-range")
+    own = W.partitionBy("source")
+    earlier = own.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.select(F.col("source").alias("s"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(own).alias("slots"))
+    counts = staged(counts, "slots-by-range")
     ranked = drawn.withColumn("within", F.row_number().over(W.partitionBy("source", "part").orderBy("slot")) - 1)
     ranked = ranked.join(counts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    ranked = ranked.select("source", (F.col("before") + F.col("within")).cast("long").alias("rank"), "whole")
-    got = counts.groupBy("s").agg(F.sum("n").alias("got"))
-    short = shares.join(got, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("got", F.coalesce("got", F.lit(0)))
-    need = F.ceil(F.col("whole") / block)
-    tail = short.where(F.col("got") < need).select("source", F.explode(F.sequence(F.col("got"), (need - 1).cast("long"))).alias("rank"), "whole")
-    return ranked.unionByName(tail).select("source", "rank", F.least(F.lit(block), F.col("whole") - F.col("rank") * block).cast("long").alias("words")).where("words > 0")
+    ranked = ranked.select("source", "slot", (F.col("before") + F.col("within")).cast("long").alias("rank"), "whole", "slots")
+    missed = shares.join(counts.select("s").distinct(), F.col("source").eqNullSafe(F.col("s")), "left_anti")
+    missed = missed.select("source", (F.col("number") + (points - 1)).alias("slot"), F.lit(0).cast("long").alias("rank"), "whole", F.lit(1).cast("long").alias("slots"))
+    extra = F.col("whole") % F.col("slots")
+    return ranked.unionByName(missed).select("source", "slot", "rank", ((F.col("whole") - extra) / F.col("slots")).cast("long").alias("base"), extra.alias("extra"))
+
+
+def _first_word(rank: Column) -> Column:
+    """Where the block of this rank begins among a source's words."""
+    return rank * F.col("base") + F.least(rank, F.col("extra"))
+
+
+def _rank_at(word: Column) -> Column:
+    """The rank of the block that a word of a source's lies in."""
+    longer = F.col("extra") * (F.col("base") + 1)
+    return F.when(word < longer, F.floor(word / (F.col("base") + 1))).otherwise(F.col("extra") + F.floor((word - longer) / F.greatest(F.col("base"), F.lit(1)))).cast("long")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, epochs: int = MOST_EPOCHS, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted), source.
+    """doc_id, size, source_size, target (of its source), taken (words that the mix takes of it, repeats counted), source,
+    first_slot, n_slots (the first slot of the mix that has words of it, and how many do; null and 0 if none is taken).
 
     size: runs of letters other than \\x20 and \\x09-\\x0D of the whole text, however long; null and empty texts have none,
     and none is taken of them. A null source is a source of its own. No document is taken more than `epochs` times. Rows
     that repeat an id stay rows of their own; other columns, whatever their names, don't count. An empty table gives an
     empty result. Reruns agree: all order comes from ids, sizes and hashes.
     """
-    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"))
-    sized = staged(sized.withColumn("h", F.xxhash64("doc_id", "source")), "sizes")  # words are counted once
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(doc_id, source, text).alias("h"))
+    sized = staged(sized, "sizes")  # words are counted once
     sized = sized.withColumn("bucket", F.pmod(F.xxhash64("h", F.lit(1)), F.lit(1 << 20)))
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     shares = staged(targets(sizes, weights, epochs), "shares")
@@ -117,12 +134,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("start") + F.col("within"))
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "at")
 
-    slots = schedule(shares.select(F.col("s").alias("source"), "target"), block).select(F.col("source").alias("s"), "rank", "words")
+    slots = staged(schedule(shares.select(F.col("s").alias("source"), "target"), block).withColumnRenamed("source", "s"), "slots")
+    cuts = slots.where("rank = 0").select("s", "base", "extra")
     laps = placed.withColumn("lap", F.explode(F.sequence(F.lit(0), F.least(F.ceil(F.col("target") / F.col("source_size")), F.lit(epochs)) - 1)))
-    laps = laps.withColumn("from", F.col("at") + F.col("lap") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
-    pieces = laps.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
-    overlap = F.least("to", F.col("rank") * block + F.col("words")) - F.greatest("from", F.col("rank") * block)
-    met = pieces.join(slots.withColumnRenamed("rank", "r"), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")), "left")
-    taken = met.groupBy("doc_id", "source", "size", "source_size", "target", "at").agg(F.sum(F.when(F.col("words").isNotNull(), F.greatest(overlap, F.lit(0))).otherwise(0)).alias("taken"))
-    nothing = named.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return taken.drop("at").unionByName(nothing).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"), "source")
+    laps = laps.withColumn("from", F.col("at") + F.col("lap") * F.col("source_size"))
+    laps = laps.withColumn("to", F.least(F.col("from") + F.col("size"), F.floor("target"))).where(F.col("from") < F.col("to"))
+    laps = laps.join(_few(cuts), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    pieces = laps.withColumn("rank", F.explode(F.sequence(_rank_at(F.col("from")), _rank_at(F.col("to") - 1))))
+    words = F.least("to", _first_word(F.col("rank") + 1)) - F.greatest("from", _first_word(F.col("rank")))
+    pieces = pieces.select("doc_id", "source", "size", "source_size", "target", "at", "rank", words.alias("words"))
+    met = pieces.join(slots.select("s", "slot", F.col("rank").alias("r")), F.col("source").eqNullSafe(F.col("s")) & (F.col("rank") == F.col("r")))
+    found = [F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.size(F.collect_set("slot")).cast("long").alias("n_slots")]
+    shown = ["doc_id", "size", "source_size", "target"]
+    taken = met.groupBy(*shown, "source", "at").agg(*found).select(*shown, "taken", "source", "first_slot", "n_slots")
+    nothing = placed.where(F.col("at") >= F.floor("target")).select(*shown, "source").unionByName(named.where("size = 0").select(*shown, "source"))
+    zero = F.lit(0).cast("long")
+    return taken.unionByName(nothing.select(*shown, zero.alias("taken"), "source", F.lit(None).cast("long").alias("first_slot"), zero.alias("n_slots")))

@@ -5,6 +5,8 @@ equal windows of 35 words share an anchor, a shorter window that begins at a cov
 place. First only the anchors are hashed and shuffled; where an anchor repeats, the match is extended: the full windows
 around it are hashed and shuffled in turn, and those that repeat cover words to be removed.
 
+A text is told apart by two hashes of 64 bits over its id and itself; rows equal in both have the same places anyway.
+
 Both shuffles send, for each task and bucket of hashes, one packed row. A task first looks for repeats among its own
 texts and sends a hash once, so a passage of any number of documents meets in a bucket once per task.
 """
@@ -21,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, key_of, shuffle_partitions, staged
+from .common import hot_keys, id_of, join_salted, key_of, shuffle_partitions, staged
 
 WINDOW = 35
 #: A perfect difference cover: every shift from 1 to 20 is a difference of two of these, modulo the period.
@@ -84,7 +86,7 @@ def positions(places: bytes) -> np.ndarray:
 
 
 def _group(key: np.ndarray, mark: np.ndarray, groups: int) -> np.ndarray:
-    return (_mixed(key.view("u8") ^ mark.astype("u8")) % np.uint64(groups)).astype("i8")
+    return (_mixed(key.view("u8") ^ mark.view("u8")) % np.uint64(groups)).astype("i8")
 
 
 def _by_group(key: np.ndarray, mark: np.ndarray, at: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
@@ -131,7 +133,7 @@ def _sent(hashed: Callable, buckets: int) -> Callable:
             for row in batch.itertuples(index=False):
                 at, hi, lo = hashed(memo, row)
                 if len(at):
-                    parts.append((np.full(len(at), row.key), np.full(len(at), row.mark, dtype="i4"), at, hi, lo))
+                    parts.append((np.full(len(at), row.key), np.full(len(at), row.mark), at, hi, lo))
                     n += len(at)
                 if n > ENTRIES_AT_ONCE:
                     yield flush(parts)
@@ -148,7 +150,7 @@ def _met(buckets: int) -> Callable:
         bucket, packed = None, []
 
         def repeats() -> list[tuple]:
-            hi, lo, key, mark, at, many = (np.concatenate(x) for x in zip(*(_unpack(p, "<u8", "<u4", "<i8", "<i4", "<u4", "?") for p in packed), strict=True))
+            hi, lo, key, mark, at, many = (np.concatenate(x) for x in zip(*(_unpack(p, "<u8", "<u4", "<i8", "<i8", "<u4", "?") for p in packed), strict=True))
             order, first = _runs(hi, lo)
             size = np.diff(np.append(first, len(order)))
             new = order[np.repeat(size > 1, size)]
@@ -176,9 +178,11 @@ def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows in the order of their groups of texts: one row for each text with places."""
 
     def texts(packed: list[bytes]) -> pd.DataFrame:
-        key, mark, at = (np.concatenate(x) for x in zip(*(_unpack(p, "<i8", "<i4", "<u4") for p in packed), strict=True))
+        key, mark, at = (np.concatenate(x) for x in zip(*(_unpack(p, "<i8", "<i8", "<u4") for p in packed), strict=True))
         order = np.lexsort((at, mark, key))
         key, mark, at = key[order], mark[order], at[order].astype("i8")
+        own = np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1]) | (at[1:] != at[:-1])]  # equal rows say the same
+        key, mark, at = key[own], mark[own], at[own]
         first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (mark[1:] != mark[:-1])])
         places = [_pack(np.diff(at[a:b], prepend=0).astype("<u4")) for a, b in zip(first, np.append(first[1:], len(key)), strict=True)]
         return pd.DataFrame({"key": key[first], "mark": mark[first], "places": places})
@@ -204,7 +208,7 @@ def _repeated(texts: DataFrame, hashed: Callable, buckets: int) -> DataFrame:
     sent = texts.mapInPandas(_sent(hashed, buckets), "bucket long, found boolean, payload binary")
     of = F.pmod("bucket", F.lit(n)).cast("int")
     met = sent.repartitionById(n, of).sortWithinPartitions("bucket").mapInPandas(_met(buckets), "bucket long, payload binary")
-    return met.repartitionById(n, of).sortWithinPartitions("bucket").mapInPandas(_gathered, "key long, mark int, places binary")
+    return met.repartitionById(n, of).sortWithinPartitions("bucket").mapInPandas(_gathered, "key long, mark long, places binary")
 
 
 def _words(memo: dict, text: bytes) -> np.ndarray:
@@ -236,6 +240,7 @@ def _extended(window: int) -> Callable:
         last = len(words) - window
         near = np.zeros(last + 2 + reach, dtype="i4")  # a window begins at its anchor or up to `reach` words before
         at = positions(row.places)
+        at = at[at <= last + reach]
         np.add.at(near, np.maximum(at - reach, 0), 1)
         np.add.at(near, np.minimum(at, last) + 1, -1)
         at = np.flatnonzero(np.cumsum(near)[: last + 1] > 0)
@@ -244,21 +249,29 @@ def _extended(window: int) -> Callable:
     return hashed
 
 
-def _mark(text: str) -> Column:
-    """A hash that tells texts of one id apart; null counts as empty."""
-    return F.hash(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+KEYS = ["key", "mark"]
+
+
+def _named(docs: DataFrame, text: str, doc_id: str) -> list[Column]:
+    """key and mark: hashes of the id and the text, null as an id of its own and as the empty text."""
+    both = (key_of(F.col(f"`{doc_id}`")), F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return [F.xxhash64(*both).alias("key"), F.xxhash64(*both[::-1], F.lit(1)).alias("mark")]
 
 
 def _texts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """key, mark and packed (the compressed text)."""
+    """id, key, mark and packed (the compressed text)."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "mark": batch["mark"], "packed": [packer.compress(t.encode()) for t in batch["text"]]})
+            yield pd.DataFrame({"id": batch["id"], "key": batch["key"], "mark": batch["mark"], "packed": [packer.compress(t.encode()) for t in batch["text"]]})
+
+    rows = docs.select(key_of(F.col(f"`{doc_id}`")).alias("id"), *_named(docs, text, doc_id), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    return rows.mapInPandas(pack, "id long, key long, mark long, packed binary")
+
 
-    rows = docs.select(key_of(F.col(doc_id)).alias("key"), _mark(text).alias("mark"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    return rows.mapInPandas(pack, "key long, mark int, packed binary")
+def _hot(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    return hot_keys(docs.select(*_named(docs, text, doc_id)), KEYS)
 
 
 def _buckets(docs: DataFrame, text: str) -> int:
@@ -266,16 +279,17 @@ def _buckets(docs: DataFrame, text: str) -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-size // BYTES_PER_BUCKET))
 
 
-def _windows(texts: DataFrame, window: int, buckets: int) -> DataFrame:
+def _windows(docs: DataFrame, hot: DataFrame, window: int, text: str, doc_id: str) -> DataFrame:
     """key, mark, places of the windows of texts that repeat."""
+    texts, buckets = _texts(docs, text, doc_id), _buckets(docs, text)
     anchors = staged(_repeated(texts, _anchors(window), buckets), "substring-anchors")
-    return staged(_repeated(texts.join(anchors, ["key", "mark"]), _extended(window), buckets), "substring-windows")
+    return staged(_repeated(join_salted(texts, anchors, KEYS, hot), _extended(window), buckets), "substring-windows")
 
 
 def covered(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """key, mark, packed (the text) of each row of docs, and places (packed starts of windows that repeat; null: none)."""
-    texts = _texts(docs, text, doc_id)
-    return texts.join(_windows(texts, window, _buckets(docs, text)), ["key", "mark"], "left")
+    """id, key, mark, packed (the text) of each row of docs, and places (packed starts of windows that repeat; null: none)."""
+    hot = _hot(docs, text, doc_id)
+    return join_salted(_texts(docs, text, doc_id), _windows(docs, hot, window, text, doc_id), KEYS, hot, "left")
 
 
 def _kept(words: list[bytes], places, window: int) -> np.ndarray:
@@ -283,6 +297,7 @@ def _kept(words: list[bytes], places, window: int) -> np.ndarray:
     if places is not None:
         edge = np.zeros(len(words) + 1, dtype="i4")
         at = positions(places)
+        at = at[at + window <= len(words)]
         np.add.at(edge, at, 1)
         np.add.at(edge, at + window, -1)
         keep = np.cumsum(edge)[:-1] == 0
@@ -306,11 +321,11 @@ def removed_words(docs: DataFrame, window: int = WINDOW, text: str = "text", doc
                 words = unpacker.decompress(row.packed).split()
                 keep = _kept(words, row.places, window)
                 kept = b" ".join(w for w, k in zip(words, keep, strict=True) if k) if not keep.all() else b" ".join(words)
-                out.append((row.key, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
-            yield pd.DataFrame(out, columns=["key", "n_words", "n_removed", "kept_sha256", "kept"])
+                out.append((row.id, len(words), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()))
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    rows = covered(docs, window, text, doc_id).mapInPandas(cut, "key long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return rows.select(id_of(F.col("key")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
+    rows = covered(docs, window, text, doc_id).mapInPandas(cut, "id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return rows.select(id_of(F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -320,7 +335,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
     text repeat each other's windows. Other columns stay as they are, whatever their names. An empty table gives an empty
     result.
     """
-    found = _windows(_texts(docs, text, doc_id), window, _buckets(docs, text))
+    hot = _hot(docs, text, doc_id)
+    found = _windows(docs, hot, window, text, doc_id)
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, places: pd.Series) -> pd.Series:
@@ -333,8 +349,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, text: str = "text", do
         return pd.Series(out, dtype=object)
 
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text), F.lit(0).alias(""))
-    marked = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), key_of(F.col(doc_id)).alias("key"), _mark(text).alias("mark"))
+    marked = docs.select(own.alias("row"), F.col(f"`{text}`").alias("text"), *_named(docs, text, doc_id))
     # a text without repeats isn't sent to Python; a null text has none
     shorter = cut(F.when(F.col("places").isNotNull(), F.col("text")), F.col("places"))
-    kept = marked.join(found, ["key", "mark"], "left").select("row", F.coalesce(shorter, F.col("text")).alias("text"))
+    kept = join_salted(marked, found, KEYS, hot, "left").select("row", F.coalesce(shorter, F.col("text")).alias("text"))
     return kept.select(*(F.col("text").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -51,6 +51,35 @@ def cut(texts, window):
     return out
 
 
+def colliding(spark, n=250_000):
+    """Two unlike texts of 61 and 40 words with the same 32-bit hash."""
+    texts = spark.range(n).selectExpr("concat_ws(' ', transform(sequence(1, if(id % 2 = 0, 61, 40)), i -> concat('t', id, 'w', i))) as t", "id % 2 as kind")
+    pairs = texts.groupBy(mixing.F.hash("t").alias("h")).agg(mixing.F.collect_list(mixing.F.struct("kind", "t")).alias("x")).where("size(x) > 1 and array_min(x).kind != array_max(x).kind")
+    return [x["t"] for x in sorted(pairs.first()["x"])]
+
+
+def test_texts_of_one_id_never_share_places(spark):
+    long, short = colliding(spark)
+    other = short + " " + " ".join(f"q{i}" for i in range(50))
+    texts = [long, short, other, None, "", "a b"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    got = sorted((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.removed_words(df).collect())
+    assert got == sorted(cut(texts, 35))
+    left = {r["text"] for r in substring_dedup.remove_repeats(df).collect()}
+    assert left == {long, "", " ".join(f"q{i}" for i in range(50)), None, "a b"}
+
+
+def test_very_many_null_ids_and_copies(spark):
+    draw = random.Random(3)
+    passage = " ".join(prose(draw, 40))
+    texts = [f"n{i} " + (passage if i % 1000 == 0 else "x y z") for i in range(60_000)] + [passage + " end"] * 40_000
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(8)
+    got = collections.Counter((r["n_words"], r["n_removed"]) for r in substring_dedup.removed_words(df).collect())
+    assert got == {(4, 0): 59_940, (41, 40): 60, (41, 41): 40_000}
+    left = collections.Counter(r["text"] for r in substring_dedup.remove_repeats(df).where("length(text) < 9 and text not like '% %'").collect())
+    assert left == {"": 40_000} | {f"n{i}": 1 for i in range(0, 60_000, 1000)}
+
+
 @pytest.mark.parametrize("at_once", [700_000, 50])
 def test_repeats_equal_brute_force(spark, monkeypatch, at_once):
     monkeypatch.setattr(substring_dedup, "ENTRIES_AT_ONCE", at_once)
@@ -157,41 +186,43 @@ def test_mix_comes_near_the_targets(spark, block):
     rows = [tuple(r) for r in mixing.mix(df, block=block).collect()]
     assert len(rows) == len(docs) and sorted(map(str, rows)) == sorted(map(str, (tuple(r) for r in mixing.mix(df.repartition(3), block=block).collect())))
     taken, target = collections.Counter(), {}
-    for _, size, whole, goal, n, source in rows:
-        assert 0 <= n <= 3 * size
+    for _, size, whole, goal, n, source, first, slots in rows:
+        assert 0 <= n <= 3 * size and (first is None) == (n == 0) == (slots == 0)
         taken[source] += n
         target[source] = goal
     assert all(abs(taken[s] - g) <= 1 for s, g in target.items())
     assert mixing.mix(df.limit(0)).count() == 0
 
 
-def scheduled(shares, block):
-    """Ranks and words of each source's slots, by the golden-ratio points one after another."""
+def scheduled(shares, block, point=lambda i: i * mixing.GOLDEN % (1 << 60)):
+    """The slots of each source and its whole target, by the golden-ratio points one after another."""
     shares = sorted(((s, int(t)) for s, t in shares if t >= 1), key=lambda x: (x[0] is None, x[0] or ""))
     total, ends, cum = sum(n for _, n in shares), [], 0
     for s, n in shares:
         cum += n
         ends.append((s, int(cum / total * 2.0**60)))
-    got = {s: 0 for s, _ in shares}
-    for slot in range(-(-total // block)):
-        x = slot * mixing.GOLDEN % (1 << 60)
-        got[next(s for s, e in ends if x < e)] += 1
-    out = {}
-    for s, n in shares:
-        need = -(-n // block)
-        for rank in range(need):  # those that the points give, then the missing ones
-            out[s, rank] = min(block, n - rank * block)
-    return out, got
+    got = {s: [] for s, _ in shares}
+    points = -(-total // block)
+    for slot in range(points):
+        got[next(s for s, e in ends if point(slot) < e)].append(slot)
+    for i, (s, _) in enumerate(shares):  # what no point meets stands behind
+        got[s] = got[s] or [points + i]
+    return got, dict(shares)
 
 
 @pytest.mark.parametrize("block", [3, 100])
 def test_slots_equal_brute_force(spark, block):
     draw = random.Random(block)
     shares = [(f"s{i}", float(draw.choice([0, 1, 2, 50, 5000]))) for i in range(200)] + [(None, 77.5), ("zz", 30000.0)]
-    df = spark.createDataFrame(shares, "source string, target double")
-    want, _ = scheduled(shares, block)
-    rows = mixing.schedule(df, block).collect()
-    assert len(rows) == len(want) and {(r["source"], r["rank"]): r["words"] for r in rows} == want
+    want, whole = scheduled(shares, block)
+    rows = mixing.schedule(spark.createDataFrame(shares, "source string, target double"), block).collect()
+    got = {s: sorted((r["rank"], r["slot"]) for r in rows if r["source"] == s) for s in want}
+    assert got == {s: list(enumerate(slots)) for s, slots in want.items()} and len(rows) == sum(map(len, want.values()))
+    for r in rows:
+        assert (r["base"], r["extra"]) == divmod(whole[r["source"]], len(want[r["source"]]))
+    # a source's slots are spread over the whole mix: every fifth of it has about as many
+    zz = np.bincount([slot * 5 // (-(-sum(whole.values()) // block)) for slot in want["zz"]], minlength=5)
+    assert zz.max() - zz.min() <= 3
 
 
 def test_points_are_exact(spark):
@@ -200,21 +231,40 @@ def test_points_are_exact(spark):
     assert [r[1] for r in rows] == [i * mixing.GOLDEN % (1 << 60) for i in ids]
 
 
-def test_taken_words_equal_brute_force(spark):
-    """Each document's words by its place among its source's shuffled documents, laid end to end up to the target."""
+@pytest.mark.parametrize("point", [None, 0])
+def test_slots_of_documents_equal_brute_force(spark, monkeypatch, point):
+    """Each document's words by its place among its source's shuffled documents, laid end to end up to the target, and cut
+    by the slots that the points give the source; other points give other slots."""
+    if point is not None:
+        monkeypatch.setattr(mixing, "point", lambda n: mixing.F.lit(point).cast("long"))
     draw = random.Random(21)
     docs = [(i, " ".join("w" for _ in range(draw.choice([0, 1, 7, 60]))), draw.choice(["a", "a", "a", "b", None])) for i in range(120)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string")
     rows = [r.asDict() for r in mixing.mix(df, block=16).collect()]
-    hashes = {r["doc_id"]: (r["b"], r["h"]) for r in df.selectExpr("doc_id", "xxhash64(doc_id, source) as h").selectExpr("doc_id", "h", "pmod(xxhash64(h, 1), 1048576) as b").collect()}
+    assert len(rows) == 120
+    hashes = {r["doc_id"]: r["h"] for r in df.selectExpr("doc_id", "xxhash64(doc_id, source, text) as h").collect()}
+    slots, whole = scheduled({(r["source"], r["target"]) for r in rows}, 16, *[] if point is None else [lambda i: point])
     for source in {r["source"] for r in rows}:
         own = [r for r in rows if r["source"] == source and r["size"]]
-        own.sort(key=lambda r: (hashes[r["doc_id"]][1], r["doc_id"]))  # small sources are one bucket
-        left, at, want = int(own[0]["target"]) if own else 0, 0, collections.Counter()
+        own.sort(key=lambda r: (hashes[r["doc_id"]], r["doc_id"]))  # small sources are one bucket
         words = [r["doc_id"] for r in own for _ in range(r["size"])]
-        for i in range(left):
-            want[words[i % len(words)]] += 1
-        assert {r["doc_id"]: r["taken"] for r in own} == {r["doc_id"]: want[r["doc_id"]] for r in own}
+        base, extra = divmod(whole[source], len(slots[source]))
+        ends = np.cumsum([base + (i < extra) for i in range(len(slots[source]))])
+        taken, inside = collections.Counter(), collections.defaultdict(set)
+        for i in range(whole[source]):
+            doc = words[i % len(words)]
+            taken[doc] += 1
+            inside[doc].add(slots[source][int(np.searchsorted(ends, i, side="right"))])
+        for r in own:
+            i = r["doc_id"]
+            assert (r["taken"], r["n_slots"], r["first_slot"]) == (taken[i], len(inside[i]), min(inside[i], default=None))
+
+
+def test_null_ids_are_shuffled_by_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "WORDS_PER_BUCKET", 50)
+    docs = [(None, f"w{i} x y", "a", "extra") for i in range(200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, size string")
+    assert sum(r["taken"] for r in mixing.mix(df).collect()) == 600
 
 
 # Sketches.
