@@ -19,7 +19,7 @@ from .decontamination import split_words
 # The phrases that are always reported, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Labels that let a text be shared; others restrict it.
-OPEN = r"^(mit|bsd|apache|cc0|cc-by(?!-n)|isc|zlib|boost|unlicense|public-domain|mpl|psf|ofl|wtfpl|artistic|epl|eupl|gpl|lgpl|agpl|gfdl|cpl|cddl|perl|php|ruby|openssl|ssleay|postgresql|vim|beerware|curl|x11|icu|unicode|ms-pl|ms-rl|cecill|mulan-psl|w3c|ntp|hpnd|fair|odbl|odc-by|pddl|ogl|cdla|creative-commons)"
+OPEN = r"^(mit|bsd|0bsd|apache|cc0|cc-by(?!-n)|isc|zlib|boost|unlicense|public-domain|mpl|psf|ofl|wtfpl|artistic|epl|eupl|gpl|lgpl|agpl|gfdl|cpl|cddl|perl|php|ruby|openssl|ssleay|postgresql|vim|beerware|curl|x11|icu|unicode|ms-pl|ms-rl|cecill|mulan-psl|w3c|ntp|hpnd|fair|lppl|qpl|afl|osl|ncsa|upl|blueoak|naist|sleepycat|odbl|odc-by|pddl|ogl|cdla|creative-commons)"
 
 
 def _rules() -> list[tuple[str, str, str, int]]:
@@ -29,15 +29,15 @@ def _rules() -> list[tuple[str, str, str, int]]:
     def add(keyword: str, rest: str, label: str, priority: int) -> None:
         rules.append((keyword, f"^{keyword}{rest}(?= |$)", label, priority))
 
-    either = "(?: version| v)?"
+    either = "(?: version| v)?"  # and "v2" is one word
     gnu = {"gpl": "", "lgpl": "lesser ", "agpl": "affero "}
     for short, kind in gnu.items():
         for version in ("1", "2", "2 1", "3"):
             named, number = f"{short}-{version.replace(' ', '.')}", version + ("(?: 0)?" if " " not in version else "")
             for suffix, later in (("-or-later", " or(?: at your option)?(?: any)? later(?: version)?"), ("-only", " only"), ("", "")):
-                add(kind.split()[0] if kind else "general", f"{' general' if kind else ''} public license{either} {number}{later}", named + suffix, 3)
-                add("gnu", f" {kind}general public license{either} {number}{later}", named + suffix, 4)
-                add(short, f"{either} {number}{later}", named + suffix, 3)
+                add(kind.split()[0] if kind else "general", f"{' general' if kind else ''} public license{either} v?{number}{later}", named + suffix, 3)
+                add("gnu", f" {kind}general public license{either} v?{number}{later}", named + suffix, 4)
+                add(short, f"(?: licen[cs]e)?{either} v?{number}{later}", named + suffix, 3)
                 if " " not in version:
                     add(f"{short}v{version}", later, named + suffix, 3)
         add("gnu", f" {kind}general public license", short, 2)
@@ -49,8 +49,8 @@ def _rules() -> list[tuple[str, str, str, int]]:
     for terms in (["by"], ["by", "sa"], ["by", "nc"], ["by", "nd"], ["by", "nc", "sa"], ["by", "nc", "nd"]):
         label = "cc-" + "-".join(terms)
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            add("cc", f" {' '.join(terms)} {version}", f"{label}-{version.replace(' ', '.')}", 4)
-            add("creative", f" commons {' '.join(parts[t] for t in terms)}(?: license)? {version}", f"{label}-{version.replace(' ', '.')}", 4)
+            add("cc", f" {' '.join(terms)}{either} v?{version}", f"{label}-{version.replace(' ', '.')}", 4)
+            add("creative", f" commons {' '.join(parts[t] for t in terms)}(?: license)?{either} v?{version}", f"{label}-{version.replace(' ', '.')}", 4)
             add("creativecommons", f" org licenses {' '.join(terms)} {version}", f"{label}-{version.replace(' ', '.')}", 4)
         add("cc", f" {' '.join(terms)}", label, 3)
         add("creative", f" commons {' '.join(parts[t] for t in terms)}", label, 3)
@@ -71,10 +71,10 @@ def _rules() -> list[tuple[str, str, str, int]]:
         label = names.get(first, first)
         for version in versions:
             dotted = version.replace(" ", ".")
-            add(first, f" (?:{middle})?licen[cs]e{either} {version.removesuffix(' 0')}(?: 0)?", f"{label}-{dotted}", 3)
-            add(first, f" {version}", f"{label}-{dotted}", 2)
+            add(first, f" (?:{middle})?licen[cs]e{either} v?{version.removesuffix(' 0')}(?: 0)?", f"{label}-{dotted}", 3)
+            add(first, f"{either} v?{version}", f"{label}-{dotted}", 2)
             if label != first:
-                add(label, f"{either} {version}", f"{label}-{dotted}", 3)
+                add(label, f"{either} v?{version.removesuffix(' 0')}(?: 0)?", f"{label}-{dotted}", 3)
         add(first, f" (?:{middle})?licen[cs]e", label, 2)
     for n, words in (("0", "zero"), ("1", "one"), ("2", "two"), ("3", "three"), ("4", "four")):
         add("bsd", f" {n} clause", f"bsd-{n}-clause", 3)
@@ -102,7 +102,7 @@ mit 2 deal in the software without restriction including without limitation the
 mit 2 event shall the authors or copyright holders be liable for any claim
 mit 3 released under the mit licen[cs]e
 mit 3 distributed under the mit licen[cs]e
-mit 3 licen[cs]e mit
+mit 3 license mit
 isc 3 permission to use copy modify and(?: or)? distribute this software(?: for any purpose)?
 isc 2 software is provided as is and the author disclaims all warranties
 isc 2 event shall the author be liable for any special direct indirect
@@ -246,7 +246,183 @@ no-ai 3 mining (?:is )?(?:not permitted|reserved|prohibited)
 copyright 1 copyright(?: c)? [0-9]{4}
 copyright 2 used (?:by|with) permission
 copyright 2 reprinted (?:by|with) permission
+mit 4 spdx license identifier mit
+mit 3 opensource org licenses mit
+mit 3 mit licensed
+mit 2 dual licensed under the mit
+mit-0 3 mit no attribution
+mit-0 4 spdx license identifier mit 0
+isc 3 opensource org licenses isc
+isc 3 licensed under isc
+0bsd 4 spdx license identifier 0bsd
+0bsd 3 bsd zero clause
+bsd-2-clause 4 spdx license identifier bsd 2 clause
+bsd-3-clause 4 spdx license identifier bsd 3 clause
+bsd-3-clause 3 opensource org licenses bsd 3 clause
+bsd-2-clause 3 opensource org licenses bsd 2 clause
+bsd-3-clause 3 new bsd licen[cs]e
+bsd-2-clause 3 simplified bsd licen[cs]e
+bsd-2-clause 3 freebsd licen[cs]e
+bsd-3-clause 3 revised bsd licen[cs]e
+bsd 2 bsd style licen[cs]e that can be found in the license file
+bsd 2 governed by a bsd style license
+bsd 3 use of this source code is governed by a bsd
+apache-2.0 4 spdx license identifier apache 2 0
+apache-2.0 3 apache org licenses license 2 0 txt
+apache-2.0 3 licensed to the apache software foundation
+apache-2.0 3 alv2
+apache-2.0 2 grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license
+apache-2.0 3 opensource org licenses apache 2 0
+apache-1.0 3 developed by the apache group for use in the apache http server project
+gpl-2.0-only 4 spdx license identifier gpl 2 0(?: only)?
+gpl-2.0-or-later 4 spdx license identifier gpl 2 0 or later
+gpl-3.0-only 4 spdx license identifier gpl 3 0(?: only)?
+gpl-3.0-or-later 4 spdx license identifier gpl 3 0 or later
+lgpl-2.1-only 4 spdx license identifier lgpl 2 1(?: only)?
+lgpl-2.1-or-later 4 spdx license identifier lgpl 2 1 or later
+lgpl-3.0-only 4 spdx license identifier lgpl 3 0(?: only)?
+lgpl-3.0-or-later 4 spdx license identifier lgpl 3 0 or later
+agpl-3.0-only 4 spdx license identifier agpl 3 0(?: only)?
+agpl-3.0-or-later 4 spdx license identifier agpl 3 0 or later
+gpl 3 opensource org licenses gpl
+gpl 2 licensed under (?:the )?gpl
+gpl 2 distributed under (?:the )?gpl
+gpl 2 released under (?:the )?gpl
+gpl 2 gpl compatible
+gpl 2 gpl licen[cs]ed
+gpl 2 gpl licen[cs]e
+lgpl 2 lgpl licen[cs]e
+agpl 2 agpl licen[cs]e
+gpl 3 classpath exception to the gpl
+gpl 3 as a special exception the copyright holders of this library give you permission to link
+gpl 3 free software foundation inc 51 franklin street
+gpl 3 free software foundation inc 59 temple place
+gpl 3 write to the free software foundation
+gpl 2 terms of the gnu general public license as published by the free software foundation
+lgpl 2 terms of the gnu lesser general public license as published by the free software foundation
+agpl 2 terms of the gnu affero general public license as published by the free software foundation
+gfdl-1.3 4 spdx license identifier gfdl 1 3
+gfdl 3 gnu org licenses fdl
+mpl-2.0 4 spdx license identifier mpl 2 0
+mpl-1.1 4 spdx license identifier mpl 1 1
+mpl-2.0 3 subject to the terms of the mozilla public license v 2 0
+mpl-2.0 3 subject to the terms of the mozilla public license v2 0
+mpl 2 licensed under (?:the )?mpl
+epl-2.0 4 spdx license identifier epl 2 0
+epl-1.0 4 spdx license identifier epl 1 0
+epl 3 eclipse org org documents epl
+cddl-1.0 4 spdx license identifier cddl 1 0
+cpl-1.0 4 spdx license identifier cpl 1 0
+boost-1.0 4 spdx license identifier bsl 1 0
+boost-1.0 3 bsl 1 0
+zlib 4 spdx license identifier zlib
+zlib 3 zlib libpng licen[cs]e
+zlib 3 libpng licen[cs]e
+unlicense 4 spdx license identifier unlicense
+unlicense 2 anyone is free to copy modify publish use compile sell or distribute this software
+wtfpl 4 spdx license identifier wtfpl
+artistic-2.0 4 spdx license identifier artistic 2 0
+artistic-1.0 4 spdx license identifier artistic 1 0
+psf 4 spdx license identifier psf 2 0
+psf 3 psf hereby grants licensee a nonexclusive royalty free world wide license
+php 4 spdx license identifier php 3 01
+ruby 4 spdx license identifier ruby
+openssl 4 spdx license identifier openssl
+postgresql 4 spdx license identifier postgresql
+postgresql 2 permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+curl 4 spdx license identifier curl
+x11 4 spdx license identifier x11
+icu 4 spdx license identifier icu
+unicode 4 spdx license identifier unicode
+unicode 3 unicode licen[cs]e v3
+json 4 spdx license identifier json
+ms-pl 4 spdx license identifier ms pl
+ms-rl 4 spdx license identifier ms rl
+eupl-1.2 4 spdx license identifier eupl 1 2
+eupl 3 european union public licen[cs]e
+cecill 4 spdx license identifier cecill
+ntp 4 spdx license identifier ntp
+hpnd 4 spdx license identifier hpnd
+w3c 4 spdx license identifier w3c
+ofl-1.1 4 spdx license identifier ofl 1 1
+odbl-1.0 4 spdx license identifier odbl 1 0
+odbl 3 opendatacommons org licenses odbl
+odc-by 3 opendatacommons org licenses by
+pddl 3 opendatacommons org licenses pddl
+cc0 4 spdx license identifier cc0 1 0
+cc-by-4.0 4 spdx license identifier cc by 4 0
+cc-by-sa-4.0 4 spdx license identifier cc by sa 4 0
+cc-by-nc-4.0 4 spdx license identifier cc by nc 4 0
+cc-by-nd-4.0 4 spdx license identifier cc by nd 4 0
+cc-by-sa 3 text is available under the creative commons attribution share ?alike
+cc-by 2 unless otherwise noted this (?:work|content) is licensed under a creative commons attribution
+cc-by 3 licensed under cc by
+cc-by-sa 4 licensed under cc by sa
+cc-by-nc 4 licensed under cc by nc
+cc-by-nd 4 licensed under cc by nd
+cc0 3 no rights reserved
+cc0 3 waived all copyright and related or neighboring rights
+public-domain 2 public domain mark
+public-domain 2 gemeinfrei
+public-domain 2 domaine public
+public-domain 2 dominio publico
+creative-commons 2 licence creative commons
+creative-commons 2 licencia creative commons
+creative-commons 2 creative commons lizenz
+creative-commons 2 some rights reserved
+lppl 3 latex project public licen[cs]e
+lppl 4 spdx license identifier lppl
+qpl 3 q public licen[cs]e
+sleepycat 3 sleepycat licen[cs]e
+afl 3 academic free licen[cs]e
+osl 3 open software licen[cs]e
+busl 3 business source licen[cs]e
+busl 4 spdx license identifier busl 1 1
+sspl 3 server side public licen[cs]e
+sspl 4 spdx license identifier sspl 1 0
+elastic 3 elastic licen[cs]e
+commons-clause 3 commons clause licen[cs]e
+commons-clause 3 commons clause condition
+polyform 3 polyform (?:noncommercial|strict|shield|perimeter) licen[cs]e
+openrail 3 openrail m? ?licen[cs]e
+openrail 3 bigscience rail licen[cs]e
+llama 3 llama (?:2|3) community licen[cs]e
+aladdin 3 aladdin free public licen[cs]e
+naist 3 naist licen[cs]e
+ncsa 3 university of illinois ncsa open source licen[cs]e
+ncsa 4 spdx license identifier ncsa
+upl 3 universal permissive licen[cs]e
+upl 4 spdx license identifier upl 1 0
+blueoak 3 blue oak model licen[cs]e
+reserved 2 tutti i diritti sono riservati
+reserved 2 todos os direitos reservados
+reserved 2 alle rechten voorbehouden
+reserved 2 rights reserved worldwide
+proprietary 2 may not be (?:copied|reproduced|redistributed|published)
+proprietary 2 may not be reproduced distributed or transmitted
+proprietary 2 strictly confidential
+proprietary 2 no unauthorized (?:copying|reproduction|distribution|use)
+proprietary 2 nachdruck verboten
+proprietary 2 toute reproduction interdite
+proprietary 2 prohibida su reproduccion
+proprietary 3 subject to the terms of a license agreement
+proprietary 3 licensed materials property of
+personal-use 2 for private use only
+personal-use 2 individual personal use
+non-commercial 2 not for commercial use
+non-commercial 2 nur fuer nicht kommerzielle zwecke
+non-commercial 2 research purposes only
+no-ai 3 may not be used to train
+no-ai 3 opt out of (?:ai|machine learning) training
+no-ai 3 text and data mining rights reserved
+copyright 2 copyright notice
+copyright 2 all content copyright
+copyright 2 subject to copyright
+copyright 2 protected by copyright
+copyright 2 courtesy of the copyright holder
 terms 1 terms of (?:use|service)
+terms 2 terms and conditions apply
+terms 2 subject to our terms
 terms 2 using this (?:site|website|service) you agree
 """
 RULES = _rules()

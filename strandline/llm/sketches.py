@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import id_of, key_of, shuffle_partitions
 
 #: Cells of a fingerprint, in three tables; the factor of a retry; digests that are handled at once.
 CELLS, LARGER, DIGESTS_AT_ONCE = 24, 4, 200_000
+#: Sketches that are tried, the last with 4 ** 11 times the cells of a fingerprint.
+RETRIES = 12
 #: Words of a paragraph at most.
 WORDS = 12
 _ENDS = re.compile(r"\n+|(?<=[.!?…。])\s+")
@@ -126,7 +129,9 @@ def differing(a: list[list[int]], b: list[list[int]], cells: int = CELLS) -> tup
     only_a: list[list[int]] = [[] for _ in a]
     only_b: list[list[int]] = [[] for _ in a]
     left = np.arange(len(a))
-    while len(left):
+    for _ in range(RETRIES):
+        if not len(left):
+            return only_a, only_b
         sketches = Sketches(len(left), cells)
         sketches.add(*_flat([a[i] for i in left]))
         other = Sketches(len(left), cells)
@@ -136,6 +141,8 @@ def differing(a: list[list[int]], b: list[list[int]], cells: int = CELLS) -> tup
             if done[o]:
                 (only_a if s > 0 else only_b)[left[o]].append(d)
         left, cells = left[~done], cells * LARGER
+    for i in left:  # two digests of a list are equal, or hash alike: the lists themselves are compared
+        only_a[i], only_b[i] = list((Counter(a[i]) - Counter(b[i])).elements()), list((Counter(b[i]) - Counter(a[i])).elements())
     return only_a, only_b
 
 
@@ -144,8 +151,11 @@ def likeness(a: list[list[int]], b: list[list[int]]) -> list[float]:
     out = []
     for x, y, p, q in zip(a, b, *differing(a, b), strict=True):
         union = len(x) + len(q)
-        out.append((len(x) - len(p)) / union if union else 1.0)
-        assert len(y) - len(q) == len(x) - len(p)
+        shared = len(x) - len(p)
+        if len(y) - len(q) != shared:  # a cell gave away a digest that neither has
+            shared = sum((Counter(x) & Counter(y)).values())
+            union = len(x) + len(y) - shared
+        out.append(shared / union if union else 1.0)
     return out
 
 
@@ -204,32 +214,48 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     texts have the fingerprint of no paragraphs and are like each other. A single row follows itself. An empty table
     gives an empty result.
 
-    Ranges of ids are cut at approximate quantiles; a range also gets the first row of the range that follows it.
+    Texts are used whole, however long; other columns, whatever their names, don't count.
+
+    Ranges of ids are cut at approximate quantiles, and an id that several quantiles fall on is cut on by the hashes of its
+    texts, which are uniform; a range also gets the first row of the range that follows it.
     """
     ranges = shuffle_partitions(docs.sparkSession)
-    ids = docs.select(key_of(F.col(doc_id)).alias("key"))
-    found = ids.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], F.lit(20 * ranges + 1000))).first()[0]
-    cuts = np.unique(np.array(found or [], dtype="i8"))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    texts = docs.select(key_of(F.col(f"`{doc_id}`")).alias("key"), F.xxhash64(whole).alias("mark"), whole.alias("text"))
+    found = texts.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], F.lit(20 * ranges + 1000))).first()[0]
+    # a range begins at its cut: with the first row of an id, or within its hashes
+    cuts = [(key, -(1 << 63) + (i << 64) // n) for key, n in sorted(Counter(found or []).items()) for i in range(n)]
+    cut_keys, cut_marks = (np.array([c[i] for c in cuts], dtype="i8") for i in (0, 1))
+
+    def places(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """How many cuts stand at or before each row."""
+        first, last = np.searchsorted(cut_keys, keys), np.searchsorted(cut_keys, keys, side="right")
+        out = first.astype("i4")
+        for i in np.flatnonzero(first < last):
+            out[i] += np.searchsorted(cut_marks[first[i] : last[i]], marks[i], side="right")
+        return out
 
     @F.pandas_udf("int")
-    def range_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy()), dtype="int32")
+    def range_of(keys: pd.Series, marks: pd.Series) -> pd.Series:
+        return pd.Series(places(keys.to_numpy(), marks.to_numpy()), dtype="int32")
 
-    firsts = {r["range"]: r["key"] for r in ids.groupBy(range_of("key").alias("range")).agg(F.max("key").alias("key")).collect()}  # one row a range
+    top = texts.select("key", "mark", range_of("key", "mark").alias("range")).groupBy("range").agg(F.max(F.struct("key", "mark")).alias("top"))
+    firsts = {r["range"]: (r["top"]["key"], r["top"]["mark"]) for r in top.collect()}  # one row a range
     filled = sorted(firsts)
     before = {firsts[q]: filled[(i + 1) % len(filled)] for i, q in enumerate(filled)}  # the range that comes before, in descending order
+    first_keys = np.array(sorted({key for key, _ in before}), dtype="i8")
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            raw = [t.encode() for t in batch["text"]]
-            out = pd.DataFrame({"key": batch["key"], "mark": np.array([xxhash.xxh64_intdigest(r) for r in raw], dtype="u8").view("i8"), "packed": [packer.compress(r) for r in raw]})
-            out["range"], out["context"] = np.searchsorted(cuts, out["key"].to_numpy()).astype("i4"), False
-            more = out[out["key"].isin(list(before))].copy()
-            more["range"], more["context"] = more["key"].map(before).astype("i4"), True
+            keys, marks = batch["key"].to_numpy(), batch["mark"].to_numpy()
+            out = pd.DataFrame({"key": keys, "mark": marks, "packed": [packer.compress(t.encode()) for t in batch["text"]]})
+            out["range"], out["context"] = places(keys, marks), False
+            near = [i for i in np.flatnonzero(np.isin(keys, first_keys)) if (keys[i], marks[i]) in before]
+            more = out.iloc[near].copy()
+            more["range"], more["context"] = np.array([before[keys[i], marks[i]] for i in near], dtype="i4"), True
             yield pd.concat([out, more])
 
-    texts = docs.select(key_of(F.col(doc_id)).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     dealt = texts.mapInPandas(deal, "key long, mark long, packed binary, range int, context boolean").repartitionById(ranges, "range")
     dealt = dealt.sortWithinPartitions("context", F.desc("key"), F.desc("mark"))
     schema = "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

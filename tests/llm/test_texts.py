@@ -316,6 +316,22 @@ def test_edits_equal_brute_force(spark):
 # Pages.
 
 
+def test_rows_of_one_id_follow_by_their_texts(spark):
+    draw = random.Random(10)
+    texts = [" ".join(prose(draw, draw.randint(1, 9))) for _ in range(6000)] + ["long. " * 30_000]
+    df = spark.createDataFrame([(None, t, 1) for t in texts] + [(i, "x", 1) for i in range(50)], "doc_id long, text string, key int").repartition(3)
+    got = collections.Counter((r["n_chars"], r["edited_sha256"]) for r in sketches.fingerprint_edits(df).where("doc_id is null").collect())
+    hashed = df.where("doc_id is null").selectExpr("text", "xxhash64(text) as h").collect()
+    order = [r["text"] for r in sorted(hashed, key=lambda r: r["h"], reverse=True)] + ["x"]
+    assert got == collections.Counter((len(t), sha(sketches.edited(t, following))) for t, following in zip(order, order[1:], strict=False))
+
+
+def test_lists_that_never_peel_are_compared(monkeypatch):
+    a, b = [[5, 5, 7, 9]], [[7, 8]]  # a digest twice can't be peeled
+    monkeypatch.setattr(sketches, "RETRIES", 3)
+    assert [sorted(x[0]) for x in sketches.differing(a, b)] == [[5, 5, 9], [8]] and sketches.likeness(a, b) == [1 / 5]
+
+
 def test_repeated_runs_equal_brute_force():
     draw = np.random.default_rng(4)
     tokens, pages = draw.integers(0, 3, 400), np.repeat(np.arange(8), 50)
@@ -422,6 +438,13 @@ def test_base_phrases_equal_brute_force(spark):
         ("Redistribution and use in source and binary forms; BSD 3-Clause", "bsd,bsd-3-clause"),
         ("Copyright (c) 2020 Me. All rights reserved", "copyright,reserved"),
         ("SPDX-License-Identifier: MIT", "mit"),
+        ("GPL v2 or later", "gpl-2-or-later"),
+        ("licensed under the GPL v3", "gpl,gpl-3"),
+        ("LGPL v2.1 only", "lgpl-2.1-only"),
+        ("MPL v2", "mpl-2.0"),
+        ("Apache License v2.0", "apache-2.0"),
+        ("CC-BY-SA v4.0", "cc-by,cc-by-sa-4.0"),
+        ("GNU General Public License v3.0 or any later version", "gpl,gpl-3-or-later"),
         ("nothing of the kind", ""),
     ],
 )
@@ -434,13 +457,24 @@ def test_there_are_hundreds_of_rules():
     assert len(licenses.RULES) > 200 and len({r[1] for r in licenses.RULES}) > 200
 
 
-def test_hand_written_signatures_are_found():
-    """Each signature's plain words, without what it leaves open, are detected by it."""
+def sample(pattern):
+    """Words that a signature fits: what it leaves open is left out, of alternatives the first is taken."""
+    pattern = pattern.replace("(?:[a-z0-9]+ ){1,6}", "acme ").replace("[0-9]{4}", "2020").replace("[0-9]+", "2").replace("[0-9]", "4").replace(" ?", " ")
+    while "(" in pattern:
+        pattern = re.sub(r"\(\?:([^()]*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], pattern)
+    return re.sub(r"\w\?", "", re.sub(r"\[(\w)\w*\]", r"\1", pattern))
+
+
+def test_hand_written_signatures_are_found(spark):
+    """Each of them, in a text of its own, is detected: as its label, or by a stronger rule over the same words."""
     lines = [line.split(maxsplit=2) for line in licenses.SIGNATURES.strip().splitlines()]
-    assert len(lines) > 120 and all(int(p) in (1, 2, 3, 4) for _, p, _ in lines)
-    for label, priority, pattern in lines:
-        keyword = re.match(r"\w+", pattern)[0]
-        assert (keyword, f"^{pattern}(?= |$)", label, int(priority)) in licenses.RULES
+    assert len(lines) >= 300 and all(int(p) in (1, 2, 3, 4) for _, p, _ in lines) and len({p for _, _, p in lines}) == len(lines)
+    docs = [(i, f"So: {sample(p)}.") for i, (_, _, p) in enumerate(lines)]
+    rows = {r["doc_id"]: r["labels"].split(",") for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, (label, priority, pattern) in enumerate(lines):
+        words = sample(pattern)
+        stronger = {(name, p) for key, rule, name, p in licenses.RULES for at in range(len(words.split())) if re.match(rule, " ".join(words.split()[at:])) and (p, name != label) >= (int(priority), True)}
+        assert label in rows[i] or {name for name, _ in stronger} & set(rows[i]), (label, pattern, rows[i])
 
 
 def kept_by_brute_force(words):
