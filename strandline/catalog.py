@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as X
 from .functions.ordering import ranked_rows
 from .functions.staging import staged
-from .operators import chunks, contigs, graph, kmers, mapping, stats
+from .operators import chunks, contigs, graph, kmers, mapping, pairs, stats
 from .sources import projection, reads, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,3 +597,116 @@ def unique_paths(spark, sf_dir):
         at = at.join(steps, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"))
     pairs = at.select("start", kmers.Packing(K).canonical(F.col("node")).alias("goal")).distinct()
     return kmers.lettered(graph.unique_paths(pairs, whole, K, PATH_STEPS), K, "start", "goal")
+
+
+# Pairs through the graph. The pairs are the ends of fragments that the documents are cut into.
+
+FRAGMENT, MATE, SAMPLE = 300, 100, 500
+_FRAGMENTS = f"""cut_at as (select read_id, seq, unnest(range(0, length(seq) // {FRAGMENT})) as i from reads),
+mated as materialized (select read_id || ':' || i as pair_id, substr(seq, i * {FRAGMENT} + 1, {MATE}) as a, substr(seq, i * {FRAGMENT} + {FRAGMENT - MATE} + 1, {MATE}) as b from cut_at)"""
+_PAIR_STEPS = f"""{_EDGES},
+by_share as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, sum(cnt) over (partition by src) as total, row_number() over (partition by src order by cnt desc, right(dst, 1)) as place from edges)
+    where place = 1 or cnt > {FRACTION} * total),
+shared_ggt as (select src, node, flipped, nt, dst, cnt, plus_frac from (select *, count(*) over (partition by src) as n,
+    max(case when ends_with(dst, 'GGT') and cnt > 5 then cnt * (1 - plus_frac) end) over (partition by src) as target from by_share)
+    where n = 1 or target is null or cnt * (1 - plus_frac) >= 0.1 * {FRACTION} * target),
+likely as materialized (select src, dst from (select src, dst, row_number() over (partition by src order by cnt desc, right(dst, 1)) as place from edges) where place = 1),
+likely_c as (select src, dst from likely where right(dst, 1) = 'C'),
+on_cc as (select a.src from likely_c a join likely_c b on a.dst = b.src),
+shared_acc as (select src, node, flipped, nt, dst, cnt, plus_frac from (select x.*, count(*) over (partition by x.src) as n,
+    max(case when right(dst, 1) = 'A' and cnt > 5 and on_cc.src is not null then cnt * plus_frac end) over (partition by x.src) as target from shared_ggt x left join on_cc on x.dst = on_cc.src)
+    where n = 1 or target is null or cnt * plus_frac >= 0.1 * {FRACTION} * target),
+pair_steps as materialized (select src, dst, cnt from (select *, count(*) over (partition by src) as n,
+    bool_or(cnt >= {LOW_COUNT} and least(plus_frac, 1 - plus_frac) > 0.25) over (partition by src) as both_strands from shared_acc)
+    where n = 1 or not both_strands or cnt <= 1 or least(plus_frac, 1 - plus_frac) >= 0.1 * {FRACTION} * greatest(plus_frac, 1 - plus_frac))"""
+
+
+def _extended_sql(name: str, source: str, steps: str) -> str:
+    """CTEs; `name`: id, seq and before of source (id, seq) with up to K bases more on both ends, as steps (src, dst) lead."""
+    return f"""{name}_walk as (select id, false as is_left, right(seq, {K}) as node, '' as added from {source} where length(seq) >= {K} union all
+    select id, true, {_RC.format(f'left(seq, {K})')}, '' from {source} where length(seq) >= {K} union all
+    select id, is_left, dst, added || right(dst, 1) from {name}_walk join {steps} on src = node where length(added) < {K}),
+{name}_ends as (select id, {_RC.format("max(case when is_left then added end)")} as l, max(case when not is_left then added end) as r
+    from (select id, is_left, arg_max(added, length(added)) as added from {name}_walk group by id, is_left) group by id),
+{name} as materialized (select id, coalesce(l, '') || seq || coalesce(r, '') as seq, length(coalesce(l, '')) as before from {source} left join {name}_ends using (id))"""
+
+
+_CLIPPED = f"""{_PAIR_STEPS}, {_FRAGMENTS},
+oriented_mates as materialized (select pair_id || '/1' as id, a as seq from mated union all select pair_id || '/2', b from mated),
+{_extended_sql('longer', 'oriented_mates', 'likely')},
+longer_words as (select id, before, seq, unnest(range(0, length(seq) - {K})) as pos from longer),
+longer_steps as (select id, before, pos, substr(seq, pos + 1, {K}) as x, substr(seq, pos + 2, {K}) as y from longer_words),
+supported as (select id, pos + {K} - before as base_at, 1 as side from longer_steps join pair_steps on src = x and dst = y union all
+    select id, pos - before, 2 from longer_steps join pair_steps on src = {_RC.format('y')} and dst = {_RC.format('x')}),
+both_sides as (select id, base_at from supported where base_at between 0 and {MATE - 1} group by id, base_at having count(distinct side) = 2),
+islands as (select id, min(base_at) as start, count(*) as n from (select id, base_at, base_at - row_number() over (partition by id order by base_at) as island from both_sides) group by id, island),
+clipped as materialized (select id, start, substr(seq, start + 1, n) as seq from (select *, row_number() over (partition by id order by n desc, start) as place from islands) join oriented_mates using (id) where place = 1 and n >= {K})"""
+_SEARCHED = f"""{_CLIPPED},
+clipped_pairs as materialized (select x.id[:-3] as pair_id, x.seq as r1, y.seq as r2, instr(y.seq, right(x.seq, {K})) - 1 as hit from clipped x join clipped y on ends_with(x.id, '/1') and y.id = x.id[:-3] || '/2'),
+overlapping as materialized (select *, hit >= 0 and hit < least(length(r1), length(r2)) - {K} + 1 and right(r1, hit + {K}) = left(r2, hit + {K}) as laps from clipped_pairs),
+searches as materialized (select 'ring:' || pair_id as id, right(r1, {K}) as start, right(r1, {K}) as goal from overlapping where laps union all
+    select 'ahead:' || pair_id, right(r1, {K}), left(r2, {K}) from overlapping where not laps union all
+    select 'back:' || pair_id, {_RC.format(f'left(r2, {K})')}, {_RC.format(f'right(r1, {K})')} from overlapping where not laps),
+levels as (select id, dst as node, 1 as depth, 1 as n from searches join pair_steps on src = start union all
+    select id, dst, depth + 1, cast(least(2, sum(n)) as integer) from levels join pair_steps on src = node where depth < {pairs.MOST_STEPS} group by id, dst, depth),
+crowded as (select id, min(depth) as crowd from (select id, depth from levels where depth > 1 group by id, depth having count(*) > {pairs.MOST_NODES}) group by id),
+arrived as (select id, depth, sum(n) over (partition by id order by depth) as n from levels join searches using (id) where node = goal and depth > 1),
+outcome as materialized (select s.id, case when t is not null and (crowd is null or t <= crowd) then 'ambiguous' when crowd is null and o is not null then 'one' else 'none' end as result, o as once
+    from searches s left join (select id, min(depth) filter (where n > 1) as t, min(depth) filter (where n = 1) as o from arrived group by id) using (id) left join crowded using (id)),
+short_levels as materialized (select l.id, l.node, l.depth from levels l join outcome o on l.id = o.id and result = 'one' and l.depth < once),
+backwards as (select id, goal as node, once as depth, right(goal, 1) as path from outcome join searches using (id) where result = 'one' union all
+    select b.id, l.node, l.depth, right(l.node, 1) || b.path from backwards b join short_levels l on l.id = b.id and l.depth = b.depth - 1 join pair_steps on src = l.node and dst = b.node),
+found as (select id, result, path from outcome left join (select id, path from backwards where depth = 1) using (id)),
+fates as materialized (select p.pair_id, r1, r2, laps, case when laps then (case when ring.result = 'none' then r1 || substr(r2, hit + {K + 1}) end)
+    when ahead.result = 'one' and back.result = 'one' and r1 || ahead.path || substr(r2, {K + 1}) = left(r1, length(r1) - {K}) || {_RC.format('back.path')} || r2 then r1 || ahead.path || substr(r2, {K + 1}) end as seq,
+    coalesce(ahead.result = 'none', false) as lost from overlapping p left join found ring on ring.id = 'ring:' || p.pair_id left join found ahead on ahead.id = 'ahead:' || p.pair_id left join found back on back.id = 'back:' || p.pair_id),
+fated as materialized (select *, case when seq is not null then 'connected' when lost then 'none' else 'ambiguous' end as fate from fates)"""
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(projection.fragments(spark, sf_dir, FRAGMENT, MATE), "fragments")
+
+
+@_query("pair_steps", f"with {_PAIR_STEPS} select src, dst, cnt from pair_steps")
+def pair_steps(spark, sf_dir):
+    return _steps(pairs.pair_forks(_table(spark, sf_dir), K, FRACTION, LOW_COUNT)[1])
+
+
+@_query("clip_for_pairing", f"with recursive {_CLIPPED} select id, cast(start as integer) as start, seq from clipped")
+def clip_for_pairing(spark, sf_dir):
+    whole, forks = pairs.pair_forks(_table(spark, sf_dir), K, FRACTION, LOW_COUNT)
+    mates = _pairs(spark, sf_dir).select(F.concat_ws("/", "pair_id", "mate").alias("id"), F.when(F.col("mate") == 2, X.revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
+    return pairs.clipped(mates, whole, forks, K, "id")
+
+
+@_query(
+    "connected_pairs",
+    f"with recursive {_SEARCHED}, single_steps as (select src, any_value(dst) as dst from pair_steps group by src having count(*) = 1), "
+    f"unclear as (select pair_id || '/1' as id, r1 as seq from fated where fate = 'ambiguous' union all select pair_id || '/2', r2 from fated where fate = 'ambiguous'), {_extended_sql('further', 'unclear', 'single_steps')} "
+    f"select pair_id, fate, f.seq, left(x.seq, x.before) || r1 as mate1, {_RC.format('(r2 || substr(y.seq, y.before + length(r2) + 1))')} as mate2 from fated f left join further x on x.id = pair_id || '/1' left join further y on y.id = pair_id || '/2'",
+)
+def connected_pairs(spark, sf_dir):
+    return pairs.connect(_pairs(spark, sf_dir), _table(spark, sf_dir), K, FRACTION, LOW_COUNT)
+
+
+@_query("extended_reads", f"with recursive {_PAIR_STEPS}, {_FRAGMENTS}, single_steps as materialized (select src, any_value(dst) as dst from pair_steps group by src having count(*) = 1), first_mates as (select pair_id as id, a as seq from mated), {_extended_sql('further', 'first_mates', 'single_steps')} select id, seq, cast(before as integer) as before from further")
+def extended_reads(spark, sf_dir):
+    forks = pairs.pair_forks(_table(spark, sf_dir), K, FRACTION, LOW_COUNT)[1]
+    first = _pairs(spark, sf_dir).where("mate = 1").select(F.col("pair_id").alias("id"), "seq")
+    return pairs.extended(first, pairs.single_steps(forks, K), K, "id")
+
+
+_DRAWN = f"""{_READS}, {_FRAGMENTS}, whole as (select count(*) as total from mated),
+draw as (select 1 as i, cast({pairs.MULTIPLIER} as bigint) as x union all select i + 1, x * {pairs.MULTIPLIER} % {pairs.MODULUS} from draw where i < {8 * SAMPLE}),
+drawn as (select (x - 1) // ({pairs.MODULUS - 2} // total) as place, min(i) as i from draw, whole where x - 1 < total * ({pairs.MODULUS - 2} // total) group by all order by i limit {SAMPLE}),
+chosen as materialized (select pair_id from (select pair_id, row_number() over (order by pair_id) - 1 as place, total from mated, whole) where total <= {2 * SAMPLE} or place in (select place from drawn))"""
+
+
+@_query("pair_sample", f"with recursive {_DRAWN} select pair_id from chosen")
+def pair_sample(spark, sf_dir):
+    return pairs.sampled(_pairs(spark, sf_dir), SAMPLE).select("pair_id").distinct()
+
+
+@_query("insert_n50", f"with recursive {_SEARCHED}, {_DRAWN[_DRAWN.index('whole as'):]}, lengths as (select length(seq) as length from fated join chosen using (pair_id) where fate = 'connected'), walked as (select length, sum(length) over (order by length desc rows unbounded preceding) as up_to, sum(length) over () as total from lengths) select coalesce(max(length), 0) as insert_size from walked where 2 * up_to >= total")
+def insert_n50(spark, sf_dir):
+    return pairs.insert_size(_pairs(spark, sf_dir), _table(spark, sf_dir), K, SAMPLE, FRACTION, LOW_COUNT)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 #: Bases that fit into a signed long; the order of bases as digits.
 MOST_PACKED, ORDER = 31, "ACTG"
-_HEX = "0123456789ABCDEF"
-#: What two bases in a hex digit become in the reverse complement; the complement of a base is two away.
-_TURNED = "".join(_HEX[(x & 3 ^ 2) << 2 | x >> 2 ^ 2] for x in range(16))
 
 
 def _left(x: Column, by: int) -> Column:
@@ -26,6 +23,14 @@ def _and(x: Column, mask: int) -> Column:
     return x.bitwiseAND(F.lit(mask).cast("long"))
 
 
+def _swapped(x: Column) -> Column:
+    """The 32 pairs of bits of a long from behind: neighbours are swapped, then twos, fours, eights and halves."""
+    for bits in (2, 4, 8, 16):
+        low = sum(((1 << bits) - 1) << at for at in range(0, 64, 2 * bits))
+        x = _and(_right(x, bits), low).bitwiseOR(_left(_and(x, low), bits))
+    return _right(x, 32).bitwiseOR(_left(x, 32))
+
+
 @dataclass(frozen=True)
 class Packing:
     """Expressions over k-mers of k bases."""
@@ -52,9 +57,8 @@ class Packing:
     def revcomp(self, kmer: Column) -> Column:
         if self.wide:
             return F.reverse(F.translate(kmer, "0123", "2301"))
-        # by hex digits, of which each holds two bases: swapped and complemented, then read from behind
-        digits = F.reverse(F.translate(F.lpad(F.hex(kmer), (self.k + 1) // 2, "0"), _HEX, _TURNED))
-        return _right(F.conv(digits, 16, -10).cast("long"), self.k % 2 * 2)
+        complement = kmer.bitwiseXOR(F.lit(sum(2 << 2 * i for i in range(self.k))).cast("long"))  # it is two away
+        return _right(_swapped(complement), 64 - 2 * self.k)
 
     def canonical(self, kmer: Column) -> Column:
         return F.least(kmer, self.revcomp(kmer))

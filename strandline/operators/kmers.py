@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -130,44 +131,56 @@ def clip_adapters(reads: DataFrame, fraction: float, limit: int, k: int = 19) ->
     return cut.withColumn("seq", F.when(F.col("_cut").isNull(), F.col("seq")).otherwise(F.substr("seq", F.lit(1), F.col("_cut")))).where("seq <> ''").drop("_cut")
 
 
-# What a histogram says; it has one row for each count, so it is small. Bins are walked by their place, not their count.
+# What a histogram says; it has one row for each count, so it is small. Bins go by their place, not their count.
 
+# Bins to either side that a peak stands above, how deep a valley is beside what lies behind it, the least
+# frequency of a bin that counts for the volume, and the part of that volume at which the last range ends.
 SLOPE, DEEP, LEAST_FREQ, VOLUME = 5, 0.7, 100, 0.8
 
 
-def _valley(freq: list[int], limit: int) -> int:
-    """The place of the lowest bin before the last peak that stands out over five bins to either side; -1 if none."""
-    peaks = (i for i in range(min(limit, len(freq) - SLOPE - 1), SLOPE - 1, -1) if all(freq[j] < freq[i] for j in range(i - SLOPE, i + SLOPE + 1) if j != i))
-    peak = next(peaks, -1)
-    if peak < 0:
-        return -1
-    valley = min(range(peak + 1), key=lambda i: (freq[i], i))
-    if valley == peak:
-        return -1
-    highest = max(freq[valley:] + [freq[peak]])
-    return valley if freq[valley] < DEEP * highest else -1
+def valleys(freq: np.ndarray) -> dict[int, int]:
+    """The valley before each peak, -1 where it has none. Errors of reading are k-mers of low counts, falling towards the
+    valley; the genome's are the peak behind it.
+
+    A peak is higher than SLOPE bins to either side, which noise seldom is. Its valley is the lowest bin up to it, the
+    first of equal ones, if that is clearly lower than the highest bin from there on.
+    """
+    if len(freq) < 2 * SLOPE + 1:
+        return {}
+    around = np.lib.stride_tricks.sliding_window_view(freq, 2 * SLOPE + 1)
+    peaks = SLOPE + np.flatnonzero((around < around[:, [SLOPE]]).sum(axis=1) == 2 * SLOPE)
+    lowest = {int(peak): int(freq[: peak + 1].argmin()) for peak in peaks}
+    return {peak: low if low < peak and freq[low] < DEEP * freq[low:].max() else -1 for peak, low in lowest.items()}
+
+
+def candidate_ranges(bins: list[tuple[int, int]]) -> pd.DataFrame:
+    """valley (-1: none), last, size (k-mers from the valley on, 0 without one), volume (their counts) of each range that
+    may be the genome's, as rows, the last range first.
+
+    The first ends a bin behind the one with which VOLUME of the volume of frequent bins is exceeded: what is behind are
+    repeats. Each further range ends at the valley of the one before, as a mixture has a peak for each of its parts. A
+    range's valley is that of the last peak up to its end; where that peak has none there is no further range.
+    """
+    count, freq = np.array(bins, dtype="i8").reshape(-1, 2).T
+    volume, before = count * freq, valleys(freq)
+    enough = VOLUME * volume[freq >= LEAST_FREQ].sum()
+    last, rows = int(min(np.searchsorted(volume.cumsum(), enough, side="right") + 1, len(bins) - 1)), []
+    while not rows or rows[-1][0] >= 0:
+        valley = before[max(p for p in before if p <= last)] if any(p <= last for p in before) else -1
+        span = slice(max(valley, 0), last + 1)
+        rows.append((valley, last, int(freq[span].sum()) if valley >= 0 else 0, int(volume[span].sum())))
+        last = valley
+    return pd.DataFrame(rows, columns=["valley", "last", "size", "volume"])
 
 
 def main_range(bins: list[tuple[int, int]]) -> tuple[int, int]:
-    """(valley or -1, last place) of the range of bins that holds the genome."""
-    volume = [c * f for c, f in bins]
-    freq = [f for _, f in bins]
-    enough = VOLUME * sum(v for v, f in zip(volume, freq, strict=True) if f >= LEAST_FREQ)
-    right, so_far = 0, 0
-    for v in volume:
-        so_far += v
-        right = min(right + 1, len(bins) - 1)
-        if so_far > enough:
-            break
-    best, size, most = (-1, right), 0, 0
-    while True:
-        valley = _valley(freq, right)
-        span = slice(max(valley, 0), right + 1)
-        if valley >= 0 and sum(freq[span]) > size or sum(volume[span]) > most:
-            best, size, most = (valley, right), sum(freq[span]), sum(volume[span])
-        if valley < 0:
-            return best
-        right = valley
+    """(valley or -1, last place) of the range that holds the genome: of the candidates in turn, the last that has more
+    k-mers or more volume than the one chosen before it."""
+    chosen = (-1, None, 0, 0)
+    for row in candidate_ranges(bins).itertuples(index=False, name=None):
+        if chosen[1] is None or row[2] > chosen[2] or row[3] > chosen[3]:
+            chosen = row
+    return int(chosen[0]), int(chosen[1])
 
 
 def genome(hist: DataFrame) -> DataFrame:

@@ -36,5 +36,18 @@ def mates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.select(pair.alias("pair_id"), (F.col("turn") % 2 + 1).cast("int").alias("mate"), project(F.col("text")).alias("seq"))
 
 
+def fragments(spark: SparkSession, sf_dir: str, size: int = 300, read: int = 100) -> DataFrame:
+    """Pairs as from fragments of the documents, cut one behind the other: pair_id (doc_id:number), mate, seq.
+
+    Mate 1 is the beginning of a fragment of `size` bases, mate 2 the reverse complement of its end; what is left of a
+    document at the end is none.
+    """
+    rows = documents(spark, sf_dir).withColumn("n", F.floor(F.length("seq") / size).cast("int")).where("n > 0")
+    rows = rows.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    end = F.reverse(F.translate(F.substr("seq", F.col("i") * size + size - read + 1, F.lit(read)), "ACGT", "TGCA"))
+    each = F.array(F.struct(F.lit(1).alias("mate"), F.substr("seq", F.col("i") * size + 1, F.lit(read)).alias("seq")), F.struct(F.lit(2).alias("mate"), end.alias("seq")))
+    return rows.select(F.concat_ws(":", "read_id", "i").alias("pair_id"), F.inline(each))
+
+
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("target_id"), project(F.col("text")).alias("seq"))
