@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .functions import sequence as X
 from .functions.ordering import ranked_rows
 from .functions.staging import staged
-from .operators import chunks, contigs, graph, kmers, mapping, pairs, stats
+from .operators import chunks, contig_graph, contigs, graph, kmers, mapping, pairs, stats
 from .sources import projection, reads, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -89,6 +89,11 @@ def _lettered(spark: SparkSession, sf_dir: str, least: int = MIN_COUNT) -> DataF
     return kmers.lettered(_kmers(spark, sf_dir, least), K)
 
 
+def _target_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's k-mers that targets have."""
+    return kmers.count_kmers(_reads(spark, sf_dir), K, MIN_COUNT, kmers.explode_kmers(projection.targets(spark, sf_dir), K))
+
+
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K-mers that a query reads more than once."""
     return staged(_kmers(spark, sf_dir), "kmers")
@@ -394,7 +399,7 @@ best as (select *, row_number() over (partition by read_id order by length desc,
 select read_id, cast(start as bigint) as start, cast(length as bigint) as length from best where n = 1""",
 )
 def longest_good_run(spark, sf_dir):
-    return mapping.longest_covered_run(_reads(spark, sf_dir), _kmers(spark, sf_dir), K, LOW_COUNT)
+    return mapping.longest_covered_run(_reads(spark, sf_dir), _table(spark, sf_dir), K, LOW_COUNT)
 
 
 @_query(
@@ -407,7 +412,7 @@ def target_hits(spark, sf_dir):
 
 @_query("target_seeds", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, cast(pos as bigint) as pos, kmer, cnt from tw join kmers using (kmer)")
 def target_seeds(spark, sf_dir):
-    return kmers.lettered(mapping.target_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K), K)
+    return kmers.lettered(mapping.target_seeds(projection.targets(spark, sf_dir), _target_kmers(spark, sf_dir), K), K)
 
 
 @_query(
@@ -416,13 +421,13 @@ def target_seeds(spark, sf_dir):
     "best as (select *, row_number() over (partition by target_id order by score desc, pos desc) as n from scored) select target_id, cast(pos as bigint) as pos, cnt from best where n = 1",
 )
 def best_target_seed(spark, sf_dir):
-    found = mapping.best_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K)
+    found = mapping.best_seeds(projection.targets(spark, sf_dir), _target_kmers(spark, sf_dir), K)
     return found.select("target_id", F.col("pos").cast("long").alias("pos"), "cnt")
 
 
 @_query("sequence_abundance", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, round(sum(coalesce(cnt, 0)) / count(*), 9) as abundance from tw left join kmers using (kmer) group by target_id")
 def sequence_abundance(spark, sf_dir):
-    rows = contigs.abundances(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K, "target_id")
+    rows = contigs.abundances(projection.targets(spark, sf_dir), _target_kmers(spark, sf_dir), K, "target_id")
     return rows.select("target_id", F.round("abundance", 9).alias("abundance"))
 
 
@@ -514,7 +519,7 @@ def node_states(spark, sf_dir):
 
 @_query("seed_survival", f"with {_KMERS}, {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id from tw left join kmers using (kmer) group by target_id having sum(coalesce(cnt, 0)) >= {LOW_COUNT} * count(*) union all select target_id from targets where length(seq) < {K}")
 def seed_survival(spark, sf_dir):
-    return contigs.surviving_seeds(projection.targets(spark, sf_dir), _kmers(spark, sf_dir), K, LOW_COUNT, "target_id")
+    return contigs.surviving_seeds(projection.targets(spark, sf_dir), _target_kmers(spark, sf_dir), K, LOW_COUNT, "target_id")
 
 
 @_query(
@@ -710,3 +715,51 @@ def pair_sample(spark, sf_dir):
 @_query("insert_n50", f"with recursive {_SEARCHED}, {_DRAWN[_DRAWN.index('whole as'):]}, lengths as (select length(seq) as length from fated join chosen using (pair_id) where fate = 'connected'), walked as (select length, sum(length) over (order by length desc rows unbounded preceding) as up_to, sum(length) over () as total from lengths) select coalesce(max(length), 0) as insert_size from walked where 2 * up_to >= total")
 def insert_n50(spark, sf_dir):
     return pairs.insert_size(_pairs(spark, sf_dir), _table(spark, sf_dir), K, SAMPLE, FRACTION, LOW_COUNT)
+
+
+# Graphs of contigs. The contigs are windows of the documents that overlap by BORDER bases.
+
+BORDER = 40
+_LINKS = f"""{_READS}, window_at as (select read_id, seq, unnest(range(0, (length(seq) - {BORDER}) // {FRAGMENT - BORDER})) as i from reads where length(seq) > {BORDER}),
+pieces as materialized (select seq, min(read_id * 100000 + i) as id from (select read_id, i, substr(seq, i * {FRAGMENT - BORDER} + 1, {FRAGMENT}) as seq from window_at) group by seq),
+links as materialized (select distinct a.id as "left", b.id as "right" from pieces a join pieces b on right(a.seq, {BORDER}) = left(b.seq, {BORDER}) and a.id <> b.id)"""
+_WAYS = f"""{_LINKS}, ways as (select "left" as start, "right" as "end", ["right"] as way from links union all
+    select start, l."right", list_append(way, l."right") from ways join links l on "end" = l."left" where len(way) < {contig_graph.MOST_STEPS} and l."right" <> start and not list_contains(way, l."right")),
+several as (select start, "end" from ways group by all having count(*) > 1), parted as materialized (select * from ways join several using (start, "end"))"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = FRAGMENT - BORDER
+    rows = _reads(spark, sf_dir).withColumn("n", F.floor((F.length("seq") - BORDER) / step).cast("int")).where("n > 0")
+    rows = rows.select("read_id", "seq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    rows = rows.select((F.col("read_id") * 100000 + F.col("i")).alias("id"), F.substr("seq", F.col("i") * step + 1, F.lit(FRAGMENT)).alias("seq"))
+    return rows.groupBy("seq").agg(F.min("id").alias("id"))
+
+
+@_query("contig_links", f'with {_LINKS} select "left", "right" from links')
+def contig_links(spark, sf_dir):
+    return contig_graph.bordering(staged(_pieces(spark, sf_dir), "pieces"), BORDER)
+
+
+@_query("contig_cycles", f'with recursive {_LINKS}, reach as (select "left" as a, "right" as b from links union select a, "right" from reach join links on b = "left") select x.a as node, min(x.b) as cycle from reach x join reach y on x.a = y.b and x.b = y.a group by x.a')
+def contig_cycles(spark, sf_dir):
+    return contig_graph.cycles(contig_links(spark, sf_dir))
+
+
+@_query("contig_bubbles", f"""with recursive {_WAYS} select start, "end", string_agg(array_to_string(way, '>'), '|' order by len(way), way) as ways from parted group by start, "end\"""")
+def contig_bubbles(spark, sf_dir):
+    found = contig_graph.bubbles(contig_links(spark, sf_dir))
+    return found.withColumn("ways", F.array_join(F.transform("ways", lambda w: F.array_join(w.cast("array<string>"), ">")), "|"))
+
+
+@_query(
+    "contig_collapsed",
+    f"""with recursive {_WAYS}, totals as (select start, "end", way, sum(coalesce(length(seq), 0)) as total from (select start, "end", way, unnest(way) as id from parted) left join pieces using (id) group by all),
+best as (select start, "end", way as best from (select *, row_number() over (partition by start, "end" order by total desc, len(way) desc, way desc) as n from totals) where n = 1),
+lesser as (select * from parted join best using (start, "end") where way <> best),
+lost as (select unnest(way[:-2]) as "left", unnest(way[2:]) as "right" from lesser union select start, way[1] from lesser where way[1] <> best[1])
+select "left", "right" from links except select "left", "right" from lost""",
+)
+def contig_collapsed(spark, sf_dir):
+    pieces = staged(_pieces(spark, sf_dir), "pieces")
+    return contig_graph.collapsed(staged(contig_graph.bordering(pieces, BORDER), "links"), pieces.select("id", F.length("seq").alias("length")))

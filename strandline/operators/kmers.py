@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.packing import MOST_PACKED, Packing
 
-#: Windows that are cut at once.
-WINDOWS_AT_ONCE = 1 << 19
+#: Windows that are cut at once; k-mers (longs or short strings) that may be broadcast to choose among others.
+WINDOWS_AT_ONCE, MOST_CHOSEN = 1 << 19, 2_000_000
 _CODE = np.full(256, 4, dtype=np.uint8)
 for _digit, _letters in enumerate(("Aa", "Cc", "Tt", "Gg")):
     _CODE[[ord(x) for x in _letters]] = _digit
@@ -94,10 +94,22 @@ def explode_kmers(reads: DataFrame, k: int, *keep: str) -> DataFrame:
     return reads.where(F.length("seq") >= k).select(*keep, "seq").mapInArrow(cut, schema)
 
 
-def count_kmers(reads: DataFrame, k: int, min_count: int = 1) -> DataFrame:
-    """kmer, cnt, plus (how many stand on the plus strand) of the canonical k-mers with at least min_count."""
+def among(rows: DataFrame, known: DataFrame, most: int = MOST_CHOSEN) -> DataFrame:
+    """rows whose kmer is one of known (read twice): where rows are, while there are at most `most` of them, else shuffled."""
+    known = known.select("kmer").distinct()
+    few = known.limit(most + 1).count() <= most
+    return rows.join(F.broadcast(known) if few else known, "kmer", "left_semi")
 
-    counts = explode_kmers(reads, k).groupBy("kmer").agg(F.count("*").alias("cnt"), F.sum(F.col("is_plus").cast("long")).alias("plus"))
+
+def count_kmers(reads: DataFrame, k: int, min_count: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """kmer, cnt, plus (how many stand on the plus strand) of the canonical k-mers with at least min_count.
+
+    only: rows with the k-mers that are counted; the others go before any shuffle.
+    """
+    each = explode_kmers(reads, k)
+    if only is not None:
+        each = among(each, only)
+    counts = each.groupBy("kmer").agg(F.count("*").alias("cnt"), F.sum(F.col("is_plus").cast("long")).alias("plus"))
     return counts.where(F.col("cnt") >= min_count) if min_count > 1 else counts
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
-from .kmers import explode_kmers
+from .kmers import among, explode_kmers
 
 
 def unique_positions(contigs: DataFrame, k: int) -> DataFrame:
@@ -46,9 +46,9 @@ def unused_reads(reads: DataFrame, contigs: DataFrame, k: int, margin: int) -> D
 def longest_covered_run(reads: DataFrame, kmers: DataFrame, k: int, low_count: int) -> DataFrame:
     """read_id, start, length of the longest run of bases that k-mers of at least low_count cover, the first of equal ones.
 
-    Such a run is an island of k-mers that begin at most k bases after one another.
+    Such a run is an island of k-mers that begin at most k bases after one another. kmers is read twice.
     """
-    good = explode_kmers(reads, k, "read_id").join(kmers.where(F.col("cnt") >= low_count).select("kmer"), "kmer", "left_semi").select("read_id", "pos")
+    good = among(explode_kmers(reads, k, "read_id"), kmers.where(F.col("cnt") >= low_count)).select("read_id", "pos")
     order = W.partitionBy("read_id").orderBy("pos")
     gap = F.coalesce(F.col("pos") - F.lag("pos").over(order) > k, F.lit(False))
     island = good.withColumn("_new", gap).withColumn("island", F.sum(F.col("_new").cast("int")).over(order))
@@ -59,9 +59,9 @@ def longest_covered_run(reads: DataFrame, kmers: DataFrame, k: int, low_count: i
 
 def target_hits(reads: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """read_id, target_id, hits: places of the read's k-mers in the target's, with their multiplicities."""
-    # counts on both sides first, so that a common k-mer isn't multiplied out
-    a = explode_kmers(reads, k, "read_id").groupBy("read_id", "kmer").agg(F.count("*").alias("m"))
+    # counts on both sides first, so that a common k-mer isn't multiplied out; what no target has isn't counted
     b = explode_kmers(targets, k, "target_id").groupBy("target_id", "kmer").agg(F.count("*").alias("n"))
+    a = among(explode_kmers(reads, k, "read_id"), b).groupBy("read_id", "kmer").agg(F.count("*").alias("m"))
     return a.join(b, "kmer").groupBy("read_id", "target_id").agg(F.sum(F.col("m") * F.col("n")).alias("hits"))
 
 
