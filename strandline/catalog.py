@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sequence as X
+from .functions import tables
 from .functions.ordering import ranked_rows
 from .functions.staging import staged
 from .operators import chunks, contig_graph, contigs, graph, kmers, mapping, pairs, stats
@@ -763,3 +764,54 @@ select "left", "right" from links except select "left", "right" from lost""",
 def contig_collapsed(spark, sf_dir):
     pieces = staged(_pieces(spark, sf_dir), "pieces")
     return contig_graph.collapsed(staged(contig_graph.bordering(pieces, BORDER), "links"), pieces.select("id", F.length("seq").alias("length")))
+
+
+REPEAT = 80
+
+
+@_query(
+    "repeat_margins",
+    f"""with {_UNIQUE}, window_at as (select read_id, seq, unnest(range(0, (length(seq) - {BORDER}) // {FRAGMENT - BORDER})) as i from reads where length(seq) > {BORDER}),
+pieces as materialized (select seq, min(read_id * 100000 + i) as id from (select read_id, i, substr(seq, i * {FRAGMENT - BORDER} + 1, {FRAGMENT}) as seq from window_at) group by seq),
+tried as (select id, seq, unnest(range(0, {REPEAT - K + 1})) as p from pieces where length(seq) > {REPEAT}),
+lefts as (select id, max(p) as bad from tried left join single on src = substr(seq, p + 1, {K}) and dst = substr(seq, p + 2, {K}) where src is null group by id),
+rights as (select id, min(length(seq) - {REPEAT} + p) as bad from tried left join single on src = {_RC.format(f'substr(seq, length(seq) - {REPEAT} + p + 1, {K})')} and dst = {_RC.format(f'substr(seq, length(seq) - {REPEAT} + p, {K})')} where src is null group by id)
+select p.id, cast(case when length(seq) > {REPEAT} then coalesce(l.bad + {K}, {K - 1}) else {REPEAT} end as integer) as left_repeat, cast(case when length(seq) > {REPEAT} then coalesce(length(seq) - r.bad, {K - 1}) else {REPEAT} end as integer) as right_repeat
+from pieces p left join lefts l using (id) left join rights r using (id)""",
+)
+def repeat_margins(spark, sf_dir):
+    margin = F.lit(REPEAT)
+    pieces = staged(_pieces(spark, sf_dir).withColumns({"left_repeat": margin, "right_repeat": margin}), "pieces")
+    return pairs.repeat_margins(pieces, staged(_balanced(spark, sf_dir), "balanced"), K)
+
+
+# Variations along contigs, and table functions.
+
+
+@_query(
+    "variant_places",
+    f"with {_TARGETS}, cut as (select target_id as number, seq, unnest(range(1, length(seq) // 50)) as j from targets where length(seq) >= 100) "
+    "select number, cast(2 * j - 1 as integer) as i, cast(50 * j + j - 1 as integer) as start, substr(seq, 50 * j - 49, 50) as before, case when j = length(seq) // 50 - 1 then substr(seq, 50 * j + 1) else substr(seq, 50 * j + 1, 50) end as after from cut",
+)
+def variant_places(spark, sf_dir):
+    """Targets cut every 50 bases, with a variation at each cut."""
+    n = F.floor(F.length("seq") / 50).cast("int")
+    part = lambda j: F.array(F.when(j == n - 1, F.substr("seq", j * 50 + 1)).otherwise(F.substr("seq", j * 50 + 1, F.lit(50))))
+    between = F.array(*map(F.lit, ("A", "CC", "GTG")))
+    made = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.when(j == n - 1, F.array(part(j))).otherwise(F.array(part(j), between))))
+    rows = projection.targets(spark, sf_dir).where(F.length("seq") >= 100).select(F.col("target_id").alias("number"), made.alias("chunks"))
+    return chunks.placed(rows).select("number", "i", "start", "before", "after")
+
+
+@_query("kmers_by_sql", f"with {_TARGETS}, {_windows('tw', 'targets', 'target_id')} select target_id, cast(pos as integer) as pos, kmer, is_plus from tw")
+def kmers_by_sql(spark, sf_dir):
+    tables.register(spark)
+    projection.targets(spark, sf_dir).createOrReplaceTempView("projected_targets")
+    return spark.sql(f"select target_id, k.pos, k.kmer, k.is_plus from projected_targets, lateral kmers_of(seq, {K}) k")
+
+
+@_query("frames_by_sql", ORACLE_SQL["six_frame"])
+def frames_by_sql(spark, sf_dir):
+    tables.register(spark)
+    projection.targets(spark, sf_dir).createOrReplaceTempView("projected_targets")
+    return spark.sql("select target_id, f.frame, f.protein from projected_targets, lateral frames_of(seq) f")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
@@ -42,3 +43,17 @@ def seed_chunks(seq: Column) -> Column:
 
     parts = F.regexp_extract_all(seq, F.lit("[ACGT]+|[^ACGT]"), F.lit(0))
     return F.transform(parts, lambda p: F.when(F.rlike(p, F.lit("^[ACGT]+$")), F.array(p)).otherwise(F.split(expand_iupac(p), "")))
+
+
+def placed(contigs: DataFrame) -> DataFrame:
+    """number, i, start, before, primary, after, variants of the variations of contigs (number, chunks).
+
+    start: bases of the first strings of all chunks before, which is where a variation begins in the contig's primary
+    sequence; before and after: the first strings of the chunks beside it, empty where there are none.
+    """
+    rows = contigs.select("number", F.posexplode("chunks").alias("i", "variants")).withColumn("primary", F.coalesce(F.get("variants", F.lit(0)), F.lit("")))
+    order = W.partitionBy("number").orderBy("i")
+    up_to = F.sum(F.length("primary")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    beside = lambda f: F.coalesce(f("primary").over(order), F.lit(""))
+    rows = rows.withColumns({"start": F.coalesce(up_to, F.lit(0)).cast("int"), "before": beside(F.lag), "after": beside(F.lead)})
+    return rows.where(F.size("variants") > 1).select("number", "i", "start", "before", "primary", "after", "variants")
