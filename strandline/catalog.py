@@ -815,3 +815,16 @@ def frames_by_sql(spark, sf_dir):
     tables.register(spark)
     projection.targets(spark, sf_dir).createOrReplaceTempView("projected_targets")
     return spark.sql("select target_id, f.frame, f.protein from projected_targets, lateral frames_of(seq) f")
+
+
+@_query(
+    "denied_chains",
+    f"""with recursive {_LINKS}, nexts as materialized (select a.id, min(b.id) as "to" from pieces a join pieces b on right(a.seq, {BORDER}) = left(b.seq, {BORDER}) group by a.id, right(a.seq, {BORDER})),
+onward as materialized (select id, "to" from nexts where id <> "to"),
+led as (select id as first, id as node, 0 as step from pieces union all select first, "to", step + 1 from led join onward on node = id where "to" <> first and step < 1000),
+owned as (select node, first, step from (select *, row_number() over (partition by node order by first, step) as n from led) where n = 1)
+select first as id, string_agg(case when step = 0 then seq else substr(seq, {BORDER + 1}) end, '' order by step) as seq, count(*) as n_parts from owned join pieces on node = id group by first""",
+)
+def denied_chains(spark, sf_dir):
+    pieces = staged(_pieces(spark, sf_dir).withColumns({"left_end": F.left("seq", F.lit(BORDER)), "right_end": F.right("seq", F.lit(BORDER))}), "pieces")
+    return contig_graph.chained(pieces, BORDER).select("id", "seq", F.size("parts").cast("long").alias("n_parts"))
