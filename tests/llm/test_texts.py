@@ -362,6 +362,11 @@ def test_blocks_of_a_page():
     assert text("<main>hi<aside>no</aside> you &lt;3</main><article class=comment>z</article>") == "hi you <3"
     assert text("<div class='sidebar-right layout'><article>in</article></div>") == "in"
     assert text("") == text("<script>var a = '</p>'") == text("<nav>x") == ""
+    for kept in ('<div class="side-effects">effects text</div>', "the <label>labelled</label> word", '<p class="search-results-of-the-study">found</p>', '<p class="alert-fatigue">tired</p>'):
+        assert text(f"<article><p>one</p>{kept}<p>two</p></article>") == "one " + re.sub("<[^>]*>", "", kept) + " two"
+    for name in ("cookie-notice", "share-buttons", "related", "side", "widget_3", "promo-box", "social-links top"):
+        assert text(f'<article><p>one</p><div class="{name}">gone</div></article>') == "one"
+    assert text("<article>one<form><label>gone</label></form></article>") == "one"
     assert text("a <!-- b") == "a" and text("1 < 2 & 3 &unknown; <p hidden>q</p>") == "1 < 2 & 3 &unknown;"
 
 
