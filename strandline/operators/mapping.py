@@ -79,11 +79,16 @@ def best_seeds(targets: DataFrame, kmers: DataFrame, k: int) -> DataFrame:
 
 
 def mate_overlaps(pairs: DataFrame, shortest: int = 20) -> DataFrame:
-    """pair_id, overlap: the longest suffix of mate 1 that begins the reverse complement of mate 2 (pair_id, mate, seq)."""
+    """pair_id, overlap: the longest suffix of mate 1 that begins the reverse complement of mate 2 (pair_id, mate, seq).
+
+    Only suffixes that begin with the first `shortest` bases of the other are compared: mate 1 is cut where these stand.
+    """
     both = pairs.groupBy("pair_id").agg(F.max(F.when(F.col("mate") == 1, F.col("seq"))).alias("a"), F.max(F.when(F.col("mate") == 2, revcomp(F.col("seq")))).alias("b"))
     both = both.where((F.length("a") >= shortest) & (F.length("b") >= shortest))
-    n = F.least(F.length("a"), F.length("b"))
-    fits = F.filter(F.sequence(F.lit(shortest), n), lambda i: F.col("a").endswith(F.substr("b", F.lit(1), i)))
+    parts = F.split("a", F.concat(F.lit("(?="), F.left("b", F.lit(shortest)), F.lit(")")))
+    sizes = F.reverse(F.transform(parts, F.length))
+    suffixes = F.aggregate(sizes, F.array().cast("array<int>"), lambda so_far, n: F.concat(so_far, F.array(n + F.coalesce(F.get(so_far, F.size(so_far) - 1), F.lit(0)))))
+    fits = F.filter(suffixes, lambda i: (i >= shortest) & (i <= F.length("b")) & F.col("a").endswith(F.left("b", i)))
     return both.select("pair_id", F.coalesce(F.array_max(fits), F.lit(0)).cast("long").alias("overlap"))
 
 

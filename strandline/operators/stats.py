@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,25 +16,30 @@ def _cumulated(lengths: DataFrame) -> DataFrame:
     return by.withColumns({"up_to": F.sum(bases).over(down), "rank": F.sum("n").over(down), "total": F.sum(bases).over(total)})
 
 
+def _at(part: float) -> Column:
+    """The length at which the longest sequences hold `part` of all bases (rounded down)."""
+    return F.max(F.when(F.col("up_to") >= F.floor(F.col("total") * part), F.col("length"))).cast("long")
+
+
+def _rank(part: float) -> Column:
+    """How many of the longest sequences hold `part` of all bases (rounded down)."""
+    need, before = F.floor(F.col("total") * part), F.col("up_to") - F.col("length") * F.col("n")
+    at = F.col("rank") - F.col("n") + F.greatest(F.ceil((need - before) / F.col("length")), F.lit(1))
+    return F.min(F.when(F.col("up_to") >= need, at)).cast("long")
+
+
 def nxx(lengths: DataFrame, part: float, name: str) -> DataFrame:
     """The length at which the longest sequences hold `part` of all bases (rounded down), as one row."""
-    return _cumulated(lengths).where(F.col("up_to") >= F.floor(F.col("total") * part)).agg(F.max("length").cast("long").alias(name))
+    return _cumulated(lengths).agg(_at(part).alias(name))
 
 
 def lxx(lengths: DataFrame, part: float, name: str) -> DataFrame:
     """How many of the longest sequences hold `part` of all bases (rounded down), as one row."""
-    need = F.floor(F.col("total") * part)
-    before = F.col("up_to") - F.col("length") * F.col("n")
-    hit = _cumulated(lengths).where(F.col("up_to") >= need)
-    at = F.col("rank") - F.col("n") + F.greatest(F.ceil((need - before) / F.col("length")), F.lit(1))
-    return hit.agg(F.min(at).cast("long").alias(name))
+    return _cumulated(lengths).agg(_rank(part).alias(name))
 
 
 def report(lengths: DataFrame) -> DataFrame:
-    """sequences, total, longest, shortest, average, n50, l50, n90, l90 as one row."""
-    plain = lengths.where("length > 0").agg(
-        F.count("*").alias("sequences"), F.sum("length").alias("total"), F.max("length").cast("long").alias("longest"), F.min("length").cast("long").alias("shortest"), F.avg("length").alias("average")
-    )
-    for one in (nxx(lengths, 0.5, "n50"), lxx(lengths, 0.5, "l50"), nxx(lengths, 0.9, "n90"), lxx(lengths, 0.9, "l90")):
-        plain = plain.crossJoin(one)  # one row each
-    return plain
+    """sequences, total, longest, shortest, average, n50, l50, n90, l90 as one row, from one pass over the lengths."""
+    total = F.sum(F.col("length") * F.col("n"))
+    plain = [F.sum("n").alias("sequences"), total.alias("total"), F.max("length").cast("long").alias("longest"), F.min("length").cast("long").alias("shortest"), (total / F.sum("n")).alias("average")]
+    return _cumulated(lengths).agg(*plain, *(f(part).alias(f"{name}{round(100 * part)}") for part in (0.5, 0.9) for f, name in ((_at, "n"), (_rank, "l"))))
