@@ -828,3 +828,24 @@ select first as id, string_agg(case when step = 0 then seq else substr(seq, {BOR
 def denied_chains(spark, sf_dir):
     pieces = staged(_pieces(spark, sf_dir).withColumns({"left_end": F.left("seq", F.lit(BORDER)), "right_end": F.right("seq", F.lit(BORDER))}), "pieces")
     return contig_graph.chained(pieces, BORDER).select("id", "seq", F.size("parts").cast("long").alias("n_parts"))
+
+
+SHORTEST, LONGEST = 30, 60
+_OVERLAPPING = f"""{_LINKS[:_LINKS.index("links as materialized")]}strands as (select id as b, '+' as strand, seq as sb from pieces union all select id, '-', {_RC.format('seq')} from pieces),
+ns as (select unnest(range({SHORTEST}, {LONGEST + 1})) as n),
+suffixes as (select id as a, n, right(seq, n) as s from pieces, ns where length(seq) >= n), prefixes as (select b, strand, n, left(sb, n) as s from strands, ns where length(sb) >= n),
+overlapping as (select a, b, strand, max(n) as overlap from suffixes join prefixes using (n, s) where a <> b and (strand = '+' or a < b) group by a, b, strand)"""
+
+
+@_query("piece_overlaps", f"with {_OVERLAPPING} select a, b, strand, cast(overlap as integer) as overlap from overlapping")
+def piece_overlaps(spark, sf_dir):
+    return contigs.overlaps(staged(_pieces(spark, sf_dir), "pieces"), SHORTEST, LONGEST).select("a", "b", "strand", F.col("overlap").cast("int").alias("overlap"))
+
+
+@_query(
+    "piece_gfa",
+    f"with {_OVERLAPPING} select 'H' || chr(9) || 'VN:Z:1.0' as value union all select concat_ws(chr(9), 'S', 'Contig_' || id, seq, 'LN:i:' || length(seq)) from pieces union all select concat_ws(chr(9), 'L', 'Contig_' || a, '+', 'Contig_' || b, strand, overlap || 'M') from overlapping",
+)
+def piece_gfa(spark, sf_dir):
+    pieces = staged(_pieces(spark, sf_dir), "pieces")
+    return sinks.gfa(pieces, contigs.overlaps(pieces, SHORTEST, LONGEST))

@@ -108,3 +108,20 @@ def test_table_functions(spark):
     assert [tuple(r) for r in df.orderBy("i", "pos").collect()] == [(1, 0, "ACG", True), (1, 4, "ACG", True), (1, 5, "ACG", False), (1, 6, "AAC", False)]
     df = spark.sql("select f.* from frames_of('ATGAAN') f")
     assert {r["frame"]: r["protein"] for r in df.collect()} == {1: "MX", 2: "*", 3: "E", -1: "XH", -2: "F", -3: "S"}
+
+
+def test_tables_on_the_way_are_removed(spark):
+    from strandline.functions import staging
+
+    def made():
+        seen.append(staging.staged(spark.range(5), "inner"))
+        return seen[0].selectExpr("id + 1 as id")
+
+    seen = []
+    table = staging.staged_alone(spark, made, "outer")
+    assert sorted(r["id"] for r in table.collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(Exception):
+        seen[0].collect()
+    staging.drop(table)
+    with pytest.raises(Exception):
+        table.collect()
