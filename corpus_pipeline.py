@@ -9,11 +9,14 @@ each judged by its own text; further columns stay as they are, whatever their na
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontamination, mixing, quality, simhash, substring_dedup
-from strandline.llm.common import staged, table
+from strandline.functions.staging import drop, staged_alone
+from strandline.llm.common import table
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """What the last stage returns. Each stage's tables go once it is written, and what it read once the next stage has."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        kept = staged_alone(spark, partial(stage, spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            drop(read)
+        docs = read = kept
     return STAGES[-1][1](spark, docs, sf_dir)
