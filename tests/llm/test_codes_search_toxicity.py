@@ -223,3 +223,22 @@ def test_gradients_are_those_of_the_loss():
 
 def test_thresholds_lie_between_the_classes():
     assert toxicity.threshold_of(np.array([0.9, 0.8, 0.4, 0.1]), np.array([True, True, False, False]), np.ones(4)) == pytest.approx(0.6)
+
+
+def test_all_labels_are_fitted_to(spark, monkeypatch):
+    """In several parts, and with more rows of a class than any one of them holds."""
+    monkeypatch.setattr(toxicity, "PART_ROWS", 1000)
+    ids = [i for i in range(5700) if not is_held_out(i)]
+    bad = {i for i in ids if i % 7}
+    order = [r["i"] for r in spark.createDataFrame([(i,) for i in sorted(bad)], "i long").selectExpr("i", "xxhash64(i) AS h").orderBy("h", "i").collect()]
+    late = set(order[3000:])  # words of rows that were once left out
+    docs = [(i, f"the {'zebra' if i in late else 'idiot' if i in bad else 'house'} in a{i}", "en", 0.0) for i in ids] + [(9001, "the zebra in b", "en", 0.0), (9002, "the house in b", "en", 0.0)]
+    d, labels = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(i, 1, int(i in bad)) for i in ids], LABELS)
+    parts, n_good, n_bad = toxicity._labelled(d, labels, "text", "doc_id", "toxic", "lang")
+    packed = list(toxicity._Part.unpacked([parts.toPandas()]))
+    assert len(late) > 100 and (n_good, n_bad) == (len(ids) - len(bad), len(bad))
+    assert len(packed) > 3 and sum(len(p.texts) for p in packed) == len(ids) and sum(p.bad.sum() for p in packed) == len(bad)
+    start = toxicity._started(parts)
+    assert toxicity._margins(parts, [s.model() for s in start[: toxicity.FOLDS]]).agg({"n": "sum"}).first()[0] == len(ids)
+    rows = {r["doc_id"]: r for r in toxicity.classify(d, labels).collect()}
+    assert rows[9001]["score"] > 0.9 and rows[9001]["flagged"] and rows[9002]["score"] < 0.3 and not rows[9002]["flagged"]
