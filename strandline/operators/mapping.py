@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.packing import MOST_PACKED
 from ..functions.sequence import revcomp
-from .kmers import among, explode_kmers
+from ..functions.staging import staged
+from .kmers import among, count_kmers, explode_kmers, frequent_pieces
 
 
 def unique_positions(contigs: DataFrame, k: int) -> DataFrame:
@@ -48,11 +50,23 @@ def longest_covered_run(reads: DataFrame, kmers: DataFrame, k: int, low_count: i
 
     Such a run is an island of k-mers that begin at most k bases after one another. kmers is read twice.
     """
-    good = among(explode_kmers(reads, k, "read_id"), kmers.where(F.col("cnt") >= low_count)).select("read_id", "pos")
-    order = W.partitionBy("read_id").orderBy("pos")
-    gap = F.coalesce(F.col("pos") - F.lag("pos").over(order) > k, F.lit(False))
-    island = good.withColumn("_new", gap).withColumn("island", F.sum(F.col("_new").cast("int")).over(order))
-    runs = island.groupBy("read_id", "island").agg(F.min("pos").alias("start"), (F.max("pos") - F.min("pos") + k).alias("length"))
+    good = among(explode_kmers(reads, k, "read_id"), kmers.where(F.col("cnt") >= low_count)).select("read_id", F.col("pos").alias("start"), F.lit(1).alias("n"))
+    return _longest_run(good, k)
+
+
+def longest_counted_run(reads: DataFrame, k: int, low_count: int) -> DataFrame:
+    """The same with the k-mers that these reads (read_id: long) have at least low_count times; no window is shuffled alone."""
+    if k > MOST_PACKED:
+        return longest_covered_run(reads, staged(count_kmers(reads, k, low_count), "kmers"), k, low_count)
+    return _longest_run(staged(frequent_pieces(reads, k, low_count), "pieces"), k)
+
+
+def _longest_run(pieces: DataFrame, k: int) -> DataFrame:
+    """pieces: read_id, start, n of windows in a row."""
+    order = W.partitionBy("read_id").orderBy("start")
+    last = F.max(F.col("start") + F.col("n") - 1).over(order.rowsBetween(W.unboundedPreceding, -1))
+    island = pieces.withColumn("_new", F.coalesce(F.col("start") - last > k, F.lit(False))).withColumn("island", F.sum(F.col("_new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = island.groupBy("read_id", "island").agg(F.min("start").alias("start"), (F.max(F.col("start") + F.col("n") - 1) - F.min("start") + k).alias("length"))
     best = runs.groupBy("read_id").agg(F.max(F.struct("length", (-F.col("start")).alias("first"))).alias("b"))
     return best.select("read_id", (-F.col("b.first")).cast("long").alias("start"), F.col("b.length").cast("long").alias("length"))
 

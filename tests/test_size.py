@@ -85,3 +85,24 @@ def test_unique_edges_shuffle_little(spark):
 def test_letters(spark):
     rows = spark.createDataFrame([("ACGTT", 1), ("TTTTT", 2), (None, 3)], "x string, y int").withColumn("kmer", Packing(5).parse(F.col("x")))
     assert all(r["x"] == r["kmer"] for r in kmers.lettered(rows, 5).collect())
+
+
+def test_longest_counted_runs_equal_those_of_a_table(spark, monkeypatch):
+    from strandline.operators import mapping
+
+    monkeypatch.setattr(kmers, "WINDOWS_AT_ONCE", 500)
+    draw, k = random.Random(4), 11
+    g = "".join(draw.choice("ACGT") for _ in range(600))
+    seqs = [g[i : i + draw.choice([5, 40, 200])] + "ACNGT"[: draw.choice([0, 2, 5])] + g[j : j + 60] for i, j in ((draw.randrange(500), draw.randrange(500)) for _ in range(40))]
+    rows = [(None if i % 7 == 0 else i // 3, s) for i, s in enumerate(seqs)]  # ids that repeat are one read, also null ones
+    reads = spark.createDataFrame(rows, "read_id long, seq string")
+    want = mapping.longest_covered_run(reads, kmers.count_kmers(reads, k), k, 2)
+    assert sorted(map(str, mapping.longest_counted_run(reads, k, 2).collect())) == sorted(map(str, want.collect()))
+
+
+def test_longest_runs_shuffle_little(spark):
+    from strandline.operators import mapping
+
+    reads = reads_of(spark, 5, 1500)
+    windows = kmers.explode_kmers(reads, 21).count()
+    assert written(spark, mapping.longest_counted_run(reads, 21, 2)) < 6 * windows
