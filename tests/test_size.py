@@ -106,3 +106,8 @@ def test_longest_runs_shuffle_little(spark):
     reads = reads_of(spark, 5, 1500)
     windows = kmers.explode_kmers(reads, 21).count()
     assert written(spark, mapping.longest_counted_run(reads, 21, 2)) < 6 * windows
+
+
+def test_adapters_are_looked_up_without_a_shuffle_of_windows(spark):
+    reads = reads_of(spark, 5, 1500)
+    assert written(spark, kmers.clip_adapters(reads, 0.05, 15)) < 2 * kmers.explode_kmers(reads, 19).count()
