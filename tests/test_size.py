@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strandline.functions.packing import Packing
 from strandline.functions.staging import staged
 from strandline.operators import graph, kmers
+from strandline.sources import sinks
 
 
 def on_disk(spark):
@@ -111,3 +112,9 @@ def test_longest_runs_shuffle_little(spark):
 def test_adapters_are_looked_up_without_a_shuffle_of_windows(spark):
     reads = reads_of(spark, 5, 1500)
     assert written(spark, kmers.clip_adapters(reads, 0.05, 15)) < 2 * kmers.explode_kmers(reads, 19).count()
+
+
+def test_histograms_of_two_k_shuffle_runs(spark):
+    reads = reads_of(spark, 6, 1500)
+    lines = sinks.graph_histogram_lines({k: kmers.histogram(kmers.count_kmers(reads, k)) for k in (21, 31)})
+    assert written(spark, lines) < 8 * kmers.explode_kmers(reads, 21).count()
