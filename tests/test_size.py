@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.packing import Packing
 from strandline.functions.staging import staged
-from strandline.operators import graph, kmers
+from strandline.operators import graph, kmers, pairs
 from strandline.sources import sinks
 
 
@@ -118,3 +118,13 @@ def test_histograms_of_two_k_shuffle_runs(spark):
     reads = reads_of(spark, 6, 1500)
     lines = sinks.graph_histogram_lines({k: kmers.histogram(kmers.count_kmers(reads, k)) for k in (21, 31)})
     assert written(spark, lines) < 8 * kmers.explode_kmers(reads, 21).count()
+
+
+@pytest.mark.parametrize("few", [1, 3, 100])
+def test_steps_near_starts(spark, few):
+    steps = staged(spark.createDataFrame([(i, i + 1) for i in range(50)] + [(3, 40), (60, 61), (61, 60)], "src long, dst long"), "steps")
+    starts = spark.createDataFrame([(2,), (60,), (99,)], "src long")
+    got = {tuple(r) for r in graph.near(starts, steps, 3, few).collect()}
+    want = {(2, 3), (3, 4), (4, 5), (3, 40), (40, 41), (60, 61), (61, 60)}
+    assert got == want if few >= 100 else got >= want
+    assert graph.near(starts.limit(0), steps, 3).select("dst").count() >= 0
