@@ -128,3 +128,18 @@ def test_steps_near_starts(spark, few):
     want = {(2, 3), (3, 4), (4, 5), (3, 40), (40, 41), (60, 61), (61, 60)}
     assert got == want if few >= 100 else got >= want
     assert graph.near(starts.limit(0), steps, 3).select("dst").count() >= 0
+
+
+def long_line(spark, n=20000):
+    return staged(spark.range(n).selectExpr("id as src", "id + 1 as dst"), "steps")
+
+
+def test_walks_and_searches_from_few_starts_leave_the_steps_where_they_are(spark):
+    steps = long_line(spark)
+    before = on_disk(spark)
+    forked = steps.unionByName(spark.createDataFrame([(7, 9)], "src long, dst long"))
+    found = graph.reachable(spark.createDataFrame([(7,)], "src long"), forked, 3)
+    assert {tuple(r) for r in found.collect()} == {(7, 8, 1), (7, 9, 1), (7, 10, 2), (7, 11, 3)}
+    walks = pairs.walked(spark.createDataFrame([(5,), (19998,)], "node long"), steps, 21)
+    assert {tuple(r) for r in walks.select("node", "to", "taken").collect()} == {(5, 26, 21), (19998, 20000, 2)}
+    assert sum(n for f, n in on_disk(spark).items() if f not in before) < 50_000
