@@ -143,3 +143,13 @@ def test_walks_and_searches_from_few_starts_leave_the_steps_where_they_are(spark
     walks = pairs.walked(spark.createDataFrame([(5,), (19998,)], "node long"), steps, 21)
     assert {tuple(r) for r in walks.select("node", "to", "taken").collect()} == {(5, 26, 21), (19998, 20000, 2)}
     assert sum(n for f, n in on_disk(spark).items() if f not in before) < 50_000
+
+
+def test_only_the_windows_of_margins_meet_steps(spark, monkeypatch):
+    reads, k = reads_of(spark, 8, 400), 21
+    forks = staged(graph.forks_of(staged(kmers.count_kmers(reads, k), "kmers"), k, 1), "forks")
+    contigs = staged(reads.select(F.col("read_id").alias("id"), "seq", F.lit(40).alias("left_repeat"), F.lit(40).alias("right_repeat")), "contigs")
+    monkeypatch.setattr(pairs, "explode_kmers", lambda *x: kmers.explode_kmers(*x).hint("shuffle_merge"))  # small tables would be broadcast
+    few = written(spark, pairs.repeat_margins(contigs, forks, k))
+    all_of_them = written(spark, pairs.repeat_margins(contigs.withColumns({"left_repeat": F.lit(199), "right_repeat": F.lit(199)}), forks, k))
+    assert few < 0.8 * all_of_them
